@@ -11,9 +11,10 @@
 3. Bands of the sketch make buckets. Each node is compared with two hubs of its
    bucket; links are confirmed on whole sets and joined into components.
 4. Buckets that still span several components have every pair across components
-   considered (in blocks, dropped only if the sketches put the pair 4.5 standard
-   deviations under the threshold) and confirmed in the same way. Pairs inside a
-   component cannot change it.
+   considered (once, in the bucket of the first band it shares; dropped only if
+   the sketches put it 4.5 standard deviations under the threshold) and confirmed
+   on whole sets; large buckets are worked in blocks that many tasks share and emit
+   links, not pairs. Pairs inside a component cannot change it.
 
 No bucket is capped and no links, components or sketches reach the driver.
 """
@@ -35,7 +36,8 @@ U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 ROWS = 5
-BLOCK = 2048
+#: Buckets up to SMALL rows emit pairs; larger ones are worked in blocks of BLOCK rows.
+SMALL, BLOCK = 32, 256
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = 1e-5) -> int:
@@ -116,16 +118,20 @@ def _sets(k: int):
     return run
 
 
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets meet the threshold."""
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
+                keep.append(_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -147,21 +153,42 @@ def _fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _across(percent: int, bits: int):
-    """Pairs of two blocks of a bucket that lie in different components and may reach the threshold."""
+def _across(percent: int, bands: int, bits: int, direct: bool):
+    """Pairs of two blocks of a bucket that lie in different components and may reach the threshold.
+
+    A pair is looked at only in the bucket of the first band that it shares. With
+    ``direct`` the rows hold their whole sets: pairs are confirmed here and links come out.
+    """
     p = percent / 100
     least = (p - 4.5 * math.sqrt(p * (1 - p) / bits)) * bits
 
-    def group(i, j, block, n, component, node, coded, found):
+    def group(key, i, j, block, n, component, node, coded, keys, members, found):
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        band = int(np.flatnonzero(keys[left[0]] == key)[0]) if len(left) else 0
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         for z, at in enumerate(left.tolist()):
             others = right[z + 1 :] if i == j else right
             m = n[others]
             others = others[(np.minimum(n[at], m) * 100 >= np.maximum(n[at], m) * percent) & (component[others] != component[at])]
-            if len(others):
-                others = others[(coded[others] == coded[at]).sum(axis=1) >= least]
-                found[0] += [min(node[at], node[x]) for x in others.tolist()]
-                found[1] += [max(node[at], node[x]) for x in others.tolist()]
+            if not len(others):
+                continue
+            alike = (coded[others] == coded[at]).sum(axis=1)
+            near = (alike >= least) & ((keys[others] == keys[at]).argmax(axis=1) == band)
+            others, alike = others[near], alike[near]
+            for x in others[np.argsort(-alike, kind="stable")].tolist():
+                if direct:
+                    c, d = root(int(component[at])), root(int(component[x]))
+                    if c == d or not _similar(members[at], members[x], percent):
+                        continue
+                    joined[c] = d
+                found[0].append(min(node[at], node[x]))
+                found[1].append(max(node[at], node[x]))
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # rows of the group that the next batch may continue
@@ -180,9 +207,11 @@ def _across(percent: int, bits: int):
                 block, n = rows.column("block").to_numpy()[:end], rows.column("n").to_numpy()[:end]
                 component, node = rows.column("component").to_pylist()[:end], rows.column("node").to_pylist()[:end]
                 coded = np.frombuffer(b"".join(rows.column("bits").to_pylist()[:end]), np.uint8).reshape(end, bits)
+                keys = np.array(rows.column("bands").to_pylist()[:end], np.int64).reshape(end, bands)
+                members = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members").slice(0, end)] if direct else None
                 labels = np.unique(np.array(component, dtype=object), return_inverse=True)[1]
                 for lo, hi in zip(edges[:done], edges[1 : done + 1], strict=True):
-                    group(i[lo], j[lo], block[lo:hi], n[lo:hi], labels[lo:hi], node[lo:hi], coded[lo:hi], found)
+                    group(key[lo], i[lo], j[lo], block[lo:hi], n[lo:hi], labels[lo:hi], node[lo:hi], coded[lo:hi], keys[lo:hi], members and members[lo:hi], found)
             held = rows.slice(edges[done]).to_batches()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], names=["a", "b"])
 
@@ -237,14 +266,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     label = F.coalesce("component", "node")
     spread = buckets.select("key", "node", "n").join(first, "node", "left").withColumn("component", label)
     spread = spread.withColumns({"c0": F.min("component").over(bucket), "c1": F.max("component").over(bucket)}).where("c0 <> c1").drop("c0", "c1")
-    spread = spread.withColumns({"block": F.floor((F.row_number().over(bucket.orderBy("node")) - 1) / BLOCK), "blocks": F.ceil(F.count("*").over(bucket) / BLOCK)})
-    spread = spread.join(nodes.select("node", "bits"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")
-    spread = spread.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    pairs = spread.select("key", F.col("i").cast("int"), F.col("j").cast("int"), "block", "node", "n", "component", "bits")
-    pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = pairs.mapInArrow(_across(percent, bands * rows), "a binary, b binary").distinct().join(near, ["a", "b"], "left_anti")
-    more = materialize(_verify(pairs, sets, percent), "links")
+    spread = spread.withColumns({"size": F.count("*").over(bucket), "rank": F.row_number().over(bucket.orderBy("node")) - 1})
+    spread = materialize(spread.join(nodes.select("node", "bits", "bands"), "node"), "spread")
+    small = spread.where(F.col("size") <= SMALL).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
+    block = F.floor(F.col("rank") / BLOCK).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))).alias("other")
+    large = spread.where(F.col("size") > SMALL).join(sets, "node").select("*", block.alias("block"), other)
+    large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+    def dealt(df: DataFrame, direct: bool) -> DataFrame:
+        df = df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return df.mapInArrow(_across(percent, bands, bands * rows, direct), "a binary, b binary")
+
+    more = materialize(_verify(dealt(small, False), sets, percent).unionByName(dealt(large, True)), "links")
     members = connected_components(links.unionByName(more))
 
     named = nodes.select("node", "doc_id").join(members, "node", "left").withColumn("component", label)
