@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from ctxledger.llm import neardup
+from ctxledger.llm import langid, neardup, quality, toxicity
 
 QUERIES = {
     "op2_fast_similarity": neardup.op2_fast_similarity,
+    "op3_weak_label_quality": quality.op3_weak_label_quality,
+    "op5_weak_rules": quality.op5_weak_rules,
+    "op6_string_kernel_language": langid.op6_string_kernel_language,
+    "op8_ngram_toxicity": toxicity.op8_ngram_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
