@@ -8,6 +8,8 @@ because those bytes never occur inside a multi-byte character.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -148,6 +150,26 @@ def words(raw: np.ndarray, offsets: np.ndarray, fold: bool = True) -> Words:
     return Words(start, end, h, np.searchsorted(start, offsets))
 
 
+def range_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the exact bytes of ordered ranges; ranges over a segment go through blake2b."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = int(np.searchsorted(end, start[i] + SEGMENT, "right"))
+        if j <= i:
+            out[i] = np.frombuffer(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+            i += 1
+            continue
+        lo, hi = int(start[i]), int(end[j - 1])
+        up, down = powers(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[raw[lo:hi]] * up[: hi - lo], out=total[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 _COEF = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
 
 

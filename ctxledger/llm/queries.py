@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxledger.llm import langid, neardup, quality, toxicity
+from ctxledger.llm import langid, neardup, packing, quality, toxicity
 
 QUERIES = {
     "op2_fast_similarity": neardup.op2_fast_similarity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_weak_rules": quality.op5_weak_rules,
     "op6_string_kernel_language": langid.op6_string_kernel_language,
     "op8_ngram_toxicity": toxicity.op8_ngram_toxicity,
+    "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,26 +37,6 @@ def _bytes_in(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.nda
     return out
 
 
-def _line_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each line's exact bytes; lines over a segment go through blake2b."""
-    out = np.zeros(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = int(np.searchsorted(end, start[i] + T.SEGMENT, "right"))
-        if j <= i:
-            out[i] = np.frombuffer(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
-            i += 1
-            continue
-        lo, hi = int(start[i]), int(end[j - 1])
-        up, down = T.powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(T._BYTE[raw[lo:hi]] * up[: hi - lo], out=total[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = T.mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        i = j
-    return out
-
-
 def _repeats(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether each key occurs more than once in its text."""
     mixed = T.mix(keys ^ (doc.astype(np.uint64) + T.U64(1)) * T.U64(0x9E3779B97F4A7C15))
@@ -96,7 +74,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     filled = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, doc = start[filled], end[filled], doc[filled]
     lines = np.bincount(doc, minlength=len(offsets) - 1)
-    keys = T.mix(_line_hashes(raw, start, end) ^ (doc.astype(np.uint64) + T.U64(1)) * T.U64(0x9E3779B97F4A7C15))
+    keys = T.mix(T.range_hashes(raw, start, end) ^ (doc.astype(np.uint64) + T.U64(1)) * T.U64(0x9E3779B97F4A7C15))
     _, at = np.unique(keys, return_index=True)
     out["n_lines"] = lines.astype(np.int64)
     out["n_dup_lines"] = (lines - np.bincount(doc[at], minlength=len(offsets) - 1)).astype(np.int64)
