@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxledger.llm import langid, neardup, packing, quality, toxicity
+from ctxledger.llm import decontaminate, langid, neardup, packing, quality, toxicity
 
 QUERIES = {
     "op2_fast_similarity": neardup.op2_fast_similarity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_string_kernel_language": langid.op6_string_kernel_language,
     "op8_ngram_toxicity": toxicity.op8_ngram_toxicity,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
+    "op10_minhash_containment": decontaminate.op10_minhash_containment,
 }
 
 ORACLES: dict[str, str] = {}
