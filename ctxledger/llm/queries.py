@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from ctxledger.llm import decontaminate, langid, neardup, packing, quality, toxicity
+from ctxledger.llm import decontaminate, langid, lm, neardup, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_loser_tree_warc": warc.op1_loser_tree_warc,
     "op2_fast_similarity": neardup.op2_fast_similarity,
     "op3_weak_label_quality": quality.op3_weak_label_quality,
     "op5_weak_rules": quality.op5_weak_rules,
     "op6_string_kernel_language": langid.op6_string_kernel_language,
+    "op7_ppm_scoring": lm.op7_ppm_scoring,
     "op8_ngram_toxicity": toxicity.op8_ngram_toxicity,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_minhash_containment": decontaminate.op10_minhash_containment,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_loser_tree_warc": warc.OP1_SQL,
+}
