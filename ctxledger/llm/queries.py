@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ctxledger.llm import decontaminate, langid, lm, neardup, packing, quality, toxicity, warc
+from ctxledger.llm import decontaminate, langid, lm, neardup, packing, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_loser_tree_warc": warc.op1_loser_tree_warc,
     "op2_fast_similarity": neardup.op2_fast_similarity,
     "op3_weak_label_quality": quality.op3_weak_label_quality,
+    "op4_segmented_urls": urlfilter.op4_segmented_urls,
     "op5_weak_rules": quality.op5_weak_rules,
     "op6_string_kernel_language": langid.op6_string_kernel_language,
     "op7_ppm_scoring": lm.op7_ppm_scoring,
