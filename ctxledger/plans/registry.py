@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ctxledger.plans import cost
+from ctxledger.plans import activity, cost, dialog
 
-_MODULES = (cost,)
+_MODULES = (cost, dialog, activity)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
