@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ctxledger.plans import activity, compaction, cost, dialog
+from ctxledger.plans import activity, compaction, cost, dialog, requests
 
-_MODULES = (cost, dialog, activity, compaction)
+_MODULES = (cost, dialog, activity, compaction, requests)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
