@@ -26,7 +26,7 @@ def pin_command(line: Column, marker: str = MARKER) -> Column:
 def command_turns(turns: DataFrame, marker: str = MARKER) -> DataFrame:
     """Turns that hold a command, and whether they hold nothing else (reminders and blank lines aside)."""
     found = turns.where(F.contains("text", F.lit(marker)))
-    lines = F.filter(F.transform(F.split(F.regexp_replace("text", r"(?s)<system-reminder>.*?</system-reminder>", ""), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", r"(?s)<system-reminder>.*?</system-reminder>", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     is_command = lambda x: x.rlike(_command(marker))
     out = found.withColumns({"commands": F.size(F.filter(lines, is_command)), "only_commands": (F.size(lines) > 0) & F.forall(lines, is_command)})
     return out.where("commands > 0")

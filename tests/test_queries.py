@@ -1,0 +1,50 @@
+"""Every registered query against its DuckDB SQL on the smallest tables."""
+
+import math
+
+import duckdb
+import pytest
+
+from ctxledger.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(v):
+    if isinstance(v, bool) or v is None:
+        return v
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 6)
+    if isinstance(v, int):
+        return v
+    return tuple(plain(x) for x in v) if isinstance(v, list | tuple) else str(v)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query(spark, duck, name):
+    df = registry.QUERIES[name](spark, SMALL)
+    rows = df.collect()
+    assert rows
+    if name in registry.ORACLES:
+        found = duck.execute(registry.ORACLES[name])
+        columns = [c[0] for c in found.description]
+        assert sorted(columns) == sorted(df.columns)
+        expect = sorted(repr(tuple(plain(v) for v in r)) for r in found.fetchall())
+        assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in rows) == expect
+
+
+def test_entry_module(spark):
+    import __spark_entry__ as entry
+
+    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).count() > 0
