@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
-from ctxledger.llm._work import materialize, table
+from ctxledger.llm._work import materialize, most_frequent, table
 
 #: Words of the unigram model that are broadcast, the longest word, and the bins of the token counts.
 UNIGRAMS, LONGEST, LOG2 = 50_000, 24, 16
@@ -49,11 +49,11 @@ def _letter_runs(batches):
 
 
 def unigrams(pages: DataFrame) -> dict[str, float]:
-    """Log probabilities of the UNIGRAMS most frequent words; counts cover all pages, ties go by word."""
+    """Log probabilities of the UNIGRAMS most frequent words at most; counts cover all pages, ties stay or go together."""
     found = pages.select(F.col("html").cast("string").alias("text")).mapInArrow(_letter_runs, "word string, n long")
     counts = materialize(found.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
     total = counts.agg(F.sum("n")).first()[0] or 1
-    top = counts.orderBy(F.desc("n"), "word").limit(UNIGRAMS).collect()
+    top = most_frequent(counts, UNIGRAMS).collect()
     seeds = math.log(1e-6)
     known = {r["word"]: math.log(r["n"] / total) for r in top}
     return {s: seeds for s in SEEDS} | known

@@ -466,3 +466,12 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     before = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "decontamination")).collect()}
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} == before
     assert counts[1] > counts[2] > counts[3] >= counts[4]
+
+
+def test_most_frequent_is_bounded(spark):
+    from ctxledger.llm._work import most_frequent
+
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [9, 9, 100])], "key long, n long")
+    assert sorted(r["n"] for r in most_frequent(counts, 3).collect()) == [9, 9, 100]
+    assert most_frequent(counts, 30).count() == 23 and most_frequent(counts, 73).count() == 73
+    assert most_frequent(counts, 2).count() == 1 and most_frequent(counts.limit(0), 5).count() == 0
