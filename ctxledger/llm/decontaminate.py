@@ -199,3 +199,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def op10_minhash_containment(spark, sf_dir):
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SHINGLES = """SELECT DISTINCT {0}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END) AS sh
+  FROM (SELECT {0}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {1})"""
+#: Exact containment of items of five words or more (the benchmark has no shorter ones).
+OP10_SQL = f"""
+WITH d AS ({_SHINGLES.format("doc_id", "documents")}), i AS ({_SHINGLES.format("item_id", "benchmark")}),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS n_common FROM d JOIN i USING (sh) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_common, n_common::DOUBLE / n_item AS containment FROM c JOIN n USING (item_id) WHERE 100 * n_common >= 80 * n_item
+"""

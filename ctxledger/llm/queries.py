@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_loser_tree_warc": warc.OP1_SQL,
+    "op2_fast_similarity": neardup.OP2_SQL,
+    "op10_minhash_containment": decontaminate.OP10_SQL,
 }
