@@ -9,29 +9,39 @@ from ctxledger.llm import _text as T
 _MULT = [pow(0x9E3779B97F4A7C15, n + 1, 2**64) | 1 for n in range(9)]
 
 
-def ngram_bins(raw: np.ndarray, offsets: np.ndarray, n: int, log2: int, fold: bool = True):
-    """(text index, bin) of each byte n-gram inside a text, in segments; bins are in [0, 2**log2)."""
-    for lo, hi in _spans(raw, offsets, n):
+def ngram_bins(raw: np.ndarray, offsets: np.ndarray, orders, log2: int, fold: bool = True, mark: np.ndarray | None = None):
+    """(text index, bin) of each byte n-gram inside a text, by segment and order; bins are in [0, 2**log2).
+
+    ``mark`` keeps the bins of interest only, before anything else is worked out.
+    Each order's key extends the one before.
+    """
+    orders = sorted(orders)
+    for lo in range(0, len(raw), T.SEGMENT):
+        hi = min(len(raw), lo + T.SEGMENT + orders[-1] - 1)
         b = raw[lo:hi]
         b = (T.LOWER[b] if fold else b).astype(np.uint64)
-        m = hi - lo - n + 1
-        if m <= 0:
-            continue
-        key = b[:m].copy()
-        for j in range(1, n):
-            key |= b[j : m + j] << T.U64(8 * j)
-        key = (key ^ (key >> T.U64(29))) * T.U64(_MULT[n])
-        bins = (key >> T.U64(64 - log2)).astype(np.int64)
-        doc = np.searchsorted(offsets, np.arange(lo, lo + m), "right") - 1 if m < 64 else _docs(offsets, lo, m)
-        inside = np.arange(lo, lo + m) + n <= offsets[doc + 1]
-        yield doc[inside], bins[inside]
-
-
-def _spans(raw, offsets, n):
-    """Segments that overlap by n - 1 bytes, so that each n-gram is whole in one of them."""
-    step = T.SEGMENT
-    for lo in range(0, max(1, len(raw)), step):
-        yield lo, min(len(raw), lo + step + n - 1)
+        doc = room = None
+        key, done = b, 1
+        for n in orders:
+            m = min(T.SEGMENT, hi - lo - n + 1)
+            if m <= 0:
+                break
+            key = key[:m]
+            for j in range(done, n):
+                key = key | (b[j : m + j] << T.U64(8 * j))
+            done = n
+            bins = (((key ^ (key >> T.U64(29))) * T.U64(_MULT[n])) >> T.U64(64 - log2)).astype(np.int32)
+            if mark is not None:
+                at = np.flatnonzero(mark[bins])
+                where = np.searchsorted(offsets, lo + at, "right") - 1
+                inside = lo + at + n <= offsets[where + 1]
+                yield where[inside], bins[at[inside]]
+                continue
+            if doc is None:
+                doc = _docs(offsets, lo, m)
+                room = offsets[doc + 1] - np.arange(lo, lo + m)
+            inside = np.flatnonzero(room[:m] >= n)
+            yield doc[inside], bins[inside]
 
 
 def _docs(offsets, lo, m):
@@ -50,9 +60,8 @@ def presence(raw: np.ndarray, offsets: np.ndarray, orders, log2: int, fold: bool
         part, off = raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         bits = np.zeros((last - first, 1 << log2), np.uint8)
         flat = bits.reshape(-1)
-        for n in orders:
-            for doc, bins in ngram_bins(part, off, n, log2, fold):
-                flat[(doc << log2) + bins] = 1
+        for doc, bins in ngram_bins(part, off, orders, log2, fold):
+            flat[(doc << log2) + bins] = 1
         yield first, bits
 
 

@@ -16,33 +16,36 @@ ORDERS = (4, 5, 6)
 LOG2 = 20
 #: N-grams that the classifier looks at: those whose scaled ratio separates best.
 FEATURES = 4096
-#: The most rows that the linear weights are fitted on; ratios come from all labelled rows.
-TRAIN_ROWS = 12000
-
-
-def _hits(raw, off, most: np.ndarray | None = None):
-    """Distinct (text, bin) pairs of the n-grams; ``most`` marks the bins of interest."""
-    docs, bins = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for n in ORDERS:
-        for d, b in P.ngram_bins(raw, off, n, LOG2):
-            if most is not None:
-                at = most[b]
-                d, b = d[at], b[at]
-            docs.append(d)
-            bins.append(b)
-    pair = np.unique((np.concatenate(docs) << LOG2) | np.concatenate(bins))
+#: Bounds: labels that are learnt from (their ratios count every one), and rows that the weights are fitted on.
+LABELLED, TRAIN_ROWS = 100_000, 12_000
+
+
+def _hits(raw, off, most: np.ndarray):
+    """Distinct (text, bin) pairs of the n-grams whose bins ``most`` marks."""
+    pairs = [np.zeros(0, np.int64)]
+    for d, b in P.ngram_bins(raw, off, ORDERS, LOG2, mark=most):
+        pairs.append((d << LOG2) | b)
+    pair = np.unique(np.concatenate(pairs))
     return pair >> LOG2, pair & ((1 << LOG2) - 1)
 
 
+def _each(raw, off):
+    """The distinct bins of each text in turn."""
+    for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+        found = [b for _, b in P.ngram_bins(raw[lo:hi], np.array([0, hi - lo]), ORDERS, LOG2)]
+        bins = np.concatenate(found) if found else np.zeros(0, np.int32)
+        bins.sort()
+        yield bins[np.append(True, bins[1:] != bins[:-1])] if len(bins) else bins
+
+
 def _frequencies(batches):
     """Document frequency of each bin by class, summed over the task."""
     total = np.zeros((2, 1 << LOG2), np.int64)
     for b in T.slices(batches):
         raw, off = T.buffers(b.column("text"))
         label = b.column("label").to_numpy(zero_copy_only=False)
-        doc, bins = _hits(raw, off)
-        for c in (0, 1):
-            total[c] += np.bincount(bins[label[doc] == c], minlength=1 << LOG2)
+        for c, bins in zip(label.tolist(), _each(raw, off), strict=True):
+            total[c][bins] += 1
     at = np.flatnonzero(total.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bin", "clean", "toxic"])
 
@@ -124,10 +127,24 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of documents with a label, ``most`` labels at most, chosen by doc_id.
+
+    labels: doc_id, label; of several the largest counts, null ones do not. The chosen
+    labels are bounded, so they are broadcast and no text is shuffled.
+    """
+    most = LABELLED if most is None else most
+    one = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
+    one = materialize(one, "labels")
+    total = one.count()
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
+    chosen = one if total <= most else one.where(draw < int(1e6 * most / total)).limit(2 * most)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.join(F.broadcast(chosen), "doc_id")
+
+
 def op8_ngram_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select(F.col("doc_id"), F.col("toxic").alias("label"))
-    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
-    labelled = materialize(docs.select("doc_id", "text").join(labels, "doc_id"), "labelled")
-    out = score_toxicity(docs, labelled)
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0)).select("doc_id", F.col("toxic").alias("label"))
+    out = score_toxicity(docs, labelled_texts(docs, labels))
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")

@@ -475,3 +475,11 @@ def test_most_frequent_is_bounded(spark):
     assert sorted(r["n"] for r in most_frequent(counts, 3).collect()) == [9, 9, 100]
     assert most_frequent(counts, 30).count() == 23 and most_frequent(counts, 73).count() == 73
     assert most_frequent(counts, 2).count() == 1 and most_frequent(counts.limit(0), 5).count() == 0
+
+
+def test_labels_are_bounded_and_unique(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(400)] + [(None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(0, 1), (1, None), (None, 1), (999, 1)], "doc_id long, label int")
+    got = {r["doc_id"]: (r["text"], r["label"]) for r in toxicity.labelled_texts(docs, labels).collect()}
+    assert len(got) == 300 and got[0] == ("t0", 1) and got[1] == ("t1", 1)
+    assert 50 < toxicity.labelled_texts(docs, labels, 100).count() < 150
