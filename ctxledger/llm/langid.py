@@ -28,7 +28,7 @@ LOG2 = 14
 LANDMARKS = 256
 TRAIN_ROWS = 3000
 RIDGE = 1e-3
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and a few numerals that isalpha() tells apart
 
 
 def _packed(batches):
@@ -106,7 +106,7 @@ def _predict(model):
             else:
                 names, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
             for i, x in enumerate(b.column("text")):
-                if not _LETTER.search(x.as_py() or ""):
+                if not any(m[0].isalpha() for m in _LETTER.finditer(x.as_py() or "")):
                     names[i], scores[i] = "und", 0.0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
