@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
 from ctxledger.llm import presence as P
-from ctxledger.llm._work import materialize, table
+from ctxledger.llm._work import materialize, most_frequent, table
 from ctxledger.llm.langid import held_out
 
 ORDERS = (4, 5, 6)
@@ -80,12 +80,11 @@ def train(labelled: DataFrame):
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 5.0 if toxic else -5.0
     rows = rows.where("label in (0, 1)")
     found = rows.select("text", "label").mapInArrow(_frequencies, "bin long, clean long, toxic long")
-    found = found.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic + clean >= 3").toPandas()
-    p, q = (found.toxic.to_numpy() + 0.5) / (toxic + 1), (found.clean.to_numpy() + 0.5) / (clean + 1)
-    ratio = np.log(p / q)
-    gain = np.abs(ratio) * np.sqrt(np.minimum(found.toxic.to_numpy() + 1.0, found.toxic.to_numpy() + found.clean.to_numpy() + 1.0))
-    best = np.argsort(-gain, kind="stable")[:FEATURES]
-    bins, ratio = found.bin.to_numpy()[best], ratio[best]
+    found = found.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic + clean >= 3")
+    ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    found = found.select("bin", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("toxic") + 1)).alias("gain")).where("gain > 0")
+    best = most_frequent(materialize(found, "ratios"), FEATURES, "gain").toPandas().sort_values("bin")
+    bins, ratio = best.bin.to_numpy(), best.ratio.to_numpy()
     rate = min(1.0, TRAIN_ROWS / (clean + toxic)) * 1e6
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < rate)
     sample = some.mapInArrow(_rows(bins), "doc_id long, label int, bits binary").toPandas().sort_values(["doc_id", "label"])
