@@ -9,6 +9,10 @@ excluded there; under the shortest one the 256 byte values are alike. Because th
 trie is fixed while scoring, each context's whole distribution is worked out once
 per worker, and scoring reads one cell a byte.
 
+The counts stay whole in a table. The broadcast trie is a cache of its most frequent
+contexts, each with all that followed it; a window whose context is not cached, and
+may have been seen, is handed out and scored by joins with the counts of orders 3 to 0.
+
 The unigram base score needs the count of every token. The most frequent tokens
 are broadcast in a table of fixed size; the others are joined.
 """
@@ -93,22 +97,21 @@ def _count(batches):
 class Trie:
     """Every context's distribution: ``page`` maps a three-byte context to a row of ``table`` (log10)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        keys = keys.astype(np.int64)
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], whole: list[bool]):
+        """``grams``: by order, (keys, counts) of contexts with all their successors; ``whole``: whether every context is there.
+
+        The page of a context that is not there, and may have been seen, is -1.
+        """
         self.page = np.zeros(1 << 24, np.int32)
         rows, seen_rows = [], 0
         below = None  # of the order before: contexts, their counts, their distributions under exclusion
         for order in range(4):
-            gram = keys & ((1 << 8 * (order + 1)) - 1)
-            context = gram >> 8 if order else np.zeros(len(keys), np.int64)
-            names, at = np.unique(context, return_inverse=True) if order else (np.zeros(1, np.int64), context)
-            symbol, weights = gram & 255, counts
-            if len(names) > CONTEXTS:  # the most frequent contexts keep a row
-                keep = np.sort(np.argsort(-np.bincount(at, weights=counts), kind="stable")[:CONTEXTS])
-                back = np.full(len(names), -1)
-                back[keep] = np.arange(len(keep))
-                use = back[at] >= 0
-                names, at, symbol, weights = names[keep], back[at][use], symbol[use], counts[use]
+            gram, weights = grams[order][0].astype(np.int64), grams[order][1]
+            if order:
+                known = np.isin((gram >> 8) & ((1 << 8 * (order - 1)) - 1), below[0])  # a context needs its shorter ones
+                gram, weights = gram[known], weights[known]
+            names, at = np.unique(gram >> 8, return_inverse=True) if order else (np.zeros(1, np.int64), gram >> 8)
+            symbol = gram & 255
             turn = np.argsort(at, kind="stable")
             at, symbol, weights = at[turn], symbol[turn], weights[turn]
             table = np.empty((len(names), 256), np.float32)
@@ -129,6 +132,8 @@ class Trie:
                     c_all[lo:hi], lower_all[lo:hi] = c, lower
             rows.append(table)
             place = seen_rows + np.arange(len(names), dtype=np.int32)
+            if not whole[order]:
+                self.page[:] = -1
             if 0 < order < 3:
                 self.page.reshape(-1, 1 << 8 * order)[:, names] = place
             elif order:
@@ -150,12 +155,15 @@ class Trie:
         escape = np.where(t == 0, 1.0, np.where(can, d / np.maximum(1, t + d), 0.0))
         return np.where(c > 0, c / np.maximum(1, t + np.where(can, d, 0)), escape * lower).astype(np.float32)
 
-    def score(self, keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each text from its windows."""
-        cells = self.page[keys >> np.uint32(8)].astype(np.int64) * 256 + (keys & np.uint32(255))
+    def score(self, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each text from its windows, and the places of windows left out of it, whose context is not cached."""
+        page = self.page[keys >> np.uint32(8)].astype(np.int64)
+        logs = self.table[np.maximum(page, 0) * 256 + (keys & np.uint32(255))]
+        left = np.flatnonzero(page < 0)
+        logs[left] = 0
         total = np.zeros(len(keys) + 1)
-        np.cumsum(self.table[cells], dtype=np.float64, out=total[1:])
-        return total[first[1:]] - total[first[:-1]]
+        np.cumsum(logs, dtype=np.float64, out=total[1:])
+        return total[first[1:]] - total[first[:-1]], left
 
 
 #: The worker's trie, by the name of the model it was made for.
@@ -164,10 +172,10 @@ _tries: dict = {}
 
 def _scores(model):
     def run(batches):
-        name, keys, counts, frequent, known, ends = model.value
+        name, grams, whole, frequent, known, ends = model.value
         if name not in _tries:
             _tries.clear()
-            _tries[name] = Trie(keys, counts)
+            _tries[name] = Trie(grams, whole)
         trie = _tries[name]
         logs = np.append(np.log10(known + 1.0), 0.0)
         for b in T.slices(batches):
@@ -180,6 +188,8 @@ def _scores(model):
             part = np.concatenate([[0.0], np.cumsum(logs[at])])
             hits = np.concatenate([[0], np.cumsum(hit)])
             miss = np.flatnonzero(~hit)
+            keys, first = windows(raw, off)
+            score, left = trie.score(keys, first)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("row"),
@@ -188,14 +198,88 @@ def _scores(model):
                     pa.array(hits[w.first[1:]] - hits[w.first[:-1]] + (ends > 0)),
                     pa.array(part[w.first[1:]] - part[w.first[:-1]] + np.log10(ends + 1.0)),
                     T.ragged(np.searchsorted(miss, w.first), w.hash[miss].view(np.int64)),
-                    pa.array(trie.score(*windows(raw, off))),
+                    pa.array(score),
+                    T.ragged(np.searchsorted(left, first), keys[left].astype(np.int64)),
                 ],
-                names=["row", "doc_id", "n_tokens", "n_known", "logs", "rare", "score"],
+                names=["row", "doc_id", "n_tokens", "n_known", "logs", "rare", "score", "left"],
             )
 
     return run
 
 
+def _grams(windows_: DataFrame) -> list[DataFrame]:
+    """(key, n) of orders 0 to 3: every context with the byte after it."""
+    shorter = [F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key") for k in range(3)]
+    return [windows_.groupBy(k).agg(F.sum("n").alias("n")) for k in shorter] + [windows_]
+
+
+def _cached(grams: list[DataFrame]) -> tuple[list, list[bool]]:
+    """(keys, counts) by order of the most frequent contexts, and whether they are all.
+
+    Orders 0 and 1 have 65,792 cells at most and are taken whole; the others as far as
+    CONTEXTS contexts of TRIE_WINDOWS cells in all go, from the most frequent down. A
+    context comes with all its cells or not at all.
+    """
+    taken, whole = [], []
+    for order in range(4):
+        rows = grams[order]
+        if order < 2:
+            all_in = True
+        else:
+            contexts = rows.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
+            step = F.floor(F.log2(F.col("t").cast("double")) * 64).cast("int")
+            steps = sorted(((r["s"], r["c"], r["d"]) for r in contexts.groupBy(step.alias("s")).agg(F.count("*").alias("c"), F.sum("d").alias("d")).collect()), reverse=True)
+            names = cells = 0
+            least, all_in = None, True
+            for s, c, d in steps:
+                if names + c > CONTEXTS or cells + d > TRIE_WINDOWS:
+                    all_in = False
+                    break
+                names, cells, least = names + c, cells + d, s
+            if not all_in:
+                chosen = contexts.where(F.lit(False) if least is None else step >= least).select("context")
+                rows = rows.join(F.broadcast(chosen), F.shiftright("key", 8) == F.col("context"), "left_semi")
+        got = rows.select("key", "n").toPandas()
+        taken.append((got.key.to_numpy().astype(np.uint32), got.n.to_numpy().astype(float)))
+        whole.append(all_in)
+    return taken, whole
+
+
+def _probabilities(wanted: DataFrame, grams: list[DataFrame]) -> DataFrame:
+    """(key, log10 probability p) of the distinct windows ``wanted`` (key), from the whole counts.
+
+    What a context has seen its shorter ones have seen too, so under exclusion a
+    shorter context has the distinct successors d less those of the longer one, and
+    the total t less what it counts for them, r.
+    """
+    tables = []
+    for order in range(4):
+        rows = grams[order].select("key", "n")
+        if order:
+            below = grams[order - 1].select(F.col("key").alias("under"), F.col("n").alias("m"))
+            rows = rows.join(below, F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1)) == F.col("under"))
+        else:
+            rows = rows.withColumn("m", F.lit(0))
+        table_ = rows.groupBy(F.shiftright("key", 8).alias(f"c{order}")).agg(F.sum("n").alias(f"t{order}"), F.count("*").alias(f"d{order}"), F.sum("m").alias(f"r{order}"))
+        tables.append(materialize(table_, f"contexts-{order}"))
+    out = wanted
+    for order in range(4):
+        cells = grams[order].select(F.col("key").alias("cell"), F.col("n").alias(f"n{order}"))
+        gram = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        out = out.join(cells, gram == F.col("cell"), "left").drop("cell")
+        out = out.join(tables[order], F.shiftright(gram, 8) == F.col(f"c{order}"), "left").drop(f"c{order}")
+    out = out.fillna(0)
+    p = 1.0 / F.greatest(F.lit(1), 256 - F.col("d0"))
+    for order in range(4):
+        n, t, d = (F.col(f"{x}{order}") for x in "ntd")
+        can = d < 256
+        if order < 3:
+            t, d = t - F.col(f"r{order + 1}"), d - F.col(f"d{order + 1}")
+        escape = F.when(t == 0, 1.0).when(can, d / (t + d)).otherwise(0.0)
+        p = F.when(n > 0, n / F.greatest(F.lit(1), t + F.when(can, d).otherwise(0))).otherwise(escape * p)
+    return out.select("key", F.log10(F.greatest(p, F.lit(1e-30))).alias("p"))
+
+
 def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
     """One row per document of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -216,17 +300,26 @@ def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
     top = most_frequent(words.select("key", "n"), FREQUENT).toPandas()
     frequent = top.key.to_numpy().view(np.uint64)
     order = np.argsort(frequent)
-    trie = most_frequent(counts.where(F.col("kind") == WINDOW).select("key", "n"), TRIE_WINDOWS).toPandas()
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, trie.key.to_numpy().astype(np.uint32), trie.n.to_numpy().astype(float), frequent[order], top.n.to_numpy()[order].astype(float), int(ends)))
+    grams = _grams(counts.where(F.col("kind") == WINDOW).select("key", "n"))
+    cached, whole = _cached(grams)
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, cached, whole, frequent[order], top.n.to_numpy()[order].astype(float), int(ends)))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = rows.mapInArrow(_scores(model), "row long, doc_id long, n_tokens long, n_known long, logs double, rare array<long>, score double")
+    scored = rows.mapInArrow(_scores(model), "row long, doc_id long, n_tokens long, n_known long, logs double, rare array<long>, score double, left array<long>")
     scored = materialize(scored, "scored")
     rare = scored.select("row", F.explode("rare").alias("key")).join(words.select("key", "n"), "key")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("known"))
-    out = scored.drop("rare").join(rare, "row", "left")
+    out = scored.drop("rare", "left").join(rare, "row", "left")
+    score = F.col("score")
+    if not all(whole):
+        grams = [*(materialize(g, "grams") for g in grams[:3]), grams[3]]
+        left = scored.select("row", F.explode("left").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
+        left = materialize(left, "left")
+        left = left.join(_probabilities(left.select("key").distinct(), grams), "key").groupBy("row").agg(F.sum(F.col("p") * F.col("times")).alias("late"))
+        out = out.join(left, "row", "left")
+        score = score + F.coalesce("late", F.lit(0.0))
     base = F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op7_ppm_scoring(spark, sf_dir):

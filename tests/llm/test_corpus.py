@@ -274,6 +274,18 @@ def test_rare_tokens_are_joined(spark, monkeypatch):
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in tokens))
 
 
+@pytest.mark.parametrize("contexts, cells", [(12, 1_000_000), (65_536, 60), (0, 0)])
+def test_rare_contexts_are_joined(spark, monkeypatch, contexts, cells):
+    monkeypatch.setattr(lm, "CONTEXTS", contexts)
+    monkeypatch.setattr(lm, "TRIE_WINDOWS", cells)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefé漢 ") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["xyz", "", "aaaa" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, docs.where("doc_id < 20")).collect()}
+    expect = brute_ppm(texts[:20], texts)
+    assert len(got) == len(texts) and [got[i] for i in range(len(texts))] == pytest.approx(expect, abs=1e-3)
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = ["the", "house", "was", "near", "water", "and", "people", "came", "there", "often"]
