@@ -50,3 +50,20 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
             break
         total, least = total + c, s
     return counts.where(F.lit(False)) if least is None else counts.where(step >= least)
+
+
+def first_rows(df: DataFrame, most: int, n: str, key: str) -> DataFrame:
+    """The ``most`` rows of greatest ``n``, ties by a hash of ``key``, then ``key``: exactly ``most`` if there are so many.
+
+    As in most_frequent, a histogram of ``n`` bounds what is sorted: the steps that
+    fit are taken whole, and only rows of the step that overflows are put in order.
+    """
+    step = F.floor(F.log2(F.col(n).cast("double")) * 64).cast("int")
+    steps = sorted(((r["s"], r["c"]) for r in df.groupBy(step.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True)
+    total = 0
+    for s, c in steps:
+        if total + c > most:
+            edge = df.where(step == s).orderBy(F.desc(n), F.xxhash64(key), key).limit(most - total)
+            return df.where(step > s).unionByName(edge)
+        total += c
+    return df

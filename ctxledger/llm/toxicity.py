@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
 from ctxledger.llm import presence as P
-from ctxledger.llm._work import materialize, most_frequent, table
+from ctxledger.llm._work import first_rows, materialize, table
 from ctxledger.llm.langid import held_out
 
 ORDERS = (4, 5, 6)
@@ -39,15 +39,16 @@ def _each(raw, off):
 
 
 def _frequencies(batches):
-    """Document frequency of each bin by class, summed over the task."""
-    total = np.zeros((2, 1 << LOG2), np.int64)
+    """Document frequency of each bin by class, of rows and of distinct texts, summed over the task."""
+    total, texts = np.zeros((2, 1 << LOG2), np.int64), np.zeros((2, 1 << LOG2), np.int64)
     for b in T.slices(batches):
         raw, off = T.buffers(b.column("text"))
         label = b.column("label").to_numpy(zero_copy_only=False)
-        for c, bins in zip(label.tolist(), _each(raw, off), strict=True):
-            total[c][bins] += 1
+        for c, n, bins in zip(label.tolist(), b.column("copies").to_pylist(), _each(raw, off), strict=True):
+            total[c][bins] += n
+            texts[c][bins] += 1
     at = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bin", "clean", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at]), pa.array(texts[0][at]), pa.array(texts[1][at])], names=["bin", "clean", "toxic", "clean_texts", "toxic_texts"])
 
 
 def _rows(chosen):
@@ -69,8 +70,11 @@ def _rows(chosen):
 def train(labelled: DataFrame):
     """(bins, weights, bias) from rows of doc_id, text and label (0 or 1).
 
-    Log-count ratios count every row; the weights are fitted on TRAIN_ROWS rows at
-    most, chosen by doc_id. No rows, or one class only: no bins, and a bias of the
+    Log-count ratios count every row; the FEATURES n-grams are those of greatest gain
+    by distinct texts, so that copies of one text do not crowd out others, ties by a
+    hash of the bin. The weights are fitted on about TRAIN_ROWS rows at most, chosen
+    by doc_id, half of them of each class where there are enough, each class at its
+    true weight. No rows, or one class only: no bins, and a bias of the
     class share.
     """
     rows = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int")).dropna(subset=["doc_id", "label"])
@@ -79,22 +83,30 @@ def train(labelled: DataFrame):
     if not clean or not toxic:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), 5.0 if toxic else -5.0
     rows = rows.where("label in (0, 1)")
-    found = rows.select("text", "label").mapInArrow(_frequencies, "bin long, clean long, toxic long")
-    found = found.groupBy("bin").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic + clean >= 3")
-    ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    found = found.select("bin", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("toxic") + 1)).alias("gain")).where("gain > 0")
-    best = most_frequent(materialize(found, "ratios"), FEATURES, "gain").toPandas().sort_values("bin")
-    bins, ratio = best.bin.to_numpy(), best.ratio.to_numpy()
-    rate = min(1.0, TRAIN_ROWS / (clean + toxic)) * 1e6
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < rate)
+    copies = materialize(rows.groupBy("text", "label").agg(F.count("*").alias("copies")), "copies")
+    kinds = {r["label"]: r["count"] for r in copies.groupBy("label").count().collect()}
+    found = copies.mapInArrow(_frequencies, "bin long, clean long, toxic long, clean_texts long, toxic_texts long")
+    found = found.groupBy("bin").agg(*(F.sum(c).alias(c) for c in found.columns[1:])).where("toxic + clean >= 3")
+
+    def ratio(toxic_n, clean_n, all_toxic, all_clean):
+        return F.log((F.col(toxic_n) + 0.5) / (all_toxic + 1)) - F.log((F.col(clean_n) + 0.5) / (all_clean + 1))
+
+    gain = F.abs(ratio("toxic_texts", "clean_texts", kinds[1], kinds[0])) * F.sqrt(F.col("toxic_texts") + 1)
+    found = found.select("bin", ratio("toxic", "clean", toxic, clean).alias("ratio"), gain.alias("gain")).where("gain > 0")
+    best = first_rows(materialize(found, "ratios"), FEATURES, "gain", "bin").toPandas().sort_values("bin")
+    bins, scale_of = best.bin.to_numpy(), best.ratio.to_numpy()
+    rates = [min(1.0, max(TRAIN_ROWS / 2, TRAIN_ROWS - other) / n) * 1e6 for n, other in ((clean, toxic), (toxic, clean))]
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < F.when(F.col("label") == 1, rates[1]).otherwise(rates[0]))
     sample = some.mapInArrow(_rows(bins), "doc_id long, label int, bits binary").toPandas().sort_values(["doc_id", "label"])
     if sample.label.nunique() < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(toxic / clean))
     packed = np.frombuffer(b"".join(sample.bits), np.uint8).reshape(len(sample), -1)
     scale = np.zeros(FEATURES, np.float32)
-    scale[: len(ratio)] = ratio
+    scale[: len(bins)] = scale_of
     y = sample.label.to_numpy().astype(float)
-    w, bias = P.fit_logistic(packed, y, np.ones(len(y)), scale=scale, norm=False, epochs=25, rate=0.05, l2=1e-4)
+    drawn = np.array([(y == 0).sum(), (y == 1).sum()])
+    weight = (np.array([clean, toxic]) / (clean + toxic) / (drawn / len(y)))[y.astype(int)]
+    w, bias = P.fit_logistic(packed, y, weight, scale=scale, norm=False, epochs=25, rate=0.05, l2=1e-4)
     return bins, w[: len(bins)], bias
 
 

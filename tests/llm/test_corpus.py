@@ -306,6 +306,25 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs, labelled.limit(0)).collect()} == {0}
 
 
+def test_toxicity_with_copies_of_one_text(spark):
+    rng = random.Random(9)
+    plain = ["the", "house", "was", "near", "water", "and", "people", "came", "there", "often"]
+
+    def text(rude):
+        w = [rng.choice(plain) + rng.choice(["", "s", "ing"]) for _ in range(60)]
+        for _ in range(3 * rude):
+            w[rng.randrange(60)] = "idiot"
+        return " ".join(w)
+
+    novel = "".join(rng.choice("qxzjkvw0123456789") for _ in range(6000))
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(200)] + [(500 + i, novel, 1) for i in range(60)]
+    tests = [(1000 + i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(80)] + [(2000, novel, 1)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(spark.createDataFrame(tests, labelled.schema), labelled).collect()}
+    assert sum(got[i] == y for i, _, y in tests) >= 79
+    assert len(toxicity.train(labelled)[0]) == toxicity.FEATURES
+
+
 def test_packing_is_an_exact_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -489,6 +508,15 @@ def test_most_frequent_is_bounded(spark):
     assert most_frequent(counts, 2).count() == 1 and most_frequent(counts.limit(0), 5).count() == 0
 
 
+def test_first_rows_are_exact(spark):
+    from ctxledger.llm._work import first_rows
+
+    rows = spark.createDataFrame([(i, float(n)) for i, n in enumerate([1] * 50 + [2] * 20 + [9, 9, 100])], "key long, n double")
+    for most in (0, 1, 2, 3, 10, 23, 60, 73, 90):
+        got = sorted((r["n"] for r in first_rows(rows, most, "n", "key").collect()), reverse=True)
+        assert got == [100.0, 9.0, 9.0, *[2.0] * 20, *[1.0] * 50][:most]
+
+
 def test_labels_are_bounded_and_unique(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(400)] + [(None, "n")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(0, 1), (1, None), (None, 1), (999, 1)], "doc_id long, label int")
