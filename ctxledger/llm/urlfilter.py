@@ -1,8 +1,10 @@
 """URL filtering: rules first, then naive Bayes over words segmented out of hosts and paths.
 
-The unigram model counts the letter runs of all pages. A host label is cut into
-the words of highest total probability (Viterbi); an unknown run costs ever more
-with its length, so it stays whole unless known words explain it. Naive Bayes is
+The unigram model counts the letter runs of all pages. A host label is cut at its
+digits, and each run of letters into the words of highest total probability
+(Viterbi); an unknown run costs ever more with its length, so it stays whole unless
+known words explain it. The counts are never gathered: each distinct run's
+substrings are joined to them, and it is cut by its own words. Naive Bayes is
 multinomial over hashed tokens, its classes taught by seed words: a page whose
 segmented host or path holds one is an example to block, the others to allow.
 """
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
-from ctxledger.llm._work import materialize, most_frequent, table
+from ctxledger.llm._work import materialize, table
 
-#: Words of the unigram model that are broadcast, the longest word, and the bins of the token counts.
-UNIGRAMS, LONGEST, LOG2 = 50_000, 24, 16
+#: The longest word of the unigram model, and the bins of the token counts.
+LONGEST, LOG2 = 24, 16
 #: Pseudo-count of each bin in each class.
 SMOOTH = 0.05
 #: The rules of the contract, verdict and host/path.
@@ -48,15 +50,11 @@ def _letter_runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(counts.astype(np.int64))], names=["word", "n"])
 
 
-def unigrams(pages: DataFrame) -> dict[str, float]:
-    """Log probabilities of the UNIGRAMS most frequent words at most; counts cover all pages, ties stay or go together."""
+def unigrams(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(word, n) of every word of all pages, and the sum of n, 1 at least."""
     found = pages.select(F.col("html").cast("string").alias("text")).mapInArrow(_letter_runs, "word string, n long")
     counts = materialize(found.groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    top = most_frequent(counts, UNIGRAMS).collect()
-    seeds = math.log(1e-6)
-    known = {r["word"]: math.log(r["n"] / total) for r in top}
-    return {s: seeds for s in SEEDS} | known
+    return counts, counts.agg(F.sum("n")).first()[0] or 1
 
 
 def segment(label: str, model: dict[str, float]) -> list[str]:
@@ -78,16 +76,60 @@ def segment(label: str, model: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-def _tokens(host: str, path: str, model, memo) -> list[str]:
+def _pieces(host: str) -> list[str]:
+    """The parts of a host's labels: runs of letters and of digits; a part beyond ASCII stays whole."""
+    parts = re.split(r"[^a-z0-9\u0080-\U0010ffff]+", host)
+    return [x for p in parts if p for x in (re.findall(r"[a-z]+|[0-9]+", p) if p.isascii() else [p])]
+
+
+def _is_run(piece: str) -> bool:
+    """Whether a piece is segmented."""
+    return len(piece) > 3 and piece.isascii() and piece.isalpha()
+
+
+def _runs(batches):
+    for b in batches:
+        hosts = b.column("host").to_pylist()
+        found = [(h, p) for h in hosts for p in sorted(set(filter(_is_run, _pieces(h))))]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], names=["host", "run"])
+
+
+def _substrings(batches):
+    """(run, word) of each run's distinct substrings of 2 to LONGEST letters."""
+    for b in batches:
+        for run in b.column("run").to_pylist():
+            found = sorted({run[a:z] for a in range(len(run)) for z in range(a + 2, min(len(run), a + LONGEST) + 1)})
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(found, pa.string())], names=["run", "word"])
+
+
+def _cut(total: int):
+    def run(batches):
+        least = math.log(1e-6)
+        seeds = dict.fromkeys(SEEDS, least)
+        for b in batches:
+            runs, words = b.column("run").to_pylist(), []
+            for label, known in zip(runs, b.column("known").to_pylist(), strict=True):
+                model = seeds | {k["word"]: math.log(k["n"] / total) for k in known or ()}
+                words.append(segment(label, model))
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["run", "words"])
+
+    return run
+
+
+def segmented_hosts(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """(host, cuts) of the distinct hosts that hold a run of letters: cuts is an array of (run, words)."""
+    runs = materialize(rows.select("host").distinct().mapInArrow(_runs, "host string, run string"), "runs")
+    one = runs.select("run").distinct()
+    known = one.mapInArrow(_substrings, "run string, word string").join(counts, "word")
+    known = known.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    cut = one.join(known, "run", "left").mapInArrow(_cut(total), "run string, words array<string>")
+    return runs.join(cut, "run").groupBy("host").agg(F.collect_list(F.struct("run", "words")).alias("cuts"))
+
+
+def _tokens(host: str, path: str, cuts: dict[str, list[str]]) -> list[str]:
     out = []
-    for part in re.split(r"[^a-z0-9\u0080-\U0010ffff]+", host):
-        if part:
-            words = memo.get(part)
-            if words is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                words = memo[part] = segment(part, model) if part.isascii() and part.isalpha() and len(part) > 3 else [part]
-            out += words
+    for piece in _pieces(host):
+        out += cuts.get(piece) or [piece]
     out += ["/#" if x.isdigit() else "/" + x.lower() for x in re.split(r"[\W_]+", path) if x]
     return out
 
@@ -99,18 +141,15 @@ def _bins(tokens: list[str]) -> list[int]:
     return (T.range_hashes(raw, off[:-1], off[1:]) >> T.U64(64 - LOG2)).astype(np.int64).tolist()
 
 
-def _tokenised(model):
-    def run(batches):
-        words, memo, seeds = model.value, {}, {*SEEDS, *("/" + s for s in SEEDS)}
-        for b in batches:
-            bins, taught = [], []
-            for host, path in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
-                tokens = _tokens(host, path, words, memo)
-                bins.append(_bins(tokens))
-                taught.append(int(any(t in seeds for t in tokens)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule", "ruled")), pa.array(bins, pa.list_(pa.int64())), pa.array(taught, pa.int32())], names=["page_id", "host", "path", "rule", "ruled", "bins", "taught"])
-
-    return run
+def _tokenised(batches):
+    seeds = {*SEEDS, *("/" + s for s in SEEDS)}
+    for b in batches:
+        bins, taught = [], []
+        for host, path, cuts in zip(*(b.column(c).to_pylist() for c in ("host", "path", "cuts")), strict=True):
+            tokens = _tokens(host, path, {c["run"]: c["words"] for c in cuts or ()})
+            bins.append(_bins(tokens))
+            taught.append(int(any(t in seeds for t in tokens)))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule", "ruled")), pa.array(bins, pa.list_(pa.int64())), pa.array(taught, pa.int32())], names=["page_id", "host", "path", "rule", "ruled", "bins", "taught"])
 
 
 def _judged(model):
@@ -148,9 +187,10 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         verdict = F.when(fits, what) if verdict is None else verdict.when(fits, what)
     none = F.lit(None).cast("string")
     rows = rows.withColumns({"rule": none if rule is None else rule, "ruled": none if verdict is None else verdict})
-    words = spark.sparkContext.broadcast(unigrams(pages))
+    counts, total = unigrams(pages)
+    rows = rows.join(segmented_hosts(rows, counts, total), "host", "left")
     kinds = f"page_id {dict(pages.dtypes)['page_id']}, host string, path string, rule string, ruled string"
-    tokens = materialize(rows.mapInArrow(_tokenised(words), kinds + ", bins array<long>, taught int"), "tokens")
+    tokens = materialize(rows.mapInArrow(_tokenised, kinds + ", bins array<long>, taught int"), "tokens")
     counts = tokens.select("taught", F.explode("bins").alias("bin")).groupBy("taught", "bin").count().collect()  # 2 * 2**LOG2 rows at most
     pages_of = {r["taught"]: r["count"] for r in tokens.groupBy("taught").count().collect()}
     table_ = np.full((2, 1 << LOG2), SMOOTH)

@@ -460,6 +460,22 @@ def test_urls(spark):
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_of_rare_words_and_digits(spark):
+    words_ = ["".join("bcdfghklmnprstvw"[(i >> 4 * k) & 15] + "aeio"[(i >> k) & 3] for k in range(4)) for i in range(60_000)]
+    html = [" ".join(words_[i::6]) for i in range(6)] + ["flower shop"]
+    hosts = ["cheapflowershop", "cheapcasino24", "bet365shop", "flowershop", "riverbank"]
+    rows = [(i, f"https://{h}.example.net/a", html[i] if i < len(html) else None) for i, h in enumerate([*hosts, "x", "y"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts, total = urlfilter.unigrams(pages)
+    hosts_ = spark.createDataFrame([(h,) for h in hosts], "host string")
+    cuts = {r["host"]: {c["run"]: c["words"] for c in r["cuts"]} for r in urlfilter.segmented_hosts(hosts_, counts, total).collect()}
+    assert cuts["cheapflowershop"] == {"cheapflowershop": ["cheap", "flower", "shop"]} and cuts["flowershop"]["flowershop"] == ["flower", "shop"]
+    assert urlfilter._tokens("cheapcasino24", "", cuts["cheapcasino24"]) == ["cheap", "casino", "24"]
+    assert urlfilter._tokens("bet365shop", "", cuts["bet365shop"]) == ["bet", "365", "shop"]
+    verdicts = {r["page_id"]: r["odds"] for r in urlfilter.filter_urls(pages).collect()}
+    assert len(verdicts) == 7 and min(verdicts[i] for i in range(3)) > max(verdicts[i] for i in range(3, 7))
+
+
 def test_viterbi_equals_brute_force():
     model = {"river": math.log(0.2), "stone": math.log(0.2), "rivers": math.log(0.1), "tone": math.log(0.05), "one": math.log(0.1)}
 
