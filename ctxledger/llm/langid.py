@@ -28,6 +28,8 @@ LOG2 = 14
 LANDMARKS = 256
 TRAIN_ROWS = 3000
 RIDGE = 1e-3
+#: Share of the labelled rows that fitted the model whose ridge score lies under the floor of keep_known.
+UNLIKE = 0.001
 _LETTER = re.compile(r"[^\W\d_]")  # letters, and a few numerals that isalpha() tells apart
 
 
@@ -64,8 +66,24 @@ def fit(packed: np.ndarray, lang: np.ndarray) -> tuple[list[str], np.ndarray, np
     return names, folded.astype(np.float32), (mean_y - mean_z @ alpha)
 
 
+def floor(fitted, packed: np.ndarray, unlike: float) -> float:
+    """The ridge score of the best language that all but the share ``unlike`` of the packed rows reach."""
+    _, folded, bias = fitted
+    best = []
+    for lo in range(0, len(packed), 64):
+        x = np.unpackbits(packed[lo : lo + 64], axis=1).astype(np.float32)
+        best.append(((x @ folded) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True))) + bias).max(axis=1))
+    return float(np.quantile(np.concatenate(best), unlike))
+
+
 def train(docs: DataFrame):
-    """Fit on at most TRAIN_ROWS rows of ``docs`` (doc_id, text, lang), the languages in like numbers.
+    """(languages, folded matrix, bias) fitted on the rows of sample; None if there are none."""
+    rows = sample(docs)
+    return None if rows is None else fit(*rows)
+
+
+def sample(docs: DataFrame):
+    """(packed presence rows, languages) of at most TRAIN_ROWS rows of ``docs`` (doc_id, text, lang), the languages in like numbers.
 
     The choice depends on doc_id and lang alone; rows without lang or doc_id are left out.
     """
@@ -84,10 +102,10 @@ def train(docs: DataFrame):
     if not len(rows):
         return None
     packed = np.frombuffer(b"".join(rows.bits), np.uint8).reshape(len(rows), -1)
-    return fit(packed, np.array([lang[d] for d in rows.doc_id]))
+    return packed, np.array([lang[d] for d in rows.doc_id])
 
 
-def _predict(model):
+def _predict(model, least: float | None = None):
     def run(batches):
         fitted = model.value
         for b in T.slices(batches):
@@ -98,11 +116,12 @@ def _predict(model):
                 for _, bits in P.presence(raw, off, ORDERS, LOG2):
                     x = bits.astype(np.float32)
                     z = (x @ folded) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True))) + bias
+                    known = np.ones(len(z), bool) if least is None else z.max(axis=1) >= least
                     p = np.exp(4 * (z - z.max(axis=1, keepdims=True)))
                     p /= p.sum(axis=1, keepdims=True)
                     best = p.argmax(axis=1)
-                    names += [languages[i] for i in best]
-                    scores += p[np.arange(len(p)), best].tolist()
+                    names += [languages[i] if k else "und" for i, k in zip(best, known, strict=True)]
+                    scores += np.where(known, p[np.arange(len(p)), best], 0.0).tolist()
             else:
                 names, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
             for i, x in enumerate(b.column("text")):
@@ -125,10 +144,18 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised (not ``und``), in one pass, all columns as they were."""
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled))
-    predict = _predict(model)
+def keep_known(docs: DataFrame, labelled: DataFrame, unlike: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised (not ``und``), in one pass, all columns as they were.
+
+    With ``unlike``, a text whose best ridge score is under what all but that share of
+    the labelled rows reach is ``und`` too: it is like no language that the model
+    learnt. So are about that share of texts in a learnt one, mostly of few bytes.
+    """
+    rows = sample(labelled)
+    fitted = None if rows is None else fit(*rows)
+    least = None if rows is None or unlike is None else floor(fitted, rows[0], unlike)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
+    predict = _predict(model, least)
 
     def run(batches):
         for b in T.slices(batches):

@@ -199,6 +199,17 @@ def test_language(spark):
     assert langid.identify(docs.limit(0), train).count() == 0
 
 
+def test_pipeline_rejects_unlearnt_languages(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(5)
+    make = {"aa": ["tam", "tim", "tom", "tum"], "bb": ["lok", "lek", "lik", "luk"], "cc": ["öß", "äß", "üß", "éß"]}
+    rows = [(i, " ".join(rng.choice(make[c]) + rng.choice(make[c]) for _ in range(rng.randint(20, 60))), c, "s", 1) for i, c in enumerate(list(make) * 100)]
+    odd = [(1000 + i, " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(40)), None, "s", 1) for i, letters in enumerate(["αβγδεζηθικλμν", "абвгдежзийклмн", "qxzjwvyqxzjwvy"] * 5)]
+    kept = {r["doc_id"] for r in C.language(spark, spark.createDataFrame(rows + odd, DOCS), "").collect()}
+    assert not kept & {r[0] for r in odd} and len(kept) >= 298
+
+
 def test_folded_kernel_equals_landmark_products():
     rng = np.random.default_rng(0)
     bits = (rng.random((60, 1 << 8)) < 0.2).astype(np.uint8)
