@@ -55,7 +55,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     base_failed: under 50 words, or over half of the words in repeated 3-word
     windows. Otherwise a document is kept if its posterior P(good | votes) is at
-    least 0.5; no rule can reject alone. Null, empty and blank texts have zero counts
+    least 0.5. No good vote meets a bad one, so while the prior is at least 0.5 one firing
+    rule rejects. Null, empty and blank texts have zero counts
     and fail the base. Repeated rows are judged alike, one row each; other columns
     are ignored; an empty table gives no rows.
     """
