@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (local tests) a temporary folder takes its place.
+    Where the setting is absent a temporary folder takes its place in local mode only;
+    on a cluster, whose machines share no local folder, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master or 'the cluster'} share")
         base = getattr(spark, "_ctxledger_scratch", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="spark-ctxledger-")
@@ -67,3 +71,17 @@ def first_rows(df: DataFrame, most: int, n: str, key: str) -> DataFrame:
             return df.where(step > s).unionByName(edge)
         total += c
     return df
+
+
+def smallest_hashes(df: DataFrame, columns: list[str], most: int, total: int, salt: int) -> DataFrame:
+    """``columns`` of the ``most`` rows of least hash of the first column, all of ``total`` rows if there are no more.
+
+    A bound on the hash lets about twice as many rows through before they are put in
+    order, so that a large table is never sorted. Ties go by the columns in order.
+    """
+    rows = df.select(*columns)
+    if total <= most:
+        return rows
+    hashed = F.xxhash64(columns[0], F.lit(salt))
+    bound = min(2**63 - 1, int((2 * most + 100) / total * 2**64) - 2**63)
+    return rows.where(hashed <= bound).orderBy(hashed, *columns).limit(most)

@@ -11,38 +11,38 @@ from pyspark.sql import functions as F
 from ctxledger.llm import _text as T
 from ctxledger.llm import presence as P
 from ctxledger.llm import weak
-from ctxledger.llm._work import materialize, table
+from ctxledger.llm._work import materialize, smallest_hashes, table
 from ctxledger.llm.stats import text_stats
 
 
 def rules() -> dict[str, Column]:
     """The overlapping heuristics, as votes on the columns of text_stats.
 
-    Each defect has a labeller that votes bad (-1) or abstains (0); the last one
-    votes good (1) for text that looks like plain prose in every respect.
+    Each votes bad (-1) beyond one bound of its measure, good (1) within a stricter
+    one, and abstains (0) between them and on texts too short for it. Any defect
+    shows in two measures or more, so one that fires alone can be outvoted.
     """
     c = F.col
-    words, chars, lines = c("n_words"), c("word_chars"), c("n_lines")
+    words, chars, lines, symbols, stops = (c(x) for x in ("n_words", "word_chars", "n_lines", "n_symbols", "n_stops"))
     letters = c("n_upper") + c("n_lower") + c("n_wide")
-    some = words >= 5
-    bad = {
-        "symbols": some & (c("n_symbols") * 100 > chars * 5),
-        "capitals": some & (c("n_upper") * 100 > letters * 30),
-        "repeats": some & (c("n_repeat_words") * 100 > words * 30),
-        "duplicate_lines": (lines >= 3) & (c("n_dup_lines") * 100 > lines * 30),
-        "exclamations": some & (c("n_bangs") * 10 > words),
-        "word_length": some & ((chars < words * 3) | (chars > words * 10)),
-        "stops": some & (c("n_stops") * 2 > words),
-        "digits": some & (c("n_digits") * 100 > chars * 40),
-        "blank": words < 1,
-    }
-    prose = (
-        some & (c("n_symbols") * 100 <= chars) & (c("n_upper") * 100 <= letters * 10) & (c("n_repeat_words") * 100 <= words * 10)
-        & (c("n_dup_lines") * 100 <= lines * 10) & (c("n_bangs") * 100 <= words) & (chars >= words * 3) & (chars <= words * 10)
-        & (c("n_stops") * 100 >= words) & (c("n_stops") * 4 <= words) & (c("n_digits") * 100 <= chars * 10)
-    )
-    votes = {name: F.when(found, -1).otherwise(0) for name, found in bad.items()}
-    return votes | {"prose": F.when(prose, 1).otherwise(0)}
+    some, many = words >= 5, lines >= 3
+
+    def vote(where, bad, good, always_bad=None):
+        found = where & bad if always_bad is None else always_bad | (where & bad)
+        return F.when(found, -1).when(where & good, 1).otherwise(0)
+
+    return {
+        "symbols": vote(some, symbols * 100 > chars * 5, symbols * 100 <= chars),
+        "marks": vote(some, symbols * 5 > words, symbols * 50 <= words),
+        "letters": vote(some, letters * 100 < chars * 85, letters * 100 >= chars * 93),
+        "capitals": vote(some, c("n_upper") * 100 > letters * 30, c("n_upper") * 100 <= letters * 10),
+        "exclamations": vote(some, c("n_bangs") * 10 > words, c("n_bangs") * 100 <= words),
+        "repeats": vote(some, c("n_repeat_words") * 100 > words * 30, c("n_repeat_words") * 100 <= words * 10),
+        "variety": vote(some, c("n_distinct") < F.pow(words, F.lit(0.75)), c("n_distinct") >= F.pow(words, F.lit(0.85))),
+        "lines": vote(many, c("n_dup_lines") * 100 > lines * 30, c("n_dup_lines") * 100 <= lines * 10),
+        "stops": vote(some, (stops * 2 > words) | (stops * 100 < words), (stops * 50 >= words) & (stops * 4 <= words), words < 1),
+        "word_length": vote(some, (chars < words * 3) | (chars * 2 > words * 15), (chars * 2 >= words * 7) & (chars * 2 <= words * 13)),
+    }
 
 
 def _voted(docs: DataFrame, name: str) -> DataFrame:
@@ -55,10 +55,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     base_failed: under 50 words, or over half of the words in repeated 3-word
     windows. Otherwise a document is kept if its posterior P(good | votes) is at
-    least 0.5. No good vote meets a bad one, so while the prior is at least 0.5 one firing
-    rule rejects. Null, empty and blank texts have zero counts
-    and fail the base. Repeated rows are judged alike, one row each; other columns
-    are ignored; an empty table gives no rows.
+    least 0.5 (a tie keeps): the fitted rates decide whether a bad vote is believed
+    against the good ones. Null, empty and blank texts have zero counts
+    and fail the base. Repeated rows are judged alike, one row each, and count as
+    often as they occur; other columns are ignored; an empty table gives no rows.
     """
     voted, _, _ = weak.label(_voted(docs, "stats"), len(rules()))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -106,16 +106,17 @@ def quality_model(docs: DataFrame):
 
     Every document votes; a sample of TRAIN_ROWS at most, half of it from the
     documents that the votes call bad where there are enough, trains the scorer on
-    soft labels. The sample depends on doc_id alone.
+    soft labels. The sample depends on doc_id and votes alone.
     """
     voted, _, found = weak.label(_voted(docs, "stats"), len(rules()))
     totals = {True: 0, False: 0}
     for n, p in found.values():
         totals[p >= 0.5] += n
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    share = {c: min(1.0, TRAIN_ROWS / 2 / n) if n else 0.0 for c, n in totals.items()}
-    chosen = voted.where(draw < F.when(F.col("posterior") >= 0.5, share[True] * 1e6).otherwise(share[False] * 1e6))
-    chosen = chosen.where("doc_id is not null").groupBy("doc_id").agg(F.max("posterior").alias("posterior")).limit(TRAIN_ROWS)
+    known = voted.where("doc_id is not null")
+    half = TRAIN_ROWS // 2
+    most = {True: max(half, TRAIN_ROWS - totals[False]), False: max(half, TRAIN_ROWS - totals[True])}
+    parts = [smallest_hashes(known.where((F.col("posterior") >= 0.5) == c), ["doc_id", "posterior"], most[c], totals[c], 3) for c in (True, False)]
+    chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("posterior").alias("posterior"))
     chosen = materialize(chosen, "chosen")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = texts.mapInArrow(_features(LOG2, ORDERS), "doc_id long, bits binary").toPandas()

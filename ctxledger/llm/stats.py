@@ -18,7 +18,7 @@ CLASSES = {
     "n_bangs": b"!",
     "n_stops": b".?!",
 }
-COUNTS = ("n_words", "word_chars", *CLASSES, "n_wide", "n_lines", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", *CLASSES, "n_wide", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct")
 SCHEMA = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS)])
 
 
@@ -86,6 +86,9 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     for j in range(3):
         covered[twice + j] = True
     out["n_repeat_words"] = _per_text(covered, w.first)
+    wdoc = w.doc()
+    _, at = np.unique(T.mix(w.hash ^ (wdoc.astype(np.uint64) + T.U64(1)) * T.U64(0x9E3779B97F4A7C15)), return_index=True)
+    out["n_distinct"] = np.bincount(wdoc[at], minlength=len(offsets) - 1).astype(np.int64)
     return out
 
 
@@ -100,7 +103,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
 
     word_chars counts code points in words; n_lines and n_dup_lines count
     newline-split lines that hold a word (all, and those equal to an earlier line);
-    n_repeat_words counts words inside a 3-word window found twice or more. A null
-    text counts as empty, all zero.
+    n_repeat_words counts words inside a 3-word window found twice or more; n_distinct
+    counts distinct words. A null text counts as empty, all zero.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_run, SCHEMA)

@@ -17,55 +17,50 @@ from pyspark.sql import functions as F
 MOST = 10
 
 
-#: Where the fit starts, and what its pseudo-counts say: P(good | a bad vote), P(good | a good vote), P(good).
-BELIEF = (0.1, 0.95, 0.85)
+#: Where the fit starts, and what its pseudo-counts say: P(bad vote | bad), P(bad vote | good), each of a labeller that votes; P(good).
+BELIEF = (0.3, 0.05, 0.85)
+#: Pseudo-documents behind each of these beliefs; a constant, so that data outweigh them.
+STRENGTH = 10.0
 
 
 @dataclasses.dataclass
 class VoteModel:
-    """Class prior P(good) and P(good | labeller j votes v), columns v = bad, good."""
+    """Class prior P(good) and each labeller's P(bad vote | it votes, class), columns class bad, good."""
 
     prior: float
-    given: np.ndarray  # (labellers, 2)
+    rates: np.ndarray  # (labellers, 2)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(good | votes) for rows of votes; an abstention says nothing."""
-        base = _logit(self.prior)
-        shift = _logit(self.given) - base
-        odds = base + (votes < 0) @ shift[:, 0] + (votes > 0) @ shift[:, 1]
+        bad = np.log(self.rates[:, 1] / self.rates[:, 0])
+        good = np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0]))
+        odds = np.log(self.prior / (1 - self.prior)) + (votes < 0) @ bad + (votes > 0) @ good
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
     def accuracies(self) -> np.ndarray:
-        """P(a vote is right) of each labeller, columns bad and good votes."""
-        return np.stack([1 - self.given[:, 0], self.given[:, 1]], axis=1)
+        """P(a vote is right | class) of each labeller, columns class bad, good."""
+        return np.stack([self.rates[:, 0], 1 - self.rates[:, 1]], axis=1)
 
 
-def _logit(p):
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
-
-
-def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = 0.5) -> VoteModel:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> VoteModel:
     """Maximum a posteriori fit by expectation-maximisation on distinct vote patterns.
 
     Given the class, votes are independent. The E-step takes each pattern's
-    posterior, the M-step each labeller's accuracy as the mean posterior of the
-    documents on which it votes. Pseudo-counts of ``strength`` times those
-    documents (2 at least) hold ``BELIEF``, which fixes the classes' meaning, keeps a
-    labeller that overlaps with no other where it was, and gives a defined result
-    on an empty table.
+    posterior, the M-step each labeller's share of bad votes among the votes it casts
+    in either class, and the share of good documents. ``STRENGTH`` pseudo-documents
+    hold ``BELIEF``: they fix which class is which and give a defined result on an
+    empty table. A labeller that cries bad alone, where the others agree on good,
+    is found to be wrong there and outvoted; labellers that agree on bad are believed.
     """
     m = votes.shape[1]
-    weight = np.stack([(votes < 0) * counts[:, None], (votes > 0) * counts[:, None]], axis=2)  # (pattern, labeller, vote)
-    total = weight.sum(axis=0)
-    extra = np.maximum(2.0, strength * total)
+    bad, voted = (votes < 0).astype(float), (votes != 0).astype(float)
     believed = np.array(BELIEF[:2])
     model = VoteModel(BELIEF[2], np.repeat(believed[None], m, axis=0))
     good = model.posterior(votes)
     for _ in range(rounds):
-        given = (np.tensordot(good, weight, 1) + extra * believed) / (total + extra)
-        few = max(2.0, 0.01 * counts.sum())
-        model = VoteModel(float(((good * counts).sum() + few * BELIEF[2]) / (counts.sum() + few)), given)
+        weight = np.stack([counts * (1 - good), counts * good])  # (class, pattern)
+        rates = (weight @ bad + STRENGTH * believed[:, None]) / (weight @ voted + STRENGTH)
+        model = VoteModel(float((weight[1].sum() + STRENGTH * BELIEF[2]) / (counts.sum() + STRENGTH)), rates.T)
         new = model.posterior(votes)
         if np.abs(new - good).max(initial=0.0) < 1e-9:
             break
