@@ -1,17 +1,16 @@
 """Language-model scoring: prediction by partial matching over byte contexts.
 
-Training counts every four-byte window of the learning texts, each text framed by
-three opening marks and one closing mark (byte 0xFF, which UTF-8 never uses). The
-trie of contexts up to three bytes follows from those counts. A byte not seen
-after a context escapes to the next shorter one with the share that the context's
-distinct successors have (method C), and what the longer context has seen is
-excluded there; under the shortest one the 256 byte values are alike. Because the
-trie is fixed while scoring, each context's whole distribution is worked out once
-per worker, and scoring reads one cell a byte.
+Training counts every window of ORDER + 1 bytes of the learning texts, each text
+framed by ORDER opening marks and one closing mark (byte 0xFF, which UTF-8 never
+uses). The trie of contexts up to ORDER bytes follows from those counts. A byte is
+looked up in the longest context that has been seen. One not seen there escapes to
+the next shorter one: of t windows with d distinct successors a byte seen n times has
+(2 n - 1) / 2 t, and d / 2 t is left to escape (method D). What the longer context has
+seen is excluded there, and under the shortest one the 256 byte values are alike.
 
 The counts stay whole in a table. The broadcast trie is a cache of its most frequent
 contexts, each with all that followed it; a window whose context is not cached, and
-may have been seen, is handed out and scored by joins with the counts of orders 3 to 0.
+may have been seen, is handed out and scored by joins with the counts of all orders.
 
 The unigram base score needs the count of every token. The most frequent tokens
 are broadcast in a table of fixed size; the others are joined.
@@ -31,27 +30,33 @@ from ctxledger.llm._work import materialize, most_frequent, table
 from ctxledger.llm.langid import held_out
 
 MARK = 0xFF
-#: Bounds of what is broadcast: windows of the trie, contexts with a row of their own, frequent tokens.
-TRIE_WINDOWS, CONTEXTS, FREQUENT = 1_000_000, 65_536, 131_072
-#: Contexts worked out at once while a trie is built.
-CHUNK = 1024
+#: Bytes of the longest context; 7 at most, so that a window fits a signed long.
+ORDER = 5
+#: Bounds of what is broadcast: cells (a context and a byte after it) of the trie, frequent tokens.
+CELLS, FREQUENT = 4_000_000, 131_072
 #: Distinct counts that a task holds before it hands them on.
 HELD = 1_000_000
 WORD, WINDOW, TEXT = 0, 1, 2
 
 
-def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four-byte windows, one for each byte of each text and its closing mark, and their offsets by text."""
-    n = len(offsets) - 1
-    framed = np.full(len(raw) + 4 * n + 3, MARK, np.uint32)
-    framed[np.arange(len(raw)) + np.repeat(4 * np.arange(n) + 3, np.diff(offsets))] = raw
-    keys = (framed[:-3] << np.uint32(24)) | (framed[1:-2] << np.uint32(16)) | (framed[2:-1] << np.uint32(8)) | framed[3:]
-    first = offsets + 4 * np.arange(n + 1)
-    keep = np.ones(len(keys), bool)  # windows that end on an opening mark of the next text
-    for j in range(1, 4):
-        at = first[1:] - j
-        keep[at[at < len(keys)]] = False
-    return keys[keep], offsets + np.arange(n + 1)
+def _tail(n: int) -> int:
+    """Mask of a key's last n bytes."""
+    return (1 << 8 * n) - 1
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray):
+    """Windows of ORDER + 1 bytes, one for each byte of each text and its closing mark, in parts; text i has offsets[i + 1] - offsets[i] + 1."""
+    n, wide = len(offsets) - 1, ORDER + 1
+    framed = np.full(len(raw) + wide * n, MARK, np.uint8)
+    framed[np.arange(len(raw)) + np.repeat(wide * np.arange(n) + ORDER, np.diff(offsets))] = raw
+    first = offsets + np.arange(n + 1)
+    for lo in range(0, int(first[-1]), T.SEGMENT):
+        at = np.arange(lo, min(int(first[-1]), lo + T.SEGMENT))
+        at += ORDER * (np.searchsorted(first, at, "right") - 1)
+        keys = np.zeros(len(at), np.uint64)
+        for j in range(wide):
+            keys = (keys << np.uint64(8)) | framed[at + j]
+        yield keys
 
 
 def _merge(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +80,7 @@ def _count(batches):
     for b in T.slices(batches):
         raw, off = T.buffers(b.column("text"))
         texts += b.num_rows
-        for kind, keys in ((WORD, T.words(raw, off).hash), (WINDOW, windows(raw, off)[0])):
+        for kind, keys in [(WORD, T.words(raw, off).hash), *((WINDOW, k) for k in windows(raw, off))]:
             keys, counts = np.unique(keys, return_counts=True)
             held = kept[kind]
             held[0].append(keys)
@@ -94,76 +99,88 @@ def _count(batches):
     yield from hand(TEXT, np.zeros(1, np.uint64), np.array([texts]))
 
 
+def _find(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether there) of ``wanted`` in sorted ``names``."""
+    if not len(names):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return at, names[at] == wanted
+
+
 class Trie:
-    """Every context's distribution: ``page`` maps a three-byte context to a row of ``table`` (log10)."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], whole: list[bool]):
-        """``grams``: by order, (keys, counts) of contexts with all their successors; ``whole``: whether every context is there.
-
-        The page of a context that is not there, and may have been seen, is -1.
-        """
-        self.page = np.zeros(1 << 24, np.int32)
-        rows, seen_rows = [], 0
-        below = None  # of the order before: contexts, their counts, their distributions under exclusion
-        for order in range(4):
-            gram, weights = grams[order][0].astype(np.int64), grams[order][1]
-            if order:
-                known = np.isin((gram >> 8) & ((1 << 8 * (order - 1)) - 1), below[0])  # a context needs its shorter ones
-                gram, weights = gram[known], weights[known]
-            names, at = np.unique(gram >> 8, return_inverse=True) if order else (np.zeros(1, np.int64), gram >> 8)
-            symbol = gram & 255
-            turn = np.argsort(at, kind="stable")
-            at, symbol, weights = at[turn], symbol[turn], weights[turn]
-            table = np.empty((len(names), 256), np.float32)
-            hold = order < 3  # the longest contexts have none above them that would read their counts
-            c_all, lower_all = (np.empty_like(table), np.empty_like(table)) if hold else (None, None)
-            parent = self._find(below[0], names & ((1 << 8 * (order - 1)) - 1)) if order else None
-            for lo in range(0, len(names), CHUNK):
-                hi = min(len(names), lo + CHUNK)
-                x, y = np.searchsorted(at, [lo, hi])
-                c = np.bincount((at[x:y] - lo) * 256 + symbol[x:y], weights=weights[x:y], minlength=256 * (hi - lo)).reshape(-1, 256).astype(np.float32)
-                if order:
-                    p = parent[lo:hi]
-                    lower = self._mixed(np.where(c == 0, below[1][p], 0), below[2][p], c > 0)
-                else:
-                    lower = np.where(c == 0, 1.0 / np.maximum(1, (c == 0).sum(axis=1, keepdims=True)), 0.0).astype(np.float32)
-                table[lo:hi] = np.log10(np.maximum(self._mixed(c, lower, np.zeros(c.shape, bool)), 1e-30))
-                if hold:
-                    c_all[lo:hi], lower_all[lo:hi] = c, lower
-            rows.append(table)
-            place = seen_rows + np.arange(len(names), dtype=np.int32)
-            if not whole[order]:
-                self.page[:] = -1
-            if 0 < order < 3:
-                self.page.reshape(-1, 1 << 8 * order)[:, names] = place
-            elif order:
-                self.page[names] = place
-            seen_rows += len(names)
-            below = (names, c_all, lower_all)
-        self.table = np.concatenate(rows).reshape(-1)
-
-    @staticmethod
-    def _find(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
-        return np.where(names[at] == wanted, at, 0)
-
-    @staticmethod
-    def _mixed(c: np.ndarray, lower: np.ndarray, excluded: np.ndarray) -> np.ndarray:
-        """Counts with their escape: c / (T + D) where seen, else D / (T + D) of ``lower``."""
-        t, d = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        can = ((c == 0) & ~excluded).any(axis=1, keepdims=True)
-        escape = np.where(t == 0, 1.0, np.where(can, d / np.maximum(1, t + d), 0.0))
-        return np.where(c > 0, c / np.maximum(1, t + np.where(can, d, 0)), escape * lower).astype(np.float32)
-
-    def score(self, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text from its windows, and the places of windows left out of it, whose context is not cached."""
-        page = self.page[keys >> np.uint32(8)].astype(np.int64)
-        logs = self.table[np.maximum(page, 0) * 256 + (keys & np.uint32(255))]
-        left = np.flatnonzero(page < 0)
-        logs[left] = 0
-        total = np.zeros(len(keys) + 1)
-        np.cumsum(logs, dtype=np.float64, out=total[1:])
-        return total[first[1:]] - total[first[:-1]], left
+    """Cells and contexts of each order, sorted by key.
+
+    A context holds t windows, d distinct successors, and r windows of its next
+    shorter context that end in one of these successors: what exclusion takes there.
+    """
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], whole: bool):
+        """``grams``: by order, (keys, counts) of contexts with all their successors; ``whole``: whether every context is there."""
+        self.whole, self.orders = whole, []
+        below = None
+        for order, (keys, counts) in enumerate(grams):
+            turn = np.argsort(keys)
+            keys, counts = keys[turn], counts[turn].astype(float)
+            names = keys >> np.uint64(8)
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(keys) else np.zeros(0, np.int64)
+            if not len(keys):
+                t = d = r = np.zeros(0)
+            else:
+                t, d = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))).astype(float)
+                r = np.add.reduceat(below[1][_find(below[0], keys & np.uint64(_tail(order)))[0]], first) if order else np.zeros(1)
+            self.orders.append((names[first], t, d, r, keys, counts.astype(np.float32)))
+            below = (keys, counts)
+
+    def _unseen(self, order: int, context: np.ndarray) -> np.ndarray:
+        """Whether contexts of ``order`` bytes surely never occurred: as a window, with a cached context of its own, they have no cell."""
+        names, _, _, _, cells, _ = self.orders[order - 1]
+        return _find(names, context >> np.uint64(8))[1] & ~_find(cells, context)[1] & ((context & np.uint64(255)) != MARK)
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each window; NaN where the cache can't tell."""
+        out = np.full(len(keys), np.nan)
+        at = np.arange(len(keys))
+        total, begun = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        used_t, used_d = np.zeros(len(keys)), np.zeros(len(keys))
+        for order in range(ORDER, -1, -1):
+            names, t, d, r, cells, counts = self.orders[order]
+            gram = keys[at] & np.uint64(_tail(order + 1))
+            context, there = _find(names, gram >> np.uint64(8))
+            if not self.whole and order:
+                sure = there | begun
+                sure[~sure] = self._unseen(order, gram[~sure] >> np.uint64(8))
+                at, total, begun, used_t, used_d, gram, context, there = (x[sure] for x in (at, total, begun, used_t, used_d, gram, context, there))
+            cell, seen = _find(cells, gram)
+            some = np.flatnonzero(there)
+            open_t, open_d = np.zeros(len(at)), np.zeros(len(at))
+            open_t[some], open_d[some] = t[context[some]] - used_t[some], d[context[some]] - used_d[some]
+            hit = np.flatnonzero(seen)
+            out[at[hit]] = total[hit] + np.log10((2.0 * counts[cell[hit]] - 1) / (2 * open_t[hit]))
+            escape = np.flatnonzero(~seen & (open_t > 0))
+            total[escape] += np.log10(open_d[escape] / (2 * open_t[escape]))
+            used_t[some], used_d[some] = r[context[some]], d[context[some]]
+            begun |= there
+            left = ~seen
+            at, total, begun, used_t, used_d = (x[left] for x in (at, total, begun, used_t, used_d))
+        out[at] = total - np.log10(256 - used_d)
+        return out
+
+    def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text without its unsettled windows; the texts and keys of these."""
+        first = offsets + np.arange(len(offsets))
+        total, texts, left = np.zeros(len(offsets) - 1), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        lo = 0
+        for keys in windows(raw, offsets):
+            distinct, back = np.unique(keys, return_inverse=True)
+            logs = self.logs(distinct)[back]
+            doc = np.searchsorted(first, np.arange(lo, lo + len(keys)), "right") - 1
+            unsure = np.flatnonzero(np.isnan(logs))
+            logs[unsure] = 0
+            total += np.bincount(doc, weights=logs, minlength=len(total))
+            texts.append(doc[unsure])
+            left.append(keys[unsure])
+            lo += len(keys)
+        return total, np.concatenate(texts), np.concatenate(left)
 
 
 #: The worker's trie, by the name of the model it was made for.
@@ -188,8 +205,7 @@ def _scores(model):
             part = np.concatenate([[0.0], np.cumsum(logs[at])])
             hits = np.concatenate([[0], np.cumsum(hit)])
             miss = np.flatnonzero(~hit)
-            keys, first = windows(raw, off)
-            score, left = trie.score(keys, first)
+            score, texts, left = trie.score(raw, off)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("row"),
@@ -199,7 +215,7 @@ def _scores(model):
                     pa.array(part[w.first[1:]] - part[w.first[:-1]] + np.log10(ends + 1.0)),
                     T.ragged(np.searchsorted(miss, w.first), w.hash[miss].view(np.int64)),
                     pa.array(score),
-                    T.ragged(np.searchsorted(left, first), keys[left].astype(np.int64)),
+                    T.ragged(np.searchsorted(texts, np.arange(len(off))), left.astype(np.int64)),
                 ],
                 names=["row", "doc_id", "n_tokens", "n_known", "logs", "rare", "score", "left"],
             )
@@ -207,77 +223,72 @@ def _scores(model):
     return run
 
 
-def _grams(windows_: DataFrame) -> list[DataFrame]:
-    """(key, n) of orders 0 to 3: every context with the byte after it."""
-    shorter = [F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key") for k in range(3)]
-    return [windows_.groupBy(k).agg(F.sum("n").alias("n")) for k in shorter] + [windows_]
+def _grams(windows_: DataFrame) -> DataFrame:
+    """(order, key, n) of orders 0 to ORDER: every context with the byte after it."""
+    found = windows_.select(F.lit(ORDER).alias("order"), "key", "n")
+    for order in range(ORDER):
+        shorter = windows_.groupBy(F.col("key").bitwiseAND(F.lit(_tail(order + 1))).alias("key")).agg(F.sum("n").alias("n"))
+        found = found.unionByName(shorter.select(F.lit(order).alias("order"), "key", "n"))
+    return found
 
 
-def _cached(grams: list[DataFrame]) -> tuple[list, list[bool]]:
+def _cached(grams: DataFrame) -> tuple[list, bool]:
     """(keys, counts) by order of the most frequent contexts, and whether they are all.
 
-    Orders 0 and 1 have 65,792 cells at most and are taken whole; the others as far as
-    CONTEXTS contexts of TRIE_WINDOWS cells in all go, from the most frequent down. A
-    context comes with all its cells or not at all.
+    Orders 0 and 1 have 65,792 cells at most and are taken whole; of the others, the
+    contexts seen most often, as far as CELLS cells in all go. A context comes with
+    all its cells or not at all, and never without the shorter ones, which are seen no
+    less often.
     """
-    taken, whole = [], []
-    for order in range(4):
-        rows = grams[order]
-        if order < 2:
-            all_in = True
-        else:
-            contexts = rows.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
-            step = F.floor(F.log2(F.col("t").cast("double")) * 64).cast("int")
-            steps = sorted(((r["s"], r["c"], r["d"]) for r in contexts.groupBy(step.alias("s")).agg(F.count("*").alias("c"), F.sum("d").alias("d")).collect()), reverse=True)
-            names = cells = 0
-            least, all_in = None, True
-            for s, c, d in steps:
-                if names + c > CONTEXTS or cells + d > TRIE_WINDOWS:
-                    all_in = False
-                    break
-                names, cells, least = names + c, cells + d, s
-            if not all_in:
-                chosen = contexts.where(F.lit(False) if least is None else step >= least).select("context")
-                rows = rows.join(F.broadcast(chosen), F.shiftright("key", 8) == F.col("context"), "left_semi")
-        got = rows.select("key", "n").toPandas()
-        taken.append((got.key.to_numpy().astype(np.uint32), got.n.to_numpy().astype(float)))
-        whole.append(all_in)
+    context = F.shiftright("key", 8)
+    contexts = grams.where("order > 1").groupBy("order", context.alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
+    step = F.floor(F.log2(F.col("t").cast("double")) * 64).cast("int")
+    steps = sorted(((r["s"], r["d"]) for r in contexts.groupBy(step.alias("s")).agg(F.sum("d").alias("d")).collect()), reverse=True)
+    cells, least, whole = 0, None, True
+    for s, d in steps:
+        if cells + d > CELLS:
+            whole = False
+            break
+        cells, least = cells + d, s
+    rows = grams
+    if not whole:
+        chosen = contexts.where(F.lit(False) if least is None else step >= least).select("order", "context")
+        long = grams.where("order > 1").withColumn("context", context).join(chosen, ["order", "context"], "left_semi").drop("context")
+        rows = materialize(grams.where("order < 2").unionByName(long), "cached")
+    taken = []
+    for order in range(ORDER + 1):
+        got = rows.where(F.col("order") == order).select("key", "n").toPandas()
+        taken.append((got.key.to_numpy().astype(np.uint64), got.n.to_numpy().astype(np.float32)))
     return taken, whole
 
 
-def _probabilities(wanted: DataFrame, grams: list[DataFrame]) -> DataFrame:
+def _probabilities(wanted: DataFrame, grams: DataFrame) -> DataFrame:
     """(key, log10 probability p) of the distinct windows ``wanted`` (key), from the whole counts.
 
     What a context has seen its shorter ones have seen too, so under exclusion a
     shorter context has the distinct successors d less those of the longer one, and
     the total t less what it counts for them, r.
     """
-    tables = []
-    for order in range(4):
-        rows = grams[order].select("key", "n")
-        if order:
-            below = grams[order - 1].select(F.col("key").alias("under"), F.col("n").alias("m"))
-            rows = rows.join(below, F.col("key").bitwiseAND(F.lit((1 << 8 * order) - 1)) == F.col("under"))
-        else:
-            rows = rows.withColumn("m", F.lit(0))
-        table_ = rows.groupBy(F.shiftright("key", 8).alias(f"c{order}")).agg(F.sum("n").alias(f"t{order}"), F.count("*").alias(f"d{order}"), F.sum("m").alias(f"r{order}"))
-        tables.append(materialize(table_, f"contexts-{order}"))
     out = wanted
-    for order in range(4):
-        cells = grams[order].select(F.col("key").alias("cell"), F.col("n").alias(f"n{order}"))
-        gram = F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+    for order in range(ORDER + 1):
+        cells = grams.where(F.col("order") == order).select("key", "n")
+        rows = cells.withColumn("m", F.lit(0))
+        if order:
+            below = grams.where(F.col("order") == order - 1).select(F.col("key").alias("under"), F.col("n").alias("m"))
+            rows = cells.join(below, F.col("key").bitwiseAND(F.lit(_tail(order))) == F.col("under"))
+        contexts = rows.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias(f"t{order}"), F.count("*").alias(f"d{order}"), F.sum("m").alias(f"r{order}"))
+        gram = F.col("key").bitwiseAND(F.lit(_tail(order + 1)))
+        cells = cells.select(F.col("key").alias("cell"), F.col("n").alias(f"n{order}"))
         out = out.join(cells, gram == F.col("cell"), "left").drop("cell")
-        out = out.join(tables[order], F.shiftright(gram, 8) == F.col(f"c{order}"), "left").drop(f"c{order}")
+        out = materialize(out.join(contexts, F.shiftright(gram, 8) == F.col("c"), "left").drop("c"), "paths")
     out = out.fillna(0)
-    p = 1.0 / F.greatest(F.lit(1), 256 - F.col("d0"))
-    for order in range(4):
+    p = 1.0 / (256 - F.col("d0"))
+    for order in range(ORDER + 1):
         n, t, d = (F.col(f"{x}{order}") for x in "ntd")
-        can = d < 256
-        if order < 3:
+        if order < ORDER:
             t, d = t - F.col(f"r{order + 1}"), d - F.col(f"d{order + 1}")
-        escape = F.when(t == 0, 1.0).when(can, d / (t + d)).otherwise(0.0)
-        p = F.when(n > 0, n / F.greatest(F.lit(1), t + F.when(can, d).otherwise(0))).otherwise(escape * p)
-    return out.select("key", F.log10(F.greatest(p, F.lit(1e-30))).alias("p"))
+        p = F.when(n > 0, (2 * n - 1) / (2 * t)).otherwise(F.when(t > 0, d / (2 * t)).otherwise(1.0) * p)
+    return out.select("key", F.log10(p).alias("p"))
 
 
 def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
@@ -300,7 +311,7 @@ def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
     top = most_frequent(words.select("key", "n"), FREQUENT).toPandas()
     frequent = top.key.to_numpy().view(np.uint64)
     order = np.argsort(frequent)
-    grams = _grams(counts.where(F.col("kind") == WINDOW).select("key", "n"))
+    grams = materialize(_grams(counts.where(F.col("kind") == WINDOW).select("key", "n")), "grams")
     cached, whole = _cached(grams)
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, cached, whole, frequent[order], top.n.to_numpy()[order].astype(float), int(ends)))
 
@@ -311,8 +322,7 @@ def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("known"))
     out = scored.drop("rare", "left").join(rare, "row", "left")
     score = F.col("score")
-    if not all(whole):
-        grams = [*(materialize(g, "grams") for g in grams[:3]), grams[3]]
+    if not whole:
         left = scored.select("row", F.explode("left").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
         left = materialize(left, "left")
         left = left.join(_probabilities(left.select("key").distinct(), grams), "key").groupBy("row").agg(F.sum(F.col("p") * F.col("times")).alias("late"))
