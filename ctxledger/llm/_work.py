@@ -24,15 +24,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="spark-ctxledger-")
             spark._ctxledger_scratch = base
+    if ":/" not in base:  # tasks read and write there too, so the store must be named
+        base = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared Parquet table and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def written(df: DataFrame, name: str) -> str:
+    """The path of a shared Parquet table that ``df`` is written to."""
+    path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def read_columns(path: str, columns: list[str]):
+    """A shared Parquet table, read whole inside a task, as an Arrow table; for models of a bounded size."""
+    from pyarrow import dataset, fs
+
+    store, base = fs.FileSystem.from_uri(path)
+    return dataset.dataset(base, filesystem=store, format="parquet").to_table(columns=columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

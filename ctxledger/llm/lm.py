@@ -8,8 +8,9 @@ the next shorter one: of t windows with d distinct successors a byte seen n time
 (2 n - 1) / 2 t, and d / 2 t is left to escape (method D). What the longer context has
 seen is excluded there, and under the shortest one the 256 byte values are alike.
 
-The counts stay whole in a table. The broadcast trie is a cache of its most frequent
-contexts, each with all that followed it; a window whose context is not cached, and
+The counts stay whole in a table. The trie that workers hold is a cache of its most
+frequent contexts, each with all that followed it, which they read from the shared
+folder, so that none of it passes through the driver; a window whose context is not cached, and
 may have been seen, is handed out and scored by joins with the counts of all orders.
 
 The unigram base score needs the count of every token. The most frequent tokens
@@ -18,21 +19,19 @@ are broadcast in a table of fixed size; the others are joined.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
-from ctxledger.llm._work import materialize, most_frequent, table
+from ctxledger.llm._work import materialize, most_frequent, read_columns, table, written
 from ctxledger.llm.langid import held_out
 
 MARK = 0xFF
 #: Bytes of the longest context; 7 at most, so that a window fits a signed long.
 ORDER = 5
-#: Bounds of what is broadcast: cells (a context and a byte after it) of the trie, frequent tokens.
+#: Bounds of what a worker holds: cells (a context and a byte after it) of the trie, frequent tokens.
 CELLS, FREQUENT = 4_000_000, 131_072
 #: Distinct counts that a task holds before it hands them on.
 HELD = 1_000_000
@@ -183,17 +182,17 @@ class Trie:
         return total, np.concatenate(texts), np.concatenate(left)
 
 
-#: The worker's trie, by the name of the model it was made for.
+#: The worker's trie, by the path of its cells.
 _tries: dict = {}
 
 
 def _scores(model):
     def run(batches):
-        name, grams, whole, frequent, known, ends = model.value
-        if name not in _tries:
+        path, whole, frequent, known, ends = model.value
+        if path not in _tries:
             _tries.clear()
-            _tries[name] = Trie(grams, whole)
-        trie = _tries[name]
+            _tries[path] = _load(path, whole)
+        trie = _tries[path]
         logs = np.append(np.log10(known + 1.0), 0.0)
         for b in T.slices(batches):
             raw, off = T.buffers(b.column("text"))
@@ -232,8 +231,8 @@ def _grams(windows_: DataFrame) -> DataFrame:
     return found
 
 
-def _cached(grams: DataFrame) -> tuple[list, bool]:
-    """(keys, counts) by order of the most frequent contexts, and whether they are all.
+def _cached(grams: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows of ``grams`` of the most frequent contexts, and whether they are all.
 
     Orders 0 and 1 have 65,792 cells at most and are taken whole; of the others, the
     contexts seen most often, as far as CELLS cells in all go. A context comes with
@@ -250,16 +249,17 @@ def _cached(grams: DataFrame) -> tuple[list, bool]:
             whole = False
             break
         cells, least = cells + d, s
-    rows = grams
-    if not whole:
-        chosen = contexts.where(F.lit(False) if least is None else step >= least).select("order", "context")
-        long = grams.where("order > 1").withColumn("context", context).join(chosen, ["order", "context"], "left_semi").drop("context")
-        rows = materialize(grams.where("order < 2").unionByName(long), "cached")
-    taken = []
-    for order in range(ORDER + 1):
-        got = rows.where(F.col("order") == order).select("key", "n").toPandas()
-        taken.append((got.key.to_numpy().astype(np.uint64), got.n.to_numpy().astype(np.float32)))
-    return taken, whole
+    if whole:
+        return grams, True
+    chosen = contexts.where(F.lit(False) if least is None else step >= least).select("order", "context")
+    long = grams.where("order > 1").withColumn("context", context).join(chosen, ["order", "context"], "left_semi").drop("context")
+    return grams.where("order < 2").unionByName(long), False
+
+
+def _load(path: str, whole: bool) -> Trie:
+    rows = read_columns(path, ["order", "key", "n"])
+    order, key, n = (rows.column(c).to_numpy() for c in ("order", "key", "n"))
+    return Trie([(key[order == k].astype(np.uint64), n[order == k]) for k in range(ORDER + 1)], whole)
 
 
 def _probabilities(wanted: DataFrame, grams: DataFrame) -> DataFrame:
@@ -311,9 +311,10 @@ def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
     top = most_frequent(words.select("key", "n"), FREQUENT).toPandas()
     frequent = top.key.to_numpy().view(np.uint64)
     order = np.argsort(frequent)
-    grams = materialize(_grams(counts.where(F.col("kind") == WINDOW).select("key", "n")), "grams")
-    cached, whole = _cached(grams)
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, cached, whole, frequent[order], top.n.to_numpy()[order].astype(float), int(ends)))
+    path = written(_grams(counts.where(F.col("kind") == WINDOW).select("key", "n")), "grams")
+    grams = spark.read.schema("order int, key long, n long").parquet(path)
+    cells, whole = _cached(grams)
+    model = spark.sparkContext.broadcast((path if whole else written(cells, "cached"), whole, frequent[order], top.n.to_numpy()[order].astype(float), int(ends)))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scored = rows.mapInArrow(_scores(model), "row long, doc_id long, n_tokens long, n_known long, logs double, rare array<long>, score double, left array<long>")
