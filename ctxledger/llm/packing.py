@@ -3,9 +3,12 @@
 Each task packs the documents of its input split as they come. A document's full
 windows stand alone; its rest goes to the fill level h for which the sum over
 levels of N(h)**2 (N: windows partially filled to level h) grows least, a new
-window being level 0. At the end of the split the windows still open are
-consolidated: pieces of the emptiest are cut to close the gaps of the fullest, and
-the last one is cut into lengths that are powers of two, which need no padding.
+window being level 0. At most OPEN windows are open at a time: where none of them
+can take a rest whole and no more may be opened, the rest is cut to fill the level
+whose emptying lowers the sum most, and what is left of it is placed by the rule
+again. At the end of the split only these few windows are consolidated: pieces of the
+emptiest are cut to close the gaps of the fullest, and the last one is cut into
+lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from ctxledger.llm import _text as T
 from ctxledger.llm._work import table
 
 WINDOW = 1024
+#: Windows that a task holds open; what is left to consolidate at its end.
+OPEN = 64
 #: Fixed value: how the public byte-level vocabulary splits text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct chunks whose ids a worker remembers.
@@ -155,60 +160,76 @@ class Encoder:
 class SumOfSquares:
     """Online placement of rests into windows, with an array of open windows by fill level."""
 
-    def __init__(self, window: int, first_id: int):
-        self.window, self.next = window, first_id
+    def __init__(self, window: int, first_id: int, most_open: int = OPEN):
+        self.window, self.next, self.most_open = window, first_id, most_open
         self.count = np.zeros(window + 1, np.int64)  # the level array; level 0 and the full level cost nothing
-        self.open: list[list[tuple[int, list]]] = [[] for _ in range(window)]
+        self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
+        self.held = 0
         self.rows: list[tuple] = []
 
-    def emit(self, pieces: list) -> None:
+    def emit(self, pieces: list, closed: str) -> None:
         """A closed sequence; pieces are (doc_id, start, ids, doc_tokens)."""
         offset = 0
         for doc_id, start, ids, doc_tokens in pieces:
-            self.rows.append((doc_id, start, len(ids), ids.tobytes(), doc_tokens, self.next, offset))
+            self.rows.append((doc_id, start, len(ids), ids.tobytes(), doc_tokens, self.next, offset, closed))
             offset += len(ids)
         self.next += 1
 
-    def place(self, piece: tuple) -> None:
-        size = len(piece[2])
+    def _take(self, level: int) -> list:
+        """An open window of a level, no longer open."""
+        self.count[level] -= 1
+        self.held -= 1
+        return self.open[level].pop()
+
+    def _level(self, size: int) -> int | None:
+        """The level that a rest goes to whole; None if there is none."""
         levels = np.flatnonzero(self.count[: self.window - size + 1])
         # change of the sum of squares: leaving level h, entering level h + size
         enter = 2 * self.count + 1
         enter[self.window] = 0
-        best, cost = 0, int(enter[size])
+        new = self.held < self.most_open
         if len(levels):
             change = 1 - 2 * self.count[levels] + enter[levels + size]
             i = len(levels) - 1 - int(change[::-1].argmin())  # ties: the fullest
-            if change[i] <= cost:
-                best = int(levels[i])
-        pieces = []
-        if best:
-            pieces = self.open[best].pop()
-            self.count[best] -= 1
-        pieces.append(piece)
-        if best + size == self.window:
-            self.emit(pieces)
+            if not new or change[i] <= enter[size]:
+                return int(levels[i])
+        return 0 if new else None
+
+    def place(self, piece: tuple) -> None:
+        doc_id, start, ids, n = piece
+        while (level := self._level(len(ids))) is None:
+            levels = np.flatnonzero(self.count[: self.window])
+            fill = int(levels[len(levels) - 1 - int(self.count[levels][::-1].argmax())])
+            room = self.window - fill
+            self.emit([*self._take(fill), (doc_id, start, ids[:room], n)], "rule")
+            start, ids = start + room, ids[room:]
+        pieces = self._take(level) if level else []
+        pieces.append((doc_id, start, ids, n))
+        level += len(ids)
+        if level == self.window:
+            self.emit(pieces, "rule")
         else:
-            self.open[best + size].append(pieces)
-            self.count[best + size] += 1
+            self.open[level].append(pieces)
+            self.count[level] += 1
+            self.held += 1
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n = len(ids)
         for lo in range(0, n - n % self.window, self.window):
-            self.emit([(doc_id, lo, ids[lo : lo + self.window], n)])
+            self.emit([(doc_id, lo, ids[lo : lo + self.window], n)], "document")
         if n % self.window:
             lo = n - n % self.window
             self.place((doc_id, lo, ids[lo:], n))
 
     def close(self) -> None:
-        """Consolidate the open windows; at most one is short, and it is cut at powers of two."""
+        """Consolidate the open windows, OPEN at most; one may be short, and it is cut at powers of two."""
         left = [p for level in range(self.window - 1, 0, -1) for p in self.open[level]]
         fills = [sum(len(x[2]) for x in p) for p in left]
         i, j = 0, len(left) - 1
         while i < j:
             gap = self.window - fills[i]
             if not gap:
-                self.emit(left[i])
+                self.emit(left[i], "end")
                 i += 1
                 continue
             doc_id, start, ids, n = left[j].pop()
@@ -234,12 +255,13 @@ class SumOfSquares:
                     if take < len(ids):
                         rest.insert(0, (doc_id, start + take, ids[take:], n))
                     need -= take
-                self.emit(part)
+                self.emit(part, "end")
         self.open = [[] for _ in range(self.window)]
         self.count[:] = 0
+        self.held = 0
 
 
-SCHEMA = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long, closed string"
 
 
 def _pack(path: str | None, window: int):
@@ -253,9 +275,9 @@ def _pack(path: str | None, window: int):
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 40)
 
         def flush():
-            columns = list(zip(*packer.rows, strict=True)) or [[]] * 7
+            columns = list(zip(*packer.rows, strict=True)) or [[]] * 8
             packer.rows = []
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
+            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3 + [pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in T.slices(batches):
@@ -271,12 +293,13 @@ def _pack(path: str | None, window: int):
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, tokens, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, tokens, doc_tokens, sequence_id, offset, closed.
 
-    tokens holds the piece's ids as little-endian unsigned 32-bit numbers. Each
+    closed tells what closed the sequence: a document that fills it alone, the rule, or
+    the end of the split. tokens holds the piece's ids as little-endian unsigned 32-bit numbers. Each
     document ends with id 0, so a null or empty text has one token; each id lies in
     one piece; sequences are full, or have a power of two as length. Repeated rows
-    are packed each. Sequence ids carry the input split's number, so a task that
+    are packed each; a null doc_id stays null; equal lengths are placed as they come. Sequence ids carry the input split's number, so a task that
     runs again after a lost executor gives the same rows. ``tokenizer`` is the path
     of a tokenizer file (default: the public byte-level vocabulary). Other columns
     are ignored; an empty table gives no rows.
@@ -286,4 +309,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
 
 def op9_sum_of_squares_packing(spark, sf_dir):
     pieces = pack(table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "closed")
