@@ -3,20 +3,26 @@
 Writing: each task streams its records, one gzip member each, into archives of
 bounded size in a shared folder; a manifest written by Spark names the archives of
 the task attempts that succeeded. Reading: Spark's binary file reader hands
-archives to tasks, which parse every record and emit each archive's captures as a
-run sorted by URL key and time. The runs are range-partitioned by (URL key, time,
-record) and merged in each partition by a k-way loser tree, so partitions in order
-hold one globally ordered capture history.
+archives to tasks, which parse every record and write each archive's captures, sorted
+by (URL key, time, record), as a run: a Parquet file of small row groups.
+
+Merging is external. FAN_IN runs at most are merged at once, by as many tasks as their
+rows ask for: keys sampled from the runs cut them into ranges, and each task
+streams its range of every run through a k-way loser tree, holding one row group a
+run. While more than FAN_IN runs are left, the merged ranges are written as pieces of
+longer runs and merged again; the last pass returns its rows, whose partitions in
+order hold one globally ordered capture history. Nothing is sorted again or shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
+import uuid
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,6 +32,8 @@ from ctxledger.llm._work import materialize, shared_dir, table
 
 #: Uncompressed bytes after which an archive is closed.
 ARCHIVE = 32 << 20
+#: Runs that a task merges at once, rows of a run's row group, rows of a range, and keys that a run's file shows the planner.
+FAN_IN, GROUP, RANGE, KEYS = 64, 2000, 1_000_000, 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,11 +64,16 @@ def record(page_id, url, payload: bytes, digest: str, date: str, refers_to) -> b
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _store(folder: str):
+    """(file system, path) of a shared folder, for tasks that read and write files there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
 def _write(folder: str):
     def run(batches):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = _store(folder)
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
         out, name, held, records, made = None, "", 0, 0, []
@@ -160,15 +173,22 @@ def _capture(headers, block, archive, offset, length):
     return (_number(headers.get("warc-record-id")), url, url_key(url), headers.get("warc-date"), kind, size, digest, _number(headers.get("warc-refers-to")), digest == said, archive, offset, length)
 
 
-def _runs(batches):
-    """Each archive's captures, sorted by URL key, time and record: one run an archive."""
+def _captures(batches):
+    """Each archive's captures as (name, rows)."""
     for b in batches:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
             name = path.as_py().rpartition("/")[2]
-            rows = [_capture(h, block, name, at, n) for at, n, data in members(content.as_py()) for h, block in parse(data) if h.get("warc-type") in ("response", "revisit")]
-            rows.sort(key=_order)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+            yield name, [_capture(h, block, name, at, n) for at, n, data in members(content.as_py()) for h, block in parse(data) if h.get("warc-type") in ("response", "revisit")]
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def _parsed(batches):
+    for _, rows in _captures(batches):
+        if rows:
+            yield _batch(rows)
 
 
 def _order(row):
@@ -219,74 +239,205 @@ class LoserTree:
             self._replay(best)
 
 
-def _merge(batches):
-    """A partition's rows, sorted run by run on arrival, in one order."""
-    runs: dict[str, list[pa.RecordBatch]] = {}
-    for b in batches:
-        name = b.column("archive").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), b.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi > lo:
-                runs.setdefault(name[lo], []).append(b.slice(lo, hi - lo))
-
-    def rows(parts):
-        for p in parts:
-            yield from zip(*(c.to_pylist() for c in p.columns), strict=True)
-
-    held = []
-    for row in LoserTree([rows(p) for p in runs.values()], _order):
-        held.append(row)
-        if len(held) == 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+#: A file of a run: the run's number, the file's place in it, path, rows, and KEYS of its sort keys as JSON, from the first to the last.
+PIECES = "run long, place int, path string, rows long, keys string"
+
+
+class _File:
+    """A piece of a run while it is written: row groups of GROUP rows, and a sample of its keys."""
+
+    def __init__(self, store, path: str):
+        import pyarrow.parquet as pq
+
+        self.path, self.rows, self.held, self.keys, self.last = path, 0, [], [], None
+        self.out = pq.ParquetWriter(path, SCHEMA, filesystem=store)
+
+    def add(self, row) -> None:
+        self.held.append(row)
+        self.rows += 1
+        if len(self.held) == GROUP:
+            self._hand()
+
+    def _hand(self) -> None:
+        self.keys += [_order(self.held[i]) for i in sorted({0, len(self.held) // 2})]
+        if len(self.keys) > 4 * KEYS:
+            self.keys = self.keys[::2]
+        self.last = _order(self.held[-1])
+        self.out.write_batch(_batch(self.held))
+        self.held = []
+
+    def close(self, run: int, place: int) -> tuple:
+        if self.held:
+            self._hand()
+        self.out.close()
+        step = max(1, len(self.keys) // KEYS)
+        return run, place, self.path, self.rows, json.dumps([*self.keys[::step], self.last])
+
+
+def _pieces(made: list) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
+
+
+def _write_runs(folder: str):
+    def run(batches):
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+        for name, rows in _captures(batches):
+            rows.sort(key=_order)
+            if rows:
+                file = _File(store, f"{base}/run-{uuid.uuid4().hex}.parquet")
+                for row in rows:
+                    file.add(row)
+                yield _pieces([file.close(int(hashlib.md5(name.encode()).hexdigest()[:15], 16), 0)])
+
+    return run
+
+
+def _slice(store, files: list, lo, hi):
+    """The rows of a run from key ``lo`` on and before ``hi`` (None: no bound), one row group at a time."""
+    import pyarrow.parquet as pq
+
+    for path, first, last in files:
+        if (lo is not None and last < lo) or (hi is not None and first >= hi):
+            continue
+        with store.open_input_file(path) as source:
+            file = pq.ParquetFile(source)
+            at = SCHEMA.get_field_index("url_key")
+            for g in range(file.num_row_groups):
+                known = file.metadata.row_group(g).column(at).statistics
+                if known is not None and known.has_min_max and lo is not None and known.max < lo[0]:
+                    continue
+                for row in zip(*(c.to_pylist() for c in file.read_row_group(g).columns), strict=True):
+                    key = _order(row)
+                    if hi is not None and key >= hi:
+                        return
+                    if lo is None or key >= lo:
+                        yield row
+
+
+def _merged(plan, folder: str, task: int):
+    """(group, range, rows) of a task of a pass: its range of the group's runs, merged by a loser tree."""
+    group, place = plan["tasks"][task]
+    runs, cuts = plan["groups"][group]
+    store, _ = _store(folder)
+    lo, hi = cuts[place - 1] if place else None, cuts[place] if place < len(cuts) else None
+    return group, place, LoserTree([_slice(store, files, lo, hi) for files in runs], _order)
+
+
+def _merge_rows(model, folder: str):
+    def run(batches):
+        for b in batches:
+            for task in b.column("id").to_pylist():
+                held = []
+                for row in _merged(model.value, folder, task)[2]:
+                    held.append(row)
+                    if len(held) == GROUP:
+                        yield _batch(held)
+                        held = []
+                if held:
+                    yield _batch(held)
+
+    return run
+
+
+def _merge_files(model, folder: str):
+    def run(batches):
+        store, base = _store(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for task in b.column("id").to_pylist():
+                group, place, rows = _merged(model.value, folder, task)
+                file = None
+                for row in rows:
+                    file = file or _File(store, f"{base}/run-{uuid.uuid4().hex}.parquet")
+                    file.add(row)
+                yield _pieces([file.close(group, place)] if file else [])
+
+    return run
+
+
+def _planned(pieces: list, least: int) -> dict:
+    """A pass over runs: groups of FAN_IN runs, the keys that cut each group into ranges (``least`` or more if its rows allow), and a task for each range of each group."""
+    runs: dict[int, list] = {}
+    for r in sorted(pieces, key=lambda r: (r["run"], r["place"])):
+        keys = [tuple(k) for k in json.loads(r["keys"])]
+        runs.setdefault(r["run"], []).append((r["path"], keys[0], keys[-1], r["rows"], keys))
+    names = sorted(runs, key=lambda r: runs[r][0][1])
+    groups, tasks = [], []
+    for g in range(0, len(names), FAN_IN):
+        mine = [runs[n] for n in names[g : g + FAN_IN]]
+        rows = sum(f[3] for files in mine for f in files)
+        keys = sorted(k for files in mine for f in files for k in f[4])
+        ranges = max(1, min(max(-(-rows // RANGE), min(least, rows // GROUP)), len(keys) // 2))
+        cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+        tasks += [(len(groups), i) for i in range(len(cuts) + 1)]
+        groups.append(([[f[:3] for f in files] for files in mine], cuts))
+    return {"groups": groups, "tasks": tasks}
 
 
 def read_captures(spark, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """One row per response or revisit record under ``folder``, sorted runs within each archive.
+    """One row per response or revisit record under ``folder``.
 
     With a manifest only the archives it names are read. Columns: ``FIELDS``;
     payload_bytes and payload_digest are those of the full payload (a revisit's are
     as its header states), verified says whether a response's payload has the
     digest its header states.
     """
+    return _archives(spark, folder, manifest).mapInArrow(_parsed, FIELDS)
+
+
+def _archives(spark, folder: str, manifest: DataFrame | None) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
-    if manifest is not None:
-        files = files.join(manifest.select(F.col("archive").alias("name")).distinct(), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
-    return files.mapInArrow(_runs, FIELDS)
+    if manifest is None:
+        return files
+    return files.join(manifest.select(F.col("archive").alias("name")).distinct(), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
 
 
-def merge_index(runs: DataFrame) -> DataFrame:
-    """The captures of all runs in global order of URL key, time and record (partitions in order).
+def index_runs(spark, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    """Write each archive's captures under ``folder`` as a sorted run; returns the runs' files (``PIECES``)."""
+    return materialize(_archives(spark, folder, manifest).mapInArrow(_write_runs(shared_dir(spark, "runs")), PIECES), "pieces")
 
-    A URL key with very many captures is split over partitions, since time and
-    record are part of the range key. Rows in which several sort keys tie keep the
-    order of archive and offset.
-    """
-    order = ["url_key", "captured_at", "page_id", "archive", "offset"]
-    ranged = runs.repartitionByRange(*order).sortWithinPartitions("archive", *order)
-    return ranged.mapInArrow(_merge, FIELDS)
 
+def merge_index(runs: DataFrame) -> DataFrame:
+    """The captures of all ``runs`` (``PIECES``) in global order of URL key, time and record (partitions in order).
 
-def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Write ``pages`` (page_id, url, html and, if there, date) as archives, read them back, merge their index.
+    A URL key with very many captures is cut between tasks, since time and record are
+    part of the range key; records that tie keep the order of archive and offset. The
+    driver sees a row a file, with a few of its keys, never captures.
+    """
+    spark = runs.sparkSession
+    while True:
+        plan = _planned(runs.collect(), spark.sparkContext.defaultParallelism)
+        if not plan["tasks"]:
+            return spark.createDataFrame([], FIELDS)
+        work = spark.range(0, len(plan["tasks"]), 1, len(plan["tasks"]))
+        folder = shared_dir(spark, "runs")
+        model = spark.sparkContext.broadcast(plan)
+        if len(plan["groups"]) == 1:
+            return work.mapInArrow(_merge_rows(model, folder), FIELDS)
+        runs = materialize(work.mapInArrow(_merge_files(model, folder), PIECES), "pieces")
+
+
+def archive_pages(pages: DataFrame, least: int = 0, date: str | None = None) -> DataFrame:
+    """Write ``pages`` (page_id, url, html) as archives, read them back, merge their index.
 
     One row per row of pages, columns ``FIELDS``. A null html is an empty payload; a
     null url has no target; a null page_id stays null and, where copies exist, refers
     to the smallest id. Rows with the smallest page_id repeated are all responses.
-    Without a date column each record is dated from its page_id, one second apart.
-    Other columns are ignored; an empty table gives no rows.
+    ``date`` names a column of WARC dates; without it, and where it is null, a record is
+    dated from its page_id, one second apart. Other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    if "date" not in pages.columns:
-        second = F.coalesce(F.pmod(F.col("page_id").cast("long"), F.lit(3_000_000_000)), F.lit(0))
-        pages = pages.select("page_id", "url", "html", F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
+    second = F.coalesce(F.pmod(F.col("page_id").cast("long"), F.lit(3_000_000_000)), F.lit(0))
+    dated = F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    dated = dated if date is None else F.coalesce(F.col(date).cast("string"), dated)
     folder = shared_dir(spark, "warc")
-    manifest = write_captures(pages, folder, least)
+    manifest = write_captures(pages.select("page_id", "url", "html", dated.alias("date")), folder, least)
     if not manifest.limit(1).count():
         return spark.createDataFrame([], FIELDS)
-    return merge_index(materialize(read_captures(spark, folder, manifest), "runs"))
+    return merge_index(index_runs(spark, folder, manifest))
 
 
 def op1_loser_tree_warc(spark, sf_dir):
