@@ -41,12 +41,25 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
-def read_columns(path: str, columns: list[str]):
-    """A shared Parquet table, read whole inside a task, as an Arrow table; for models of a bounded size."""
+def read_columns(path: str, columns: list[str], **equal):
+    """Columns of a shared Parquet table as numpy arrays, of the rows where ``equal`` holds; for models of a bounded size, inside a task.
+
+    Read one batch after another without threads, so that it takes little more memory than the arrays.
+    """
+    import numpy as np
+    import pyarrow as pa
     from pyarrow import dataset, fs
 
     store, base = fs.FileSystem.from_uri(path)
-    return dataset.dataset(base, filesystem=store, format="parquet").to_table(columns=columns)
+    where = None
+    for name, value in equal.items():
+        where = dataset.field(name) == value
+    rows = dataset.dataset(base, filesystem=store, format="parquet").to_batches(columns=columns, filter=where, use_threads=False, batch_readahead=0, fragment_readahead=0, batch_size=65_536)
+    parts = [[c.to_numpy() for c in b.columns] for b in rows if b.num_rows]
+    out = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(columns))]
+    del parts, rows
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

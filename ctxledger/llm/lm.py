@@ -113,22 +113,22 @@ class Trie:
     shorter context that end in one of these successors: what exclusion takes there.
     """
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], whole: bool):
+    def __init__(self, grams, whole: bool):
         """``grams``: by order, (keys, counts) of contexts with all their successors; ``whole``: whether every context is there."""
         self.whole, self.orders = whole, []
-        below = None
         for order, (keys, counts) in enumerate(grams):
             turn = np.argsort(keys)
-            keys, counts = keys[turn], counts[turn].astype(float)
-            names = keys >> np.uint64(8)
-            first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(keys) else np.zeros(0, np.int64)
+            keys, counts = keys[turn], counts[turn].astype(np.float32)
+            first = np.flatnonzero(np.append(True, (keys[1:] ^ keys[:-1]) >> np.uint64(8) != 0)) if len(keys) else np.zeros(0, np.int64)
             if not len(keys):
                 t = d = r = np.zeros(0)
             else:
-                t, d = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))).astype(float)
-                r = np.add.reduceat(below[1][_find(below[0], keys & np.uint64(_tail(order)))[0]], first) if order else np.zeros(1)
-            self.orders.append((names[first], t, d, r, keys, counts.astype(np.float32)))
-            below = (keys, counts)
+                t, d = np.add.reduceat(counts, first, dtype=np.float64), np.diff(np.append(first, len(keys))).astype(np.uint16)
+                r = np.zeros(1)
+                if order:
+                    _, _, _, _, below, under = self.orders[-1]
+                    r = np.add.reduceat(under[_find(below, keys & np.uint64(_tail(order)))[0]], first, dtype=np.float64)
+            self.orders.append((keys[first] >> np.uint64(8), t, d, r, keys, counts))
 
     def _unseen(self, order: int, context: np.ndarray) -> np.ndarray:
         """Whether contexts of ``order`` bytes surely never occurred: as a window, with a cached context of its own, they have no cell."""
@@ -257,9 +257,12 @@ def _cached(grams: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _load(path: str, whole: bool) -> Trie:
-    rows = read_columns(path, ["order", "key", "n"])
-    order, key, n = (rows.column(c).to_numpy() for c in ("order", "key", "n"))
-    return Trie([(key[order == k].astype(np.uint64), n[order == k]) for k in range(ORDER + 1)], whole)
+    def cells():
+        for order in range(ORDER + 1):
+            key, n = read_columns(path, ["key", "n"], order=order)
+            yield key.view(np.uint64), n
+
+    return Trie(cells(), whole)
 
 
 def _probabilities(wanted: DataFrame, grams: DataFrame) -> DataFrame:
