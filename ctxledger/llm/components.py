@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxledger.llm._work import materialize
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b of one orderable type).
 
     The component is its smallest node. Each step replaces the edges of a node by
     edges to its smallest neighbour; the tables shrink to stars in O(log^2 n)
-    rounds. Edges live in shared Parquet between rounds, never on the driver.
-    Null ends and self-loops are ignored; an empty table gives no rows.
+    rounds, as many as it takes. A node's smallest neighbour comes from an aggregate and
+    a join, which Spark splits where one node has very many links. Edges live in
+    shared Parquet between rounds, never on the driver. Null ends and self-loops are ignored; an empty table gives no rows.
     """
 
     def tidy(df: DataFrame) -> DataFrame:
@@ -24,23 +25,22 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    here = Window.partitionBy("a")
+    def least(df: DataFrame) -> DataFrame:
+        """``df`` with each a's smallest b as m."""
+        return df.join(df.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     current = materialize(tidy(edges.select("a", "b").dropna()), "edges")
     before = state(current)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(here))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        small = large.withColumn("m", F.min("b").over(here))
+        large = least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = materialize(large.distinct(), "edges")  # a > b: m is smaller than every neighbour, or a itself is
+        small = least(large)
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        current = materialize(small.where("a <> b").distinct(), "edges")
+        current = materialize(small.distinct(), "edges")
         after = state(current)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

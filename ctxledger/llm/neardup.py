@@ -14,7 +14,8 @@
    considered (once, in the bucket of the first band it shares; dropped only if
    the sketches put it 4.5 standard deviations under the threshold) and confirmed
    on whole sets; large buckets are worked in blocks that many tasks share and emit
-   links, not pairs. Pairs inside a component cannot change it.
+   links, not pairs. Pairs inside a component cannot change it, so blocks of a bucket's
+   largest component meet those of the others only, never one another.
 
 No bucket is capped and no links, components or sketches reach the driver.
 """
@@ -25,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
@@ -96,12 +97,13 @@ def _signatures(k: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
+                    b.column("row"),
                     _digest_column(T.set_digest(h, first), sizes),
                     pa.array(sizes.astype(np.int64)),
                     T.ragged(starts, keys[sizes > 0].reshape(-1)),
                     pa.array([x.tobytes() for x in small], pa.binary()),
                 ],
-                names=["doc_id", "node", "n", "bands", "bits"],
+                names=["doc_id", "row", "node", "n", "bands", "bits"],
             )
 
     return run
@@ -164,7 +166,9 @@ def _across(percent: int, bands: int, bits: int, direct: bool):
 
     def group(key, i, j, block, n, component, node, coded, keys, members, found):
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        band = int(np.flatnonzero(keys[left[0]] == key)[0]) if len(left) else 0
+        if not len(left) or not len(right):
+            return
+        band = int(np.flatnonzero(keys[left[0]] == key)[0])
         joined: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -236,25 +240,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     links reach, kept tells whether it is the document's own. Words are cut at
     ASCII white space, A-Z lower-cased. A shorter text is one shingle; a null,
     empty or blank text has no shingle and is linked with nothing. Repeated rows
-    are exact copies (both keep their row). A null doc_id gets the component of
-    its copies, or null, and is kept only if no other row shares its component.
+    are exact copies (both keep their row). A null doc_id links like any other, gets the
+    smallest doc_id that it reaches, or null, and is kept only where it reaches none.
     Other columns are ignored; an empty table gives no rows.
     """
     bands = bands_for(percent, rows)
+    # sets are fetched by row: the doc_id, or for want of one a hash of the text
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signatures = texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, node binary, n long, bands array<long>, bits binary")
+    texts = texts.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+    signatures = texts.mapInArrow(_signatures(k, bands, rows), "doc_id long, row long, node binary, n long, bands array<long>, bits binary")
     signatures = materialize(signatures, "signatures")
-    nodes = signatures.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    nodes = signatures.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = materialize(nodes, "nodes")
 
-    bucket = Window.partitionBy("key")
+    each = nodes.select("node", "n", F.explode("bands").alias("key"))
     row = F.struct("node", "n")
-    buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = buckets.withColumns({"size": F.count("*").over(bucket), "lo": F.min(row).over(bucket), "hi": F.max(row).over(bucket)}).where("size > 1")
-    buckets = materialize(buckets, "buckets")
+    hubs = each.groupBy("key").agg(F.count("*").alias("size"), F.min(row).alias("lo"), F.max(row).alias("hi")).where("size > 1").drop("size")
+    buckets = materialize(each.join(hubs, "key"), "buckets")
 
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(k), "node binary, members binary")
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("row").distinct()
+    sets = texts.select("row", "text").join(wanted, "row", "left_semi").select("text").mapInArrow(_sets(k), "node binary, members binary")
     sets = materialize(sets.where("node is not null").dropDuplicates(["node"]), "sets")
 
     hub = F.explode(F.array("lo", "hi")).alias("hub")
@@ -264,13 +269,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     first = connected_components(links)
 
     label = F.coalesce("component", "node")
-    spread = buckets.select("key", "node", "n").join(first, "node", "left").withColumn("component", label)
-    spread = spread.withColumns({"c0": F.min("component").over(bucket), "c1": F.max("component").over(bucket)}).where("c0 <> c1").drop("c0", "c1")
-    spread = spread.withColumns({"size": F.count("*").over(bucket), "rank": F.row_number().over(bucket.orderBy("node")) - 1})
+    spread = materialize(buckets.select("key", "node", "n").join(first, "node", "left").withColumn("component", label), "labelled")
+    count = spread.groupBy("key", "component").agg(F.count("*").alias("c"))
+    count = count.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("most")).where("size > most.c")
+    spread = spread.join(count, "key").withColumn("minor", F.col("component") != F.col("most.component"))
     spread = materialize(spread.join(nodes.select("node", "bits", "bands"), "node"), "spread")
     small = spread.where(F.col("size") <= SMALL).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
-    block = F.floor(F.col("rank") / BLOCK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))).alias("other")
+    # blocks of the others come first; those of the largest component follow, and meet the others' only
+    others = F.ceil((F.col("size") - F.col("most.c")) / BLOCK).cast("int")
+    largest = F.ceil(F.col("most.c") / BLOCK).cast("int")
+    dealt_to = F.xxhash64("node", F.lit(1))
+    block = F.when(F.col("minor"), F.pmod(dealt_to, others)).otherwise(others + F.pmod(dealt_to, largest)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), others + largest).otherwise(others) - 1)).alias("other")
     large = spread.where(F.col("size") > SMALL).join(sets, "node").select("*", block.alias("block"), other)
     large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 

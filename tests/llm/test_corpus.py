@@ -98,6 +98,37 @@ def test_near_duplicates_edge_cases(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_null_ids_bridge_and_repeated_rows(spark):
+    """A text found only under a null id links its neighbours; exact and near copies of it too; ties and clashing columns change nothing."""
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(*at):
+        return " ".join("x%d" % i if i in at else w for i, w in enumerate(base))
+
+    rows = [(1, changed(0)), (None, changed()), (None, changed()), (3, changed(119, 118, 117)), (3, changed(119, 118, 117)), (7, "other words here altogether now"), (None, "alone " * 9), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "size": F.lit(2), "minor": F.lit(3), "most": F.lit(4)})
+    expect, _ = brute_components(rows, 3, 92)
+    got = neardup.near_duplicates(docs, 3, 92).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(d), str(c)) for (d, _), c in zip(rows, expect, strict=True))
+    assert expect[3] == 1 and sum(r["kept"] for r in got) == 4
+
+
+def test_a_large_bucket_of_near_copies(spark, monkeypatch):
+    """A group of texts at the threshold: chains of links, most of them not to a hub."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(3)
+    word, rows = [f"v{i}" for i in range(60)], []
+    for i in range(150):
+        word = list(word)
+        word[rng.randrange(60)] = f"n{i}"
+        rows.append((1000 - i, " ".join(word)))
+    rng.shuffle(rows)
+    expect, _ = brute_components(rows, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert [got[d] for d, _ in rows] == expect
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
@@ -111,9 +142,9 @@ def test_sketch_fills_every_coordinate_and_estimates():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(30)] + [(100, 100), (200, 201), (None, 5)]
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100), (200, 201), (None, 5)] + [(500, 500 + i) for i in range(1, 300)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(31)} | {200: 200, 201: 200}
+    assert got == {i: 0 for i in range(31)} | {200: 200, 201: 200} | {500 + i: 500 for i in range(300)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
