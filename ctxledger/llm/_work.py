@@ -55,7 +55,7 @@ def read_columns(path: str, columns: list[str], **equal):
     for name, value in equal.items():
         where = dataset.field(name) == value
     rows = dataset.dataset(base, filesystem=store, format="parquet").to_batches(columns=columns, filter=where, use_threads=False, batch_readahead=0, fragment_readahead=0, batch_size=65_536)
-    parts = [[c.to_numpy() for c in b.columns] for b in rows if b.num_rows]
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in rows if b.num_rows]
     out = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(columns))]
     del parts, rows
     pa.default_memory_pool().release_unused()

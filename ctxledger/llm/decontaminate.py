@@ -9,7 +9,8 @@
    least; from that follow the widest bands whose chance to miss is under 1e-5.
    Items and domains that share a band are candidates.
 3. Where a partition is so large against an item that even single coordinates
-   would miss, items are looked up by their shingles instead, which misses nothing.
+   would miss, items are looked up by their shingles instead: by the rarest of them, so
+   many that a domain without any of these can't hold enough of the others.
 4. Candidates are verified by the exact share of the item's shingles in the domain.
 """
 
@@ -23,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
-from ctxledger.llm._work import materialize, table
+from ctxledger.llm._work import materialize, read_columns, table, written
 
 U64 = np.uint64
 COORDINATES = 64
-#: Universes up to this many shingles (8 bytes each) are broadcast; larger ones are joined.
-BROADCAST = 1_000_000
+#: Universes up to this many shingles (8 bytes each) are broadcast. Larger ones are joined, by
+#: those shingles of a document that pass a bitmap of the universe (2**BITMAP bits, read by the workers).
+BROADCAST, BITMAP = 1_000_000, 28
+#: Bits of a row of the bitmap's table, as a power of two.
+_ROW = 20
 _WIDTHS = (4, 2, 1)
 
 
@@ -63,12 +67,44 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], doc[keep]
 
 
-def _reduced(sizes: list[int], universe):
-    """Each document's shingles inside the universe (all of them where it is None)."""
+def _bitmap(shingles: DataFrame) -> str:
+    """The path of a table (part, bits) of the bitmap that marks the leading BITMAP bits of each shingle (s)."""
+
+    def rows(batches):
+        marks: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot = (b.column("s").to_numpy().view(np.uint64) >> U64(64 - BITMAP)).astype(np.int64)
+            for part in np.unique(slot >> _ROW).tolist():
+                mark = marks.setdefault(part, np.zeros(1 << _ROW, bool))
+                mark[slot[slot >> _ROW == part] & ((1 << _ROW) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(marks), pa.int32()), pa.array([np.packbits(m).tobytes() for m in marks.values()], pa.binary())], names=["part", "bits"])
+
+    part = F.shiftrightunsigned("s", 64 - BITMAP + _ROW)
+    return written(shingles.repartition(part).mapInArrow(rows, "part int, bits binary"), "bitmap")
+
+
+#: The worker's bitmap, by its path.
+_bitmaps: dict = {}
+
+
+def _marked(path: str, h: np.ndarray) -> np.ndarray:
+    """Whether the bitmap at ``path`` marks the hashes."""
+    if path not in _bitmaps:
+        _bitmaps.clear()
+        bits = np.zeros(1 << (BITMAP - 3), np.uint8)
+        for part, row in zip(*read_columns(path, ["part", "bits"]), strict=True):
+            bits[int(part) << (_ROW - 3) : (int(part) + 1) << (_ROW - 3)] = np.frombuffer(row, np.uint8)
+        _bitmaps[path] = bits
+    at = (h >> U64(64 - BITMAP)).astype(np.int64)
+    return (_bitmaps[path][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _reduced(sizes: list[int], universe, bitmap: str | None = None):
+    """Each document's shingles inside the universe (a superset, those that the bitmap marks, where that is given)."""
 
     def run(batches):
-        inside = None if universe is None else universe.value
-        if inside is not None:
+        if bitmap is None:
+            inside = universe.value
             quick = np.zeros(1 << 22, bool)
             quick[(inside >> U64(42)).astype(np.int64)] = True
         for b in T.slices(batches):
@@ -77,9 +113,9 @@ def _reduced(sizes: list[int], universe):
             for size in sizes:
                 h, at = T.windows(w, size)
                 h = T.mix(h + U64(size))
-                if inside is not None:
-                    maybe = np.flatnonzero(quick[(h >> U64(42)).astype(np.int64)])
-                    h, at = h[maybe], at[maybe]
+                maybe = np.flatnonzero(quick[(h >> U64(42)).astype(np.int64)] if bitmap is None else _marked(bitmap, h))
+                h, at = h[maybe], at[maybe]
+                if bitmap is None:
                     spot = np.minimum(np.searchsorted(inside, h), len(inside) - 1)
                     hit = inside[spot] == h
                     h, at = h[hit], at[hit]
@@ -134,9 +170,10 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     An item (item_id, text) is contained if at least ``percent`` % of its distinct
     k-word shingles are in the document's whole set. Words are cut at ASCII white
     space, A-Z lower-cased. An item under k words is one run of its words, found
-    in order; null, empty and blank items and documents match nothing. Repeated rows
-    of a document or item give one row each pair of ids; null ids stay null. Other
-    columns are ignored; empty tables give no rows.
+    in order; null, empty and blank items and documents match nothing. A share of
+    exactly ``percent`` % is contained. Rows that repeat a pair of ids give one row, with
+    the largest counts; null ids stay null and count as one id. Other columns are
+    ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -153,7 +190,7 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     else:
         rows = texts.withColumn("row", F.monotonically_increasing_id())
         rows = materialize(rows, "rows")
-        found = rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(_reduced(sizes, None), "doc_id long, members array<long>")
+        found = rows.select(F.col("row").alias("doc_id"), "text").mapInArrow(_reduced(sizes, None, _bitmap(shingles)), "doc_id long, members array<long>")
         found = found.select(F.col("doc_id").alias("row"), F.explode("members").alias("s")).join(shingles, "s", "left_semi")
         found = found.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("members"))
         parts = found.join(rows.select("row", "doc_id"), "row").select("doc_id", "members")
@@ -179,9 +216,14 @@ def find_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     wide = F.broadcast(chosen.where("width > 0").select("class", "width").distinct())
     built = keyed(domains, "domain").join(domains.select("domain", "class"), "domain").join(wide, ["class", "width"])
     near = built.join(probes, ["key", "class", "width"]).select("item", "domain")
-    looked = nodes.join(F.broadcast(chosen.where("width = 0")), "n").select("item", "class", F.explode("members").alias("s"))
     exact = F.broadcast(chosen.where("width = 0").select("class").distinct())
     held = domains.join(exact, "class").select("domain", "class", F.explode("members").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("often"))
+    looked = nodes.join(F.broadcast(chosen.where("width = 0")), "n").select("item", "n", "class", F.explode("members").alias("s")).join(often, "s")
+    looked = looked.groupBy("item", "class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "s"))).alias("held"))
+    # an item needs so many of its n shingles; of those that any domain holds, more than held - needed of the rarest must be tried
+    tried = F.size("held") - F.ceil(F.col("n") * percent / 100) + 1
+    looked = looked.where(tried > 0).select("item", "class", F.explode(F.slice("held", F.lit(1), tried.cast("int"))).alias("x")).select("item", "class", F.col("x.s").alias("s"))
     near = near.unionByName(held.join(looked, ["class", "s"]).select("item", "domain")).distinct()
 
     pairs = near.join(nodes, "item").join(domains.select("domain", F.col("members").alias("held")), "domain")

@@ -465,9 +465,33 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in expect} and clean.columns == docs.columns
     assert decontaminate.find_items(docs, table.limit(0)).count() == 0 and decontaminate.find_items(docs.limit(0), table).count() == 0
     odd = odd_docs(spark)
+    for size in (decontaminate.BROADCAST, 0):  # repeated rows, null ids, a very long item, extra columns
+        long = " ".join(f"z{i}" for i in range(40_000))
+        some = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, f"q {long} q"), (3, None)], "doc_id long, text string").withColumns({"s": F.lit(1), "item": F.lit(2)})
+        tests = spark.createDataFrame([(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "B C d e f"), (6, long), (7, "h i j k l")], "item_id long, text string").withColumns({"n": F.lit(1), "class": F.lit(2)})
+        got = sorted((str(r["doc_id"]), str(r["item_id"]), r["n_item"], r["n_common"]) for r in decontaminate.find_items(some, tests, broadcast=size).collect())
+        assert got == [("1", "5", 3, 3), ("1", "None", 1, 1), ("2", "6", 39_996, 39_996), ("None", "5", 3, 3), ("None", "None", 1, 1)]
+        left = decontaminate.decontaminate(some, tests, broadcast=size)
+        assert [r["doc_id"] for r in left.collect()] == [3] and left.columns == some.columns
     assert decontaminate.find_items(odd, spark.createDataFrame([(1, "short")], "item_id long, text string")).select("doc_id").collect()[0][0] == 4
 
 
+def test_common_shingles_are_looked_up_by_the_rarest(spark, monkeypatch):
+    """Items and documents that all share a passage: every match is found, with bands switched off."""
+    monkeypatch.setattr(decontaminate, "plan", lambda *a: 0)
+    rng = random.Random(2)
+    shared = " ".join(f"s{i}" for i in range(20))
+    items = [(i, shared + " " + " ".join(f"i{i}-{j}" for j in range(rng.randint(0, 9)))) for i in range(30)]
+    docs = [(i, " ".join(words(items[i % 30][1])[: rng.randint(10, 29)]) + " tail " * rng.randint(0, 3)) for i in range(90)]
+
+    def grams(t):
+        return shingles(t, 5)
+
+    expect = {(d, i) for d, t in docs for i, x in items if 100 * len(grams(t) & grams(x)) >= 80 * len(grams(x))}
+    got = decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == expect and expect
+
+
 def test_containment_plan_misses_little():
     for n in (5, 36, 400):
         for upper in (1, 7, 63, 1023, 65535):
