@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxledger.llm import _text as T
@@ -24,9 +24,10 @@ from ctxledger.llm._work import materialize, table
 
 ORDERS = (2, 3, 4)
 LOG2 = 14
-#: Bounds of what is gathered: landmarks and labelled rows that the model is fitted on.
+#: Bounds of what is gathered: landmarks, labelled rows that the model is fitted on, and languages that it learns.
 LANDMARKS = 256
 TRAIN_ROWS = 3000
+LANGUAGES = 500
 RIDGE = 1e-3
 #: Share of the labelled rows that fitted the model whose ridge score lies under the floor of keep_known.
 UNLIKE = 0.001
@@ -83,19 +84,25 @@ def train(docs: DataFrame):
 
 
 def sample(docs: DataFrame):
-    """(packed presence rows, languages) of at most TRAIN_ROWS rows of ``docs`` (doc_id, text, lang), the languages in like numbers.
+    """(packed presence rows, languages) of about TRAIN_ROWS rows of ``docs`` (doc_id, text, lang) at most.
 
-    The choice depends on doc_id and lang alone; rows without lang or doc_id are left out.
+    Each of the LANGUAGES most frequent languages (ties in order of name) gives the same
+    number of rows, one at least, or all it has: those of least hash of the doc_id. Rows
+    without lang or doc_id are left out; of a repeated doc_id one counts.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).dropna(subset=["doc_id", "lang"])
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
-    each = TRAIN_ROWS / len(counts)
-    rates = docs.sparkSession.createDataFrame([(c, min(1.0, each / n) * 1e6) for c, n in counts.items()], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000))
-    chosen = known.select("doc_id", "lang").join(F.broadcast(rates), "lang").where(draw < F.col("rate")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    chosen = materialize(chosen.limit(2 * TRAIN_ROWS), "chosen")
+    each = max(1, TRAIN_ROWS // len(counts))
+    # a bound on the hash lets about twice as many rows through before they are put in order
+    bounds = [(c, min(2**63 - 1, int(min(1.0, (2 * each + 100) / n) * 2**64) - 2**63)) for c, n in counts.items()]
+    bounds = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    hashed = F.xxhash64("doc_id", F.lit(6)).alias("hashed")
+    near = known.select("doc_id", "lang", hashed).join(F.broadcast(bounds), "lang").where("hashed <= bound")
+    near = near.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("hashed").alias("hashed"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hashed", "doc_id"))
+    chosen = materialize(near.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang"), "chosen")
     texts = known.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = texts.mapInArrow(_packed, "doc_id long, bits binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     lang = {r["doc_id"]: r["lang"] for r in chosen.collect()}

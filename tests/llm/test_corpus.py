@@ -593,4 +593,4 @@ def test_labels_are_bounded_and_unique(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(0, 1), (1, None), (None, 1), (999, 1)], "doc_id long, label int")
     got = {r["doc_id"]: (r["text"], r["label"]) for r in toxicity.labelled_texts(docs, labels).collect()}
     assert len(got) == 300 and got[0] == ("t0", 1) and got[1] == ("t1", 1)
-    assert 50 < toxicity.labelled_texts(docs, labels, 100).count() < 150
+    assert toxicity.labelled_texts(docs, labels, 100).count() <= 100
