@@ -137,13 +137,18 @@ CLASS_SQL = r"""
 WITH a AS (SELECT 'documents' AS origin, doc_id AS id, left(coalesce(text, ''), 4096) AS head FROM documents
            UNION ALL SELECT 'pages', page_id, left(coalesce(html, ''), 4096) FROM pages),
 b AS (SELECT *, regexp_replace(head, '^[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', '') AS l,
-      list_filter(string_split(head, chr(10))[1:40], lambda x: x <> '') AS few FROM a)
+      list_filter(string_split(head, chr(10))[1:40], lambda x: x <> '') AS few FROM a),
+c AS (SELECT *, left(l, 1) AS first, regexp_replace(substr(l, 2), '^\s+', '') AS rest, substr(l, 4) AS after,
+      len(list_filter(few, lambda x: regexp_extract(x, '^\[?(\w+)', 1) IN ('DEBUG', 'INFO', 'WARN', 'WARNING', 'ERROR', 'TRACE', 'FATAL')
+        OR translate(left(x, 10), '012345678', '999999999') = '9999-99-99'
+        OR (translate(left(x, 8), '012345678', '999999999') = '99:99:99' AND NOT regexp_matches(substr(x, 9, 1), '\w')))) AS logged FROM b)
 SELECT origin, id, CASE
-  WHEN regexp_matches(l, '^\{\s*("|\})') OR regexp_matches(l, '^\[\s*("|\{|\[|-?[0-9]|true\b|false\b|null\b|\])') OR regexp_matches(l, '^---\r?\n')
-    OR regexp_matches(l, '^diff --git ') OR regexp_matches(l, '^---\s+\S') THEN 'structured'
-  WHEN len(few) >= 4 AND len(list_filter(few, lambda x: regexp_matches(x, '^(\[?(DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\]?\b|[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]?|[0-9]{2}:[0-9]{2}:[0-9]{2}\b)'))) >= len(few) * 0.3 THEN 'log'
+  WHEN first = '{' AND left(rest, 1) IN ('"', '}') THEN 'structured'
+  WHEN first = '[' AND (left(rest, 1) IN ('"', '{', '[', ']') OR ltrim(left(rest, 2), '-')[1] BETWEEN '0' AND '9' OR regexp_extract(rest, '^\w+') IN ('true', 'false', 'null')) THEN 'structured'
+  WHEN l LIKE 'diff --git %' OR (l LIKE '---%' AND regexp_matches(after, '^\r?\n|^\s+\S')) THEN 'structured'
+  WHEN len(few) >= 4 AND logged >= len(few) * 0.3 THEN 'log'
   ELSE 'other' END AS class
-FROM b
+FROM c
 """
 
 
