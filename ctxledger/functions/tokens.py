@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,38 +13,74 @@ from pyspark.sql import functions as F
 from ctxledger.functions.text import PIECES
 
 
+#: Distinct pieces whose counts a worker remembers.
+REMEMBER = 200_000
+
+
 def merge_count(piece: bytes, ranks: dict[bytes, int]) -> int:
-    """Tokens of a piece: the adjacent pair of lowest rank merges until none has a rank."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-        if best == 1 << 60:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return len(parts)
+    """Tokens of a piece: the adjacent pair of lowest rank, the first of equals, merges until none has a rank.
+
+    Pairs wait in a heap and parts are linked, so a long piece takes n log n steps.
+    """
+    n = len(piece)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    alive = [True] * n
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        """The pair that begins at part i, with the end it has now: a changed pair no longer matches its entry."""
+        if i >= 0 and after[i] < n:
+            rank = ranks.get(piece[i : end[after[i]]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, end[after[i]]))
+
+    for i in range(n - 1):
+        offer(i)
+    parts = n
+    while heap:
+        _, i, z = heapq.heappop(heap)
+        if not alive[i] or after[i] >= n or end[after[i]] != z:
+            continue
+        gone = after[i]
+        end[i], after[i], alive[gone] = z, after[gone], False
+        if after[i] < n:
+            before[after[i]] = i
+        parts -= 1
+        offer(before[i])
+        offer(i)
+    return parts
 
 
 def bpe_count(texts: DataFrame, ranks: DataFrame, key: str = "doc_id", limit: int = 500_000) -> DataFrame:
-    """(key, tokens): exact counts of ``texts`` (key, text) with ``ranks`` (token binary, rank long).
+    """(key, tokens), a row for each row of ``texts`` (key, text): exact counts with ``ranks`` (token binary, rank long).
 
-    Pieces are counted within each text, distinct pieces are merged once, and their
-    counts joined back: merging grows with the vocabulary, not with the text. The
-    rank table is broadcast after its size is checked.
+    Spark cuts texts into pieces, and each task merges the pieces that it has not met
+    yet: no shuffle, whatever pieces are frequent and whatever keys repeat. A null text
+    has no tokens. The rank table is broadcast after its size is checked.
     """
     spark = texts.sparkSession
     if ranks.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} ranks")
     table = spark.sparkContext.broadcast({bytes(r["token"]): r["rank"] for r in ranks.collect()})
-    pieces = texts.select(key, F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECES), F.lit(0))).alias("piece")).groupBy(key, "piece").agg(F.count("*").alias("n"))
+    rows = texts.select(key, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PIECES), F.lit(0)).alias("pieces"))
 
     def run(batches):
-        known = table.value
+        known, memo = table.value, {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array([merge_count(p.as_py().encode(), known) for p in b.column("piece")], pa.int64())], names=["piece", "tokens"])
-
-    sizes = pieces.select("piece").distinct().mapInArrow(run, "piece string, tokens long")
-    sums = pieces.join(sizes, "piece").groupBy(key).agg(F.sum(F.col("n") * F.col("tokens")).alias("tokens"))
-    return texts.select(key).join(sums, key, "left").select(key, F.coalesce("tokens", F.lit(0)).alias("tokens"))
+            pieces = b.column("pieces")
+            first = np.asarray(pieces.offsets)
+            found = pieces.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+            sizes = []
+            for piece in found.dictionary.to_pylist():
+                if piece not in memo:
+                    if len(memo) >= REMEMBER:
+                        memo.clear()
+                    memo[piece] = merge_count(piece.encode(), known)
+                sizes.append(memo[piece])
+            total = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64)[np.asarray(found.indices)])]) if len(found) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(total[first[1:] - first[0]] - total[first[:-1] - first[0]])], names=[key, "tokens"])
+
+    return rows.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, tokens long")
 
 
 def token_sections(turns: DataFrame, least: int = 2000, key: str = "conv_id") -> DataFrame:

@@ -235,6 +235,10 @@ def test_system(spark):
     text = "<env>\nWorking directory: /a b\nIs directory a git repo: No\nToday's date: 2025-01-01\n</env>x<custom>y</custom><skill>z</skill>"
     env = value(spark, text, system.env_fields(S))
     assert (env["cwd"], env["git_repo"], env["today"], env["branch"]) == ("/a b", "No", "2025-01-01", None)
+    odd = "Platform:\nplatform : linux x \r\nIs directory a git repo: maybe\nIS DIRECTORY A GIT REPO: yes, really\nCurrent branch: old\n  On branch main extra\nOS Version: 1: 2"
+    env = value(spark, odd, system.env_fields(S))
+    assert (env["platform"], env["git_repo"], env["branch"], env["os_version"], env["cwd"], env["today"]) == ("linux x", "yes", "main", "1: 2", None, None)
+    assert value(spark, "Current branch: b2", system.env_fields(S))["branch"] == "b2" and value(spark, "", system.env_fields(S))["cwd"] is None
     assert value(spark, text, system.unknown_tags(S)) == ["custom"]
     assert value(spark, text, system.static_text(S)) == "x<custom>y</custom><skill>z</skill>"
 
@@ -262,6 +266,42 @@ def test_bpe(spark):
     table = spark.createDataFrame([(bytearray(k), v) for k, v in ranks.items()], "token binary, rank long")
     docs = spark.createDataFrame([(1, "abc abc"), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["tokens"] for r in tokens.bpe_count(docs, table).collect()} == {1: 3, 2: 0}
+    rows = [(1, "abc"), (1, "abc"), (None, "abc abc"), (3, "")]  # repeated rows each have their own count
+    assert sorted((str(r["doc_id"]), r["tokens"]) for r in tokens.bpe_count(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()) == [("1", 1), ("1", 1), ("3", 0), ("None", 3)]
+
+
+def test_merge_equals_plain_merging():
+    """The heap gives what merging the lowest pair, the first of equals, again and again gives."""
+    rng = random.Random(4)
+
+    def plain(piece, ranks):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            best, at = min((ranks.get(parts[i] + parts[i + 1], 10**9), i) for i in range(len(parts) - 1))
+            if best == 10**9:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return len(parts)
+
+    for _ in range(300):
+        ranks, tokens_ = {}, [b"a", b"b", b"c"]
+        for rank in range(rng.randint(0, 25)):
+            new = rng.choice(tokens_) + rng.choice(tokens_)
+            if new not in ranks:
+                ranks[new] = rank
+                tokens_.append(new)
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 40)))
+        assert tokens.merge_count(piece, ranks) == plain(piece, ranks)
+    assert tokens.merge_count(b"ab" * 100_000, {b"ab": 0, b"abab": 1}) == 50_000
+
+
+@pytest.mark.parametrize("text, kind", [
+    ('{ "a": 1}', "structured"), ("{}", "structured"), ("{a}", "other"), (" [ true, 1]", "structured"), ("[truest]", "other"), ("[-5]", "structured"), ("[-x]", "other"), ("[ ]", "structured"), ("---\na: 1", "structured"),
+    ("--- a", "structured"), ("---", "other"), ("---\r\nx", "structured"), ("----", "other"), ("diff --git a b", "structured"), ("[INFO] a\n[WARN] b\nERROR: c\nTRACEx", "log"), ("INFOX\nINFO_\na\nb", "other"),
+    ("2024-01-02 a\n2024-01-02T\nx\ny", "log"), ("12:34:56 a\n12:34:567\nb\nc", "other"), ("12:34:56 a\n12:34:56\nb\nc", "log"), ("", "other"), (None, "other"),
+])
+def test_content_class_rules(spark, text, kind):
+    assert value(spark, text or "", X.classify_content(S)) == kind
 
 
 def test_wrong_bodies_keep_the_rest(spark):
