@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENTINEL = "↵"
@@ -66,15 +67,48 @@ def geometry(text: str, cols: int, height: int = 728, cell_w: int = 5, cell_h: i
     return len(rows), pages, lines, 2 * pad + cols * cell_w, 2 * pad + lines * cell_h
 
 
-def page_geometry(cols: int, **options):
-    """A pandas UDF: struct<rows, pages, last_rows, width, height> of each text."""
+#: Characters from which on one may be wide or combining; tabs are expanded.
+_UNSURE = f"[\\x{{300}}-\\x{{10FFFF}}\t\n&&[^{SENTINEL}]]"
+_FIELDS = ("rows", "pages", "last_rows", "width", "height")
 
-    @F.pandas_udf("rows long, pages long, last_rows long, width long, height long")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [geometry(t or "", cols, **options) for t in texts]
-        return pd.DataFrame(found, columns=["rows", "pages", "last_rows", "width", "height"])
 
-    return run
+def narrow_geometry(chars: Column, cols: int, height: int = 728, cell_w: int = 5, cell_h: int = 8, max_chars: int = 28080, pad: int = 4) -> Column:
+    """The struct of page_geometry for one line of ``chars`` characters of one cell each, in closed form.
+
+    Full rows fill pages of ``deep`` rows each, as many as rows and characters allow;
+    the rest row joins the last page if both still do, else it opens another.
+    """
+    limit = max(1, min((height - 2 * pad) // cell_h, max(1, max_chars // max(1, cols))))
+    deep = max(1, min(limit, (max_chars + 1) // (cols + 1)))
+    full, rest = F.floor(chars / cols), chars % cols
+    pages = F.ceil(full / deep)
+    last = full - (pages - 1) * deep
+    joins = (last < limit) & (last * (cols + 1) + rest <= max_chars)
+    pages, last = (
+        F.when(full == 0, 1).when((rest == 0) | joins, pages).otherwise(pages + 1).cast("long"),
+        F.when((full == 0) | (rest > 0) & ~joins, 1).when(rest == 0, last).otherwise(last + 1).cast("long"),
+    )
+    rows = F.greatest(F.lit(1), F.ceil(chars / cols)).cast("long")
+    return F.struct(rows.alias("rows"), pages.alias("pages"), last.alias("last_rows"), F.lit(2 * pad + cols * cell_w).cast("long").alias("width"), (last * cell_h + 2 * pad).alias("height"))
+
+
+def with_page_geometry(df: DataFrame, text: str, cols: int, out: str = "geometry", marker: int = 1, **options) -> DataFrame:
+    """``df`` plus struct<rows, pages, last_rows, width, height> of its texts (null: empty).
+
+    Lines of narrow characters are worked out by built-in functions; only texts that hold
+    a character which may be wide or combining, a tab or a newline go to Python.
+    """
+
+    @F.pandas_udf(", ".join(f"{f} long" for f in _FIELDS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        none = (None,) * len(_FIELDS)
+        return pd.DataFrame([none if t is None else geometry(t, cols, marker=marker, **options) for t in texts], columns=list(_FIELDS), dtype="Int64")
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    unsure = body.rlike(_UNSURE) if marker == 1 else body.rlike(_UNSURE) | F.contains(body, F.lit(SENTINEL))
+    df = df.withColumn("_unsure", F.when(unsure, body))
+    found = F.when(F.col("_unsure").isNull(), narrow_geometry(F.length(body), cols, **options)).otherwise(run("_unsure"))
+    return df.withColumn(out, found).drop("_unsure")
 
 
 def escape_uncovered(line: str, covered: set[str]) -> str:

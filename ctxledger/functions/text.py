@@ -73,6 +73,16 @@ def reflow(s: Column) -> Column:
     return F.when(F.contains(s, F.lit(SENTINEL)), None).otherwise(F.replace(s, F.lit("\n"), F.lit(SENTINEL)))
 
 
+def packed(s: Column) -> Column:
+    """A text as its pages hold it: compacted, sentinels neutralized, and so one line that reflow never refuses; null as empty."""
+    return F.replace(neutralize(compact_whitespace(F.coalesce(s, F.lit("")))), F.lit("\n"), F.lit(SENTINEL))
+
+
+def packed_rows(units: Column, cols: Column) -> Column:
+    """visual_rows of a packed text of so many units: it is one line."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(units / F.greatest(cols, F.lit(1))))
+
+
 def dereflow(s: Column) -> Column:
     return F.replace(s, F.lit(SENTINEL), F.lit("\n"))
 

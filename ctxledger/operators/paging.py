@@ -53,7 +53,7 @@ def paging_candidates(results: DataFrame, least: int = 6000, keep_sharp=None) ->
 
     ``keep_sharp`` is a caller's Column predicate; null counts as not kept.
     """
-    text = X.reflow(X.neutralize(X.compact_whitespace(F.coalesce("text", F.lit("")))))
+    text = X.packed(F.col("text"))
     sharp = F.lit(False) if keep_sharp is None else F.coalesce(keep_sharp, F.lit(False))
     reason = F.when(F.coalesce("is_error", F.lit(False)), "is_error").when(X.u16len(text) < least, "below_threshold").when(sharp, "keep_sharp").otherwise("candidate")
     return results.withColumn("reason", reason)

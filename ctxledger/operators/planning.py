@@ -97,10 +97,9 @@ def compaction_plan(requests: DataFrame, bases: tuple[str, ...] = ("*",), per_to
 
     Narrow but for the broadcast of profiles: text is measured where it lies.
     """
-    text = X.compact_whitespace(F.coalesce("text", F.lit("")))
-    rows = P.resolve_profile(requests.withColumn("_text", text))
-    packed = X.reflow(X.neutralize(F.col("_text")))
-    rows = rows.withColumns({"chars": X.u16len(packed), "rows": X.visual_rows(packed, F.col("profile.strip_cols")), "_floor": below_min(F.col("_text"), F.col("profile"))})
+    rows = requests.withColumns({"_text": X.compact_whitespace(F.coalesce("text", F.lit(""))), "chars": X.u16len(X.packed(F.col("text")))})
+    rows = P.resolve_profile(rows)
+    rows = rows.withColumns({"rows": X.packed_rows(F.col("chars"), F.col("profile.strip_cols")), "_floor": below_min(F.col("_text"), F.col("profile"))})
     rows = G.with_image_tokens(rows).withColumn("text_tokens", X.text_tokens(F.col("chars"), per_token))
     reason = (
         F.when(~P.model_allowed(F.col("model"), bases), "unsupported_model").when(F.col("chars") == 0, "no_static_context").when(F.col("_floor"), F.when(F.col("profile.min_tokens").isNotNull(), "below_min_tokens").otherwise("below_min_chars"))

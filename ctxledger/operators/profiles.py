@@ -118,11 +118,27 @@ def profile_name(model: Column, overrides_json: str | None = None) -> Column:
     return out.when(first != "default", first).otherwise(_built_in(last))
 
 
+#: Distinct model ids up to which they are resolved once each instead of row by row.
+MODELS = 10_000
+
+
 def resolve_profile(df: DataFrame, model: str = "model", overrides_json: str | None = None) -> DataFrame:
-    """``df`` with a struct column ``profile``; the profile table is small by construction and broadcast."""
-    table = load_profiles(df.sparkSession, overrides_json)
-    table = table.select(F.col("name").alias("_profile"), F.struct(*_NAMES).alias("profile"))
-    return df.withColumn("_profile", profile_name(F.col(model), overrides_json)).join(F.broadcast(table), "_profile").drop("_profile")
+    """``df`` with a struct column ``profile``.
+
+    A first job finds the distinct model ids; MODELS of them at most are resolved once
+    and broadcast with their profiles, so that the id tests stay out of the rows'
+    plan. A stream, or a table of more ids, is resolved row by row. The profile table
+    has tens of rows and is broadcast either way.
+    """
+    spark = df.sparkSession
+    table = F.broadcast(load_profiles(spark, overrides_json).select(F.col("name").alias("_profile"), F.struct(*_NAMES).alias("profile")))
+    ident = F.coalesce(F.col(model), F.lit(""))
+    found = [] if df.isStreaming else [r[0] for r in df.select(ident.alias("m")).distinct().limit(MODELS + 1).collect()]
+    if not found or len(found) > MODELS:
+        return df.withColumn("_profile", profile_name(F.col(model), overrides_json)).join(table, "_profile").drop("_profile")
+    names = spark.createDataFrame([(m,) for m in found], "_model string")
+    names = names.withColumn("_profile", profile_name(F.col("_model"), overrides_json)).join(table, "_profile").drop("_profile")
+    return df.withColumn("_model", ident).join(F.broadcast(names), "_model").drop("_model")
 
 
 def is_misresolved(model: Column, declared: tuple[str, ...] = ()) -> Column:

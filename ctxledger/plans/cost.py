@@ -23,11 +23,10 @@ def price_texts(df: DataFrame, text: str = "text", model: str = "model", per_tok
 
     Texts are compacted and reflowed first. Narrow: no shuffle, profiles are broadcast.
     """
-    packed = X.reflow(X.neutralize(X.compact_whitespace(F.coalesce(F.col(text), F.lit("")))))
-    out = P.resolve_profile(df.withColumn("_packed", packed), model)
-    out = out.withColumn("chars", X.u16len(F.col("_packed"))).withColumn("rows", X.visual_rows(F.col("_packed"), F.col("profile.strip_cols")))
+    out = P.resolve_profile(df.withColumn("chars", X.u16len(X.packed(F.col(text)))), model)
+    out = out.withColumn("rows", X.packed_rows(F.col("chars"), F.col("profile.strip_cols")))
     out = G.with_image_tokens(out).withColumn("text_tokens", X.text_tokens(F.col("chars"), per_token))
-    return out.withColumn("profitable", (F.col("chars") > 0) & G.profitable(F.col("image_tokens"), F.col("text_tokens"))).drop("_packed", "profile")
+    return out.withColumn("profitable", (F.col("chars") > 0) & G.profitable(F.col("image_tokens"), F.col("text_tokens"))).drop("profile")
 
 
 def _with_model(docs: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def pins(spark, sf_dir):
 
 
 def page_geometry(spark, sf_dir):
-    packed = X.reflow(X.neutralize(X.compact_whitespace(F.coalesce("text", F.lit("")))))
-    return load(spark, sf_dir, "documents").select("doc_id", layout.page_geometry(312)(packed).alias("g")).select("doc_id", "g.rows", "g.pages", "g.last_rows", "g.width", "g.height")
+    docs = load(spark, sf_dir, "documents").select("doc_id", X.packed(F.col("text")).alias("packed"))
+    return layout.with_page_geometry(docs, "packed", 312, "g").select("doc_id", "g.rows", "g.pages", "g.last_rows", "g.width", "g.height")
 
 
 def bpe_count(spark, sf_dir):

@@ -260,6 +260,16 @@ def test_layout():
     assert layout.escape_uncovered("a🚀", {"a"}) == "a[U+1F680]"
 
 
+def test_narrow_geometry_equals_the_row_by_row_form(spark):
+    rng = random.Random(6)
+    texts = ["x" * n for n in [0, 1, 6, 7, 8, 13, 14, 20, 21, 27, 28, 41, 42, 43, 56, 63, 70, 200] + [rng.randint(0, 400) for _ in range(40)]]
+    texts += [None, "漢字" * 30, "a\tb", "a\nb" * 9, "é" * 50, "e\u0301" * 40, "a↵b" * 9]
+    for cols, options in ((7, dict(height=40, max_chars=40)), (7, dict(height=4000, max_chars=29)), (5, dict(height=24, max_chars=1000)), (10, dict(height=8, max_chars=3))):
+        df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        got = {r["id"]: tuple(r["g"]) for r in layout.with_page_geometry(df, "text", cols, "g", **options).collect()}
+        assert all(got[i] == layout.geometry(t or "", cols, **options) for i, t in enumerate(texts))
+
+
 def test_bpe(spark):
     ranks = {b"ab": 0, b"abc": 1, b"bc": 2}
     assert tokens.merge_count(b"abc", ranks) == 1 and tokens.merge_count(b"bcab", ranks) == 2
