@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField
 
+from ctxledger.functions.folds import fold
 from ctxledger.functions.text import PIECES
 
 
@@ -89,32 +90,41 @@ def token_sections(turns: DataFrame, least: int = 2000, key: str = "conv_id") ->
     The sum restarts at each close, so it is a fold over one conversation's turns.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        section, total, out = 0, 0, []
-        for tokens, open_calls, pinned in zip(pdf.tokens, pdf.open_calls, pdf.pinned, strict=True):
+    def rule():
+        section = total = 0
+
+        def step(tokens, open_calls, pinned):
+            nonlocal section, total
             if pinned and total:
                 section, total = section + 1, 0
-            out.append(section)
+            mine = section
             total += tokens
             if pinned or total >= least and not open_calls:
                 section, total = section + 1, 0
-        return pdf.assign(section=out)
+            return mine
+
+        return step
 
     rows = turns.select(key, F.col("idx").cast("long"), F.col("tokens").cast("long"), F.col("open_calls").cast("long"), F.col("pinned").cast("boolean"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {dict(rows.dtypes)[key]}, idx long, tokens long, open_calls long, pinned boolean, section long")
+    return fold(rows, key, ["idx"], rule, ["tokens", "open_calls", "pinned"], StructField("section", LongType()))
 
 
 def prefix_fit(rounds: DataFrame, pages: int, key: str = "request_id") -> DataFrame:
     """``rounds`` (key, run, idx, pages: of the run's prefix up to idx) plus taken: each run in order takes its longest prefix that fits the pages left."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, parts = pages, []
-        for _, part in pdf.sort_values(["run", "idx"]).groupby("run", sort=True):
-            fits = part.pages <= left
-            parts.append(part.assign(taken=fits))
-            left -= int(part.pages[fits].max()) if fits.any() else 0
-        return pd.concat(parts)
+    def rule():
+        left, taken, now = pages, 0, None
+
+        def step(run, size):
+            nonlocal left, taken, now
+            if run != now:
+                left, taken, now = left - taken, 0, run
+            if size > left:
+                return False
+            taken = max(taken, size)
+            return True
+
+        return step
 
     rows = rounds.select(key, F.col("run").cast("long"), F.col("idx").cast("long"), F.col("pages").cast("long"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {dict(rows.dtypes)[key]}, run long, idx long, pages long, taken boolean")
+    return fold(rows, key, ["run", "idx"], rule, ["run", "pages"], StructField("taken", BooleanType()))

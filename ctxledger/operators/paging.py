@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField
 
 from ctxledger.functions import text as X
+from ctxledger.functions.folds import fold
 
 
 def head_tail_paging(texts: DataFrame, max_pages: int, cols: int, page_chars: int, page_lines: int, key: str = "doc_id") -> DataFrame:
@@ -63,21 +65,23 @@ def admit_by_budget(candidates: DataFrame, images: int, size: int, key: str = "r
     """``candidates`` (key, idx, pages, bytes) plus admitted: in order, one that would exceed a budget is skipped and later, smaller ones may pass.
 
     The rule depends on what was admitted before, so it is a fold over each
-    request's candidates (tens to hundreds), not a running sum.
+    request's candidates, not a running sum.
     """
 
-    def fold(pdf):
-        pdf = pdf.sort_values("idx")
-        left, room, out = images, size, []
-        for p, b in zip(pdf.pages, pdf.bytes, strict=True):
-            ok = p <= left and b <= room
-            out.append(ok)
-            if ok:
-                left, room = left - p, room - b
-        return pdf.assign(admitted=out)
+    def rule():
+        left, room = images, size
+
+        def step(pages, size_):
+            nonlocal left, room
+            if pages > left or size_ > room:
+                return False
+            left, room = left - pages, room - size_
+            return True
+
+        return step
 
     rows = candidates.select(key, F.col("idx").cast("long"), F.col("pages").cast("long"), F.col("bytes").cast("long"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {dict(rows.dtypes)[key]}, idx long, pages long, bytes long, admitted boolean")
+    return fold(rows, key, ["idx"], rule, ["pages", "bytes"], StructField("admitted", BooleanType()))
 
 
 def codepoints(texts: DataFrame, key: str = "doc_id") -> DataFrame:

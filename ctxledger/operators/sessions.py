@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField
 
+from ctxledger.functions.folds import fold
 from ctxledger.functions.text import sha8
 
 #: Seconds after which an unobserved cache counts as cold.
@@ -86,23 +88,26 @@ def state_at_request(requests: DataFrame, outcomes: DataFrame, columns: list[str
 
 
 def duplicates_in_flight(requests: DataFrame, hold_seconds: int = 60) -> DataFrame:
-    """``requests`` (digest, ts, seq) plus accepted: false while an accepted equal request is under ``hold_seconds`` old.
+    """``requests`` (digest, ts, seq, and if there ended) plus accepted: false while an accepted equal request is in flight.
 
-    The lease runs from the accepted request, so the rule is a fold over each
-    digest's requests; digests are spread over tasks and each holds few rows.
+    An accepted request holds its digest for ``hold_seconds``, or until its response
+    ended (``ended``, a timestamp), if that comes first. The lease runs from the
+    accepted request, so the rule is a fold over each digest's requests.
     """
     hold = hold_seconds * 1_000_000
 
-    def fold(pdf):
-        pdf = pdf.sort_values(["us", "seq"])
-        out, start = [], None
-        for t in pdf.us:
-            fresh = start is None or t - start >= hold
-            if fresh:
-                start = t
-            out.append(fresh)
-        return pdf.assign(accepted=out)
-
-    rows = requests.select("digest", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    kinds = dict(rows.dtypes)
-    return rows.groupBy("digest").applyInPandas(fold, f"digest {kinds['digest']}, seq {kinds['seq']}, us long, accepted boolean")
+    def rule():
+        until = None
+
+        def step(us, ended):
+            nonlocal until
+            if until is not None and us < until:
+                return False
+            until = us + hold if ended is None else min(us + hold, max(us, ended))
+            return True
+
+        return step
+
+    ended = F.unix_micros(F.col("ended").cast("timestamp")) if "ended" in requests.columns else F.lit(None).cast("long")
+    rows = requests.select("digest", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), ended.alias("ended_us"))
+    return fold(rows, "digest", ["us", "seq"], rule, ["us", "ended_us"], StructField("accepted", BooleanType())).drop("ended_us")

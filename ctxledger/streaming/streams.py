@@ -35,45 +35,86 @@ def duplicate_guard(requests: DataFrame, hold: str = "60 seconds") -> DataFrame:
     return requests.withWatermark("ts", hold).dropDuplicatesWithinWatermark(["digest"])
 
 
-class _Lease(StatefulProcessor):
+#: Seconds of event time that a key's state outlives its last event, and how late events may come.
+KEEP, LATE = 86_400, "1 hour"
+
+
+class _Kept(StatefulProcessor):
+    """A processor whose state goes when the watermark is ``keep`` seconds past the key's last event (0: never)."""
+
+    keep = KEEP
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def stays(self, us) -> None:
+        """Moves the key's timer to ``keep`` seconds after its last event."""
+        if self.keep:
+            due = int(max(us)) // 1000 + self.keep * 1000
+            old = list(self.handle.listTimers())
+            if not old or max(old) < due:
+                for t in old:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(rows: DataFrame, keys: list[str], processor: type, schema: str, keep: int, **fields) -> DataFrame:
+    """``processor`` over the groups of a stream with an event time ``ts``."""
+    made = type(processor.__name__, (processor,), {"keep": keep, **fields})()
+    rows = rows.withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy(*keys).transformWithStateInPandas(made, schema, "Append", "EventTime" if keep else "None")
+
+
+def _timed(events: DataFrame, keep: int) -> DataFrame:
+    return events.withWatermark("ts", LATE) if keep else events
+
+
+class _Lease(_Kept):
     """Exact lease: a request is a duplicate while the accepted one is younger than the hold."""
 
     hold_us = 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.start = handle.getValueState("start", "us long")
+        super().init(handle)
+        self.state = handle.getValueState("start", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows).sort_values(["us", "seq"])
-        start, out = (self.start.get()[0] if self.start.exists() else None), []
+        start, out = (self.state.get()[0] if self.state.exists() else None), []
         for t in pdf.us:
             fresh = start is None or t - start >= self.hold_us
             start = t if fresh else start
             out.append(fresh)
-        self.start.update((int(start),))
+        self.state.update((int(start),))
+        self.stays(pdf.us)
         yield pd.DataFrame({"digest": key[0], "seq": pdf.seq.to_numpy(), "accepted": out})
 
-    def close(self) -> None:
-        pass
-
 
-def exact_duplicate_guard(requests: DataFrame, hold_seconds: int = 60, mode: str = "none") -> DataFrame:
-    """(digest, seq, accepted) by the lease rule; needs the RocksDB state store."""
-    lease = type("_Hold", (_Lease,), {"hold_us": hold_seconds * 1_000_000})
-    rows = requests.select("digest", F.col("seq").cast("long"), F.unix_micros("ts").alias("us"))
-    return rows.groupBy("digest").transformWithStateInPandas(lease(), "digest string, seq long, accepted boolean", "Append", mode)
+def exact_duplicate_guard(requests: DataFrame, hold_seconds: int = 60, keep: int = KEEP) -> DataFrame:
+    """(digest, seq, accepted) by the lease rule; needs the RocksDB state store. A digest is forgotten ``keep`` seconds after its last lease."""
+    rows = _timed(requests, keep).select("digest", F.col("seq").cast("long"), "ts")
+    return _keyed(rows, ["digest"], _Lease, "digest string, seq long, accepted boolean", max(keep, hold_seconds) if keep else 0, hold_us=hold_seconds * 1_000_000)
 
 
-class SessionState(StatefulProcessor):
+class SessionState(_Kept):
     """Cache state of a session; gives cold for each request. last_seen never moves back, dead is used up by a request."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("state", "seen long, dead boolean, observed boolean, alive boolean, ever boolean, known boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, dead, observed, alive, ever, known = self.state.get() if self.state.exists() else (-1, False, False, False, False, False)
         out = []
-        for r in pd.concat(rows).sort_values(["us", "seq"]).itertuples():
+        pdf = pd.concat(rows).sort_values(["us", "seq"])
+        for r in pdf.itertuples():
             if r.kind == "request":
                 idle = seen >= 0 and r.us - seen > IDLE * 1_000_000
                 out.append((key[0], r.seq, bool(dead or not (observed and alive) and (observed and ever or idle))))
@@ -84,36 +125,33 @@ class SessionState(StatefulProcessor):
                 observed, alive = True, bool(r.cache_read > 0 or r.cache_create > 0)
                 ever = ever or alive
         self.state.update((int(seen), bool(dead), bool(observed), bool(alive), bool(ever), bool(known)))
+        self.stays(pdf.us)
         yield pd.DataFrame(out, columns=["session", "seq", "cold"])
 
-    def close(self) -> None:
-        pass
-
 
-def session_state_stream(events: DataFrame, mode: str = "none") -> DataFrame:
-    """(session, seq, cold) of each request; needs the RocksDB state store."""
-    rows = events.select(F.col("session").cast("long"), F.col("seq").cast("long"), F.unix_micros("ts").alias("us"), "kind", "cache_read", "cache_create")
-    return rows.groupBy("session").transformWithStateInPandas(SessionState(), "session long, seq long, cold boolean", "Append", mode)
+def session_state_stream(events: DataFrame, keep: int = KEEP) -> DataFrame:
+    """(session, seq, cold) of each request; needs the RocksDB state store. A session is new again ``keep`` seconds after its last event."""
+    rows = _timed(events, keep).select(F.col("session").cast("long"), F.col("seq").cast("long"), "ts", "kind", "cache_read", "cache_create")
+    return _keyed(rows, ["session"], SessionState, "session long, seq long, cold boolean", keep)
 
 
-class _Churn(StatefulProcessor):
+class _Churn(_Kept):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "digest string")
+        super().init(handle)
+        self.state = handle.getValueState("last", "digest string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows).sort_values(["us", "seq"])
-        last, out = (self.last.get()[0] if self.last.exists() else None), []
+        last, out = (self.state.get()[0] if self.state.exists() else None), []
         for digest in pdf.digest:
             out.append(last is not None and digest != last)
             last = digest
-        self.last.update((last,))
+        self.state.update((last,))
+        self.stays(pdf.us)
         yield pd.DataFrame({"session": key[0], "tag": key[1], "seq": pdf.seq.to_numpy(), "changed": out})
 
-    def close(self) -> None:
-        pass
-
 
-def tag_churn_stream(tags: DataFrame, mode: str = "none") -> DataFrame:
-    """(session, tag, seq, changed): content differs from the tag's previous one; needs the RocksDB state store."""
-    rows = tags.select(F.col("session").cast("long"), "tag", F.col("seq").cast("long"), F.unix_micros("ts").alias("us"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 8).alias("digest"))
-    return rows.groupBy("session", "tag").transformWithStateInPandas(_Churn(), "session long, tag string, seq long, changed boolean", "Append", mode)
+def tag_churn_stream(tags: DataFrame, keep: int = KEEP) -> DataFrame:
+    """(session, tag, seq, changed): content differs from the tag's previous one; needs the RocksDB state store. A tag is new again ``keep`` seconds after its last event."""
+    rows = _timed(tags, keep).select(F.col("session").cast("long"), "tag", F.col("seq").cast("long"), "ts", F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 8).alias("digest"))
+    return _keyed(rows, ["session", "tag"], _Churn, "session long, tag string, seq long, changed boolean", keep)

@@ -8,6 +8,7 @@ from ctxledger.sources.io import stream_events
 from ctxledger.streaming import streams
 
 SMALL = "/root/testdata/sf0.001"
+KEEP = 1000 * 86_400  # longer than the replayed log, so that no state goes
 
 
 def replay(spark, df, path, name, build, mode="append"):
@@ -31,21 +32,21 @@ def _events(spark):
 
 def test_session_state(spark, tmp_path):
     e = _events(spark).select("session", "ts", "seq", "kind", "cache_read", "cache_create")
-    got = replay(spark, e, tmp_path / "a", "cold", streams.session_state_stream)
+    got = replay(spark, e, tmp_path / "a", "cold", lambda s: streams.session_state_stream(s, KEEP))
     expect = sessions.session_cold(e).select("session", "seq", "cold")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expect.collect()))
 
 
 def test_tag_churn(spark, tmp_path):
     t = _events(spark).select("session", "ts", "seq", F.col("event_type").alias("tag"), F.floor(F.col("value") / 20).cast("string").alias("content"))
-    got = replay(spark, t, tmp_path / "b", "churn", streams.tag_churn_stream)
+    got = replay(spark, t, tmp_path / "b", "churn", lambda s: streams.tag_churn_stream(s, KEEP))
     expect = sessions.tag_churn(t).select("session", "tag", "seq", "changed")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expect.collect()))
 
 
 def test_duplicates(spark, tmp_path):
     e = _events(spark).select(F.concat_ws(":", "session", "event_type").alias("digest"), "ts", "seq")
-    got = replay(spark, e, tmp_path / "c", "dups", lambda s: streams.exact_duplicate_guard(s, 3600))
+    got = replay(spark, e, tmp_path / "c", "dups", lambda s: streams.exact_duplicate_guard(s, 3600, KEEP))
     expect = sessions.duplicates_in_flight(e, 3600).select("digest", "seq", "accepted")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expect.collect()))
 
