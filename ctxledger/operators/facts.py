@@ -102,15 +102,15 @@ def fact_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "token").agg(F.count("*").alias("count"))
 
 
-def collapse_substrings(counts: DataFrame) -> DataFrame:
-    """Drops a token that a longer token of its document contains.
+def collapse_substrings(counts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Drops a token that a longer token of its group contains.
 
-    A document has SCANNED tokens a page at most, so its list is bounded; comparing
-    within the list keeps one exchange and makes no pairs.
+    A page has SCANNED tokens and the chunk that brings them at most, so with pages among
+    the ``keys`` the list is bounded; comparing within it keeps one exchange and makes no pairs.
     """
-    lists = counts.groupBy("doc_id").agg(F.collect_list(F.struct("token", "count")).alias("facts"))
+    lists = counts.groupBy(*keys).agg(F.collect_list(F.struct("token", "count")).alias("facts"))
     kept = F.filter("facts", lambda t: ~F.exists("facts", lambda u: (F.length(u["token"]) > F.length(t["token"])) & F.contains(u["token"], t["token"])))
-    return lists.select("doc_id", F.explode(kept).alias("f")).select("doc_id", "f.token", "f.count")
+    return lists.select(*keys, F.explode(kept).alias("f")).select(*keys, "f.token", "f.count")
 
 
 def priority_tier(token: Column) -> Column:
@@ -118,15 +118,40 @@ def priority_tier(token: Column) -> Column:
     return out.when(token.rlike(r"^https?://"), 2).otherwise(1)
 
 
-def rank_facts(counts: DataFrame, most: int = SHEET, links: int = LINKS) -> DataFrame:
-    """The sheet's entries per document: by tier, longest first, then bytes; at most ``links`` of tier 2, which take no slot beyond."""
+def rank_facts(counts: DataFrame, most: int = SHEET, links: int = LINKS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The sheet's entries per group: by tier, longest first, then bytes; at most ``links`` of tier 2, which take no slot beyond."""
     order = [F.col("tier"), F.desc(u16len(F.col("token"))), F.col("token")]
     ranked = counts.withColumn("tier", priority_tier(F.col("token")))
-    ranked = ranked.withColumn("_t", F.row_number().over(Window.partitionBy("doc_id", "tier").orderBy(*order))).where((F.col("tier") < 2) | (F.col("_t") <= links)).drop("_t")
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("rank") <= most)
+    ranked = ranked.withColumn("_t", F.row_number().over(Window.partitionBy(*keys, "tier").orderBy(*order))).where((F.col("tier") < 2) | (F.col("_t") <= links)).drop("_t")
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
 
 
-def fact_sheet(ranked: DataFrame, opener: str = "Exact identifiers: ") -> DataFrame:
-    """One line per document: entries in rank order, repeated ones with their count."""
+def fact_entries(found: DataFrame, most: int = SHEET) -> DataFrame:
+    """(doc_id, token, count, tier, rank, dropped) of the spans ``found``.
+
+    Each page has entries of its own: counted, collapsed, ranked. The pages' counts add
+    up and are ranked once more without collapsing; dropped is how many of a
+    document's page entries its sheet leaves out. A text of one page keeps its entries.
+    """
+    page = ("doc_id", "page")
+    counts = found.groupBy(*page, "token").agg(F.count("*").alias("count"))
+    entries = rank_facts(collapse_substrings(counts, page), most, keys=page).select("doc_id", "token", "count")
+    whole = entries.groupBy("doc_id", "token").agg(F.sum("count").alias("count"))
+    ranked = rank_facts(whole.withColumn("_all", F.count("*").over(Window.partitionBy("doc_id"))), most)
+    return ranked.withColumn("dropped", F.col("_all") - F.count("*").over(Window.partitionBy("doc_id"))).drop("_all")
+
+
+#: How a sheet opens, in full and compact form, without and with repeated entries.
+OPENERS = {
+    (False, False): "[Exact identifiers from the rendered context above (paths, ids, versions, numbers) — quote these verbatim instead of transcribing them from the image: ",
+    (False, True): "[Exact identifiers from the rendered context above (paths, ids, versions, numbers) — quote these verbatim instead of transcribing them from the image; ×N marks a token that occurs N times within the imaged content: ",
+    (True, False): "[Exact rendered identifiers—quote verbatim: ",
+    (True, True): "[Exact rendered identifiers—quote verbatim; ×N=count: ",
+}
+
+
+def fact_sheet(ranked: DataFrame, compact: bool = False) -> DataFrame:
+    """One line per document: entries in rank order, repeated ones with their count, under the opener that fits."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("rank", "token", "count"))), lambda f: F.when(f["count"] >= 2, F.concat(f["token"], F.lit(" ×"), f["count"].cast("string"))).otherwise(f["token"]))
-    return ranked.groupBy("doc_id").agg(F.concat(F.lit(opener), F.array_join(parts, " · ")).alias("sheet"))
+    opener = F.when(F.max("count") >= 2, OPENERS[compact, True]).otherwise(OPENERS[compact, False])
+    return ranked.groupBy("doc_id").agg(F.concat(opener, F.array_join(parts, " · "), F.lit("]")).alias("sheet"))

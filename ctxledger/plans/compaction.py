@@ -23,7 +23,7 @@ def fact_ranks_plain(spark, sf_dir):
 
 
 def fact_sheet(spark, sf_dir):
-    return A.fact_sheet(A.rank_facts(A.collapse_substrings(A.fact_counts(A.fact_spans(load(spark, sf_dir, "documents"))))))
+    return A.fact_sheet(A.fact_entries(A.fact_spans(load(spark, sf_dir, "documents"))))
 
 
 def head_tail_paging(spark, sf_dir):

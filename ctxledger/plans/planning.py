@@ -75,6 +75,15 @@ def unreferenced(spark, sf_dir):
     return R.unreferenced(items.where("call_id is not null"), refs).groupBy("request_id").agg(F.count("*").alias("free"))
 
 
+def token_composition(spark, sf_dir):
+    """Items with roles put in by index, and requests with instructions and tools."""
+    i = F.col("idx")
+    role = F.when(F.col("call_id").isNull(), F.when(i % 5 == 0, "system").when(i % 5 == 1, "user").when(i % 5 == 2, "assistant"))
+    items = E.items(spark, sf_dir).withColumns({"role": role, "images": (i % 11 == 0).cast("int")})
+    requests = items.groupBy("request_id").agg(F.max("type").alias("instructions"), F.min("type").alias("tools"))
+    return R.token_composition(items, requests)
+
+
 def collapsible_units(spark, sf_dir):
     items = E.items(spark, sf_dir)
     return R.collapsible_units(items, R.tool_rounds(items), 6, 6).select("request_id", "idx", "type")
@@ -93,7 +102,7 @@ def command_turns(spark, sf_dir):
     return N.command_turns(t).select("conv_id", "idx", F.col("commands").cast("long").alias("commands"), "only_commands")
 
 
-QUERIES = {f.__name__: f for f in (compaction_plan, plan_reasons, closed_prefix_messages, chunk_ends, bucket_chars, page_totals, baseline_tokens, verbatim_tasks, request_outcomes, unreferenced, collapsible_units, normalized_dialog, command_turns)}
+QUERIES = {f.__name__: f for f in (compaction_plan, plan_reasons, closed_prefix_messages, chunk_ends, bucket_chars, page_totals, baseline_tokens, verbatim_tasks, request_outcomes, unreferenced, token_composition, collapsible_units, normalized_dialog, command_turns)}
 ORACLES = {
     "closed_prefix_messages": f"""WITH {E._ITEMS},
         k AS (SELECT *, (type = 'function_call')::INT AS uses, CASE WHEN type = 'function_call' THEN 1 WHEN type = 'function_call_output' THEN -1 END AS kind FROM items),
@@ -114,6 +123,13 @@ ORACLES = {
         CASE WHEN event_type <> 'signup' THEN event_type = 'error' AND value < 5 END AS too_large FROM events""",
     "unreferenced": f"""WITH {E._ITEMS}, r AS (SELECT DISTINCT request_id, call_id FROM items WHERE idx % 7 = 0 AND call_id IS NOT NULL)
         SELECT request_id, count(*) AS free FROM items WHERE call_id IS NOT NULL AND (request_id, call_id) NOT IN (SELECT request_id, call_id FROM r) GROUP BY request_id""",
+    "token_composition": f"""WITH {E._ITEMS},
+        r AS (SELECT *, CASE WHEN call_id IS NULL THEN CASE idx % 5 WHEN 0 THEN 'system' WHEN 1 THEN 'user' WHEN 2 THEN 'assistant' END END AS role, {u16_sql("coalesce(text, '')")} AS n FROM items),
+        s AS (SELECT request_id, CASE WHEN role = 'system' THEN 'system_developer' WHEN role IS NOT NULL THEN 'user_assistant' WHEN type = 'function_call' THEN 'function_calls' WHEN type = 'function_call_output' THEN 'function_outputs'
+            WHEN type = 'reasoning' THEN 'reasoning' WHEN type IN ('compaction', 'compaction_trigger', 'context_compaction', 'item_reference') THEN 'compaction' ELSE 'other' END AS spent, n, (idx % 11 = 0)::INT AS images FROM r
+          UNION ALL SELECT request_id, 'instructions', length(max(type)), 0 FROM items GROUP BY request_id UNION ALL SELECT request_id, 'tools', length(min(type)), 0 FROM items GROUP BY request_id)
+        SELECT request_id, {", ".join(f"coalesce(sum(n) FILTER (spent = '{c}'), 0)::BIGINT AS {c}" for c in ("instructions", "system_developer", "user_assistant", "function_calls", "function_outputs", "reasoning", "compaction", "tools", "other"))},
+          sum(n)::BIGINT AS total, sum(images)::BIGINT AS image_parts FROM s GROUP BY request_id""",
     "collapsible_units": f"""WITH {E._ROUNDS}, f AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY idx DESC) AS rn FROM items)
         SELECT f.request_id, f.idx, f.type FROM f JOIN recent o ON f.request_id = o.request_id AND NOT o.recent AND f.idx > o.end_idx - o.calls AND f.idx <= o.end_idx + o.calls WHERE rn > 6""",
     "normalized_dialog": """SELECT conv_id AS request_id, turn AS idx, CASE WHEN conv_id % 2 = 1 AND turn % 3 = 2 THEN 'assistant' WHEN role IN ('system', 'developer') THEN 'system' ELSE role END AS role,

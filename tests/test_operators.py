@@ -260,6 +260,28 @@ def test_layout():
     assert layout.escape_uncovered("a🚀", {"a"}) == "a[U+1F680]"
 
 
+def test_fact_entries_of_pages(spark, monkeypatch):
+    """A text of one page keeps its entries; pages of a long one are collapsed and cut each, then added up and cut again."""
+    monkeypatch.setattr(facts, "LONG", 60)
+    monkeypatch.setattr(facts, "PAGE", 40)
+    pages = ["AAA_B1 AAA_B1 /usr/lib/x.so 12345 ", "AAA_B1 AAA_B12_C 777777 1234567 ", "12345 /usr/lib/x.so"]
+    text = "".join(p.ljust(40) for p in pages)
+    docs = spark.createDataFrame([(1, text), (2, pages[1]), (3, None), (4, "plain words")], "doc_id long, text string")
+    got = {}
+    for r in facts.fact_entries(facts.fact_spans(docs), 4).collect():
+        got.setdefault(r["doc_id"], {})[r["token"]] = (r["count"], r["dropped"])
+    alone = facts.rank_facts(facts.collapse_substrings(facts.fact_counts(facts.fact_spans(docs.where("doc_id = 2")))), 4).collect()
+    assert got[2] == {r["token"]: (r["count"], 0) for r in alone} and set(got) == {1, 2}
+    whole = {}
+    for p in pages:
+        one = spark.createDataFrame([(1, p.ljust(40))], docs.schema)
+        for r in facts.rank_facts(facts.collapse_substrings(facts.fact_counts(facts.fact_spans(one))), 4).collect():
+            whole[r["token"]] = whole.get(r["token"], 0) + r["count"]
+    assert len(got[1]) == 4 and all(whole[t] == n and dropped == len(whole) - 4 for t, (n, dropped) in got[1].items())
+    sheets = {r["doc_id"]: r["sheet"] for r in facts.fact_sheet(facts.fact_entries(facts.fact_spans(docs), 4), compact=True).collect()}
+    assert sheets[1].startswith(facts.OPENERS[True, True]) and sheets[2].startswith(facts.OPENERS[True, False]) and sheets[1].endswith("]")
+
+
 def test_narrow_geometry_equals_the_row_by_row_form(spark):
     rng = random.Random(6)
     texts = ["x" * n for n in [0, 1, 6, 7, 8, 13, 14, 20, 21, 27, 28, 41, 42, 43, 56, 63, 70, 200] + [rng.randint(0, 400) for _ in range(40)]]
