@@ -58,6 +58,59 @@ def strip_schema(schemas: pd.Series) -> pd.Series:
     return schemas.map(memo)
 
 
+#: Fixed value: the prose keys that annotation lines name, in order.
+PROSE = ("description", "title", "examples", "default", "$comment")
+
+
+def _json(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _below(node, path: str) -> list:
+    """(path, subschema) of each node right under a schema node or list, in order."""
+    if isinstance(node, list):
+        return [(f"{path}[{i}]", x) for i, x in enumerate(node)]
+    named = [(f"{path}.{name}", x) for key in BY_NAME if isinstance(node.get(key), dict) for name, x in node[key].items()]
+    listed = [(f"{path}.{key}[{i}]", x) for key in BY_ITEM if isinstance(node.get(key), list) for i, x in enumerate(node[key])]
+    return named + listed + [(f"{path}.{key}", node[key]) for key in SINGLE if key in node]
+
+
+def annotations(schema) -> list[str]:
+    """``path key: value`` lines of the prose that strip_value takes out of a schema, from its root ``$`` down."""
+    out, open_ = [], [("$", schema, 0)]
+    while open_:
+        path, node, depth = open_.pop()
+        if depth > DEPTH or not isinstance(node, dict | list):
+            continue
+        if isinstance(node, dict):
+            out += [f"{path} {key}: {_json(node[key])}" for key in PROSE if key in node]
+            if isinstance(node.get("format"), str) and len(node["format"]) > FORMAT_MOST:
+                out.append(f"{path} format: {_json(node['format'])}")
+        open_ += [(p, x, depth + 1) for p, x in reversed(_below(node, path))]
+    return out
+
+
+@F.pandas_udf(StringType())
+def annotation_lines(schemas: pd.Series) -> pd.Series:
+    """The annotations of each schema text, one a line; empty where there are none or the text is no JSON."""
+
+    def one(raw):
+        try:
+            return "\n".join(annotations(json.loads(raw)))
+        except (TypeError, ValueError):
+            return ""
+
+    memo = {s: one(s) for s in schemas.unique()}
+    return schemas.map(memo)
+
+
+def annotated_doc(name: Column, description: Column, schema: Column) -> Column:
+    """A stub's documentation: its name, description and the prose of its schema; null where there is neither."""
+    lines, told = annotation_lines(schema), F.coalesce(description, F.lit("")) != ""
+    text = F.concat(F.lit("## Tool: "), name, F.when(told, F.concat(F.lit("\n"), description)).otherwise(""), F.when(lines != "", F.concat(F.lit("\n"), lines)).otherwise(""))
+    return F.when(told | (lines != ""), text)
+
+
 def eligible_tools(tools: DataFrame) -> DataFrame:
     """Tools that may be rewritten: untyped or custom, not deferred."""
     return tools.where((F.coalesce("type", F.lit("custom")) == "custom") & ~F.coalesce("defer_loading", F.lit(False)))

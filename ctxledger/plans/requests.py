@@ -95,6 +95,11 @@ def tool_rewrite(spark, sf_dir):
     return D.rewrite_plan(_tools(spark, sf_dir)).select("request_id", "tool_idx", "name", "stripped", F.col("chars_before").cast("long").alias("chars_before"), F.col("chars_after").cast("long").alias("chars_after"))
 
 
+def tool_annotations(spark, sf_dir):
+    t = _tools(spark, sf_dir)
+    return t.select("request_id", "tool_idx", D.annotated_doc(F.col("name"), F.when(F.col("tool_idx") % 3 > 0, F.col("description")), F.col("schema_json")).alias("doc"))
+
+
 def tool_catalog(spark, sf_dir):
     return D.tool_catalog(_tools(spark, sf_dir))
 
@@ -137,7 +142,7 @@ def prefix_fit(spark, sf_dir):
     return tokens.prefix_fit(costs.withColumn("pages", F.ceil(F.sum("text_cost").over(upto) / 500)), 5)
 
 
-QUERIES = {f.__name__: f for f in (explode_messages, explode_blocks, message_texts, native_images, outgoing_chars, cache_markers, recoverable_blocks, explode_items, split_system, tool_docs, tool_rewrite, tool_catalog, pins, page_geometry, bpe_count, token_sections, prefix_fit)}
+QUERIES = {f.__name__: f for f in (explode_messages, explode_blocks, message_texts, native_images, outgoing_chars, cache_markers, recoverable_blocks, explode_items, split_system, tool_docs, tool_rewrite, tool_annotations, tool_catalog, pins, page_geometry, bpe_count, token_sections, prefix_fit)}
 _DOC = """'## Tool: ' || p_brand || chr(10) || p_name || chr(10) || '```json' || chr(10) || '{"type":"object","properties":{"description":{"type":"string","description":"' || p_type || '"}},"title":"' || p_brand || '"}' || chr(10) || '```'"""
 _T = """t AS (SELECT p_partkey % 50 AS request_id, p_partkey AS tool_idx, p_brand AS name, p_name, '{"type":"object","properties":{"description":{"type":"string","description":"' || p_type || '"}},"title":"' || p_brand || '"}' AS s,
   '{"type":"object","properties":{"description":{"type":"string"}}}' AS z FROM part WHERE p_partkey % 9 <> 0),
@@ -158,6 +163,8 @@ ORACLES = {
     "tool_docs": f"SELECT p_partkey % 50 AS request_id, string_agg({_DOC}, chr(10) || chr(10) ORDER BY p_partkey) AS docs FROM part WHERE p_partkey % 9 <> 0 GROUP BY 1",
     "tool_rewrite": f"WITH {_T} SELECT request_id, tool_idx, name, z AS stripped, chars_before, chars_after FROM p",
     "tool_catalog": f"WITH {_T} SELECT name, sha256(s) AS schema_sha, count(DISTINCT request_id) AS requests, max(chars_before) AS doc_chars, sum(chars_before - chars_after)::BIGINT AS saved_chars FROM p GROUP BY name, s",
+    "tool_annotations": """SELECT p_partkey % 50 AS request_id, p_partkey AS tool_idx, '## Tool: ' || p_brand || CASE WHEN p_partkey % 3 > 0 THEN chr(10) || p_name ELSE '' END
+        || chr(10) || '$ title: "' || p_brand || '"' || chr(10) || '$.description description: "' || p_type || '"' AS doc FROM part""",
     "page_geometry": rf"""WITH m AS (SELECT doc_id, {u16_sql(r"regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS n FROM documents),
         r AS (SELECT doc_id, greatest(1, ceil(n / 312.0))::BIGINT AS rows FROM m), p AS (SELECT *, ceil(rows / 89.0)::BIGINT AS pages FROM r)
         SELECT doc_id, rows, pages, rows - (pages - 1) * 89 AS last_rows, 1568 AS width, 8 + 8 * (rows - (pages - 1) * 89) AS height FROM p""",

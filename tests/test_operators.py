@@ -231,6 +231,22 @@ def test_schema_strip():
     assert tools.strip_value(schema) == {"type": "object", "properties": {"description": {"type": "string"}, "a": {"anyOf": [{"type": "null"}]}}, "items": [{}], "enum": [{"title": "kept"}]}
 
 
+def test_annotations(spark):
+    schema = {"description": "d", "format": "x" * 33, "properties": {"a": {"title": "é", "default": None, "items": [{"$comment": 1}, {"items": {"examples": [1, {"b": 2}]}}]}}, "anyOf": [{"format": "date"}, {"description": "last"}], "not": {"description": {"k": "v"}}, "enum": [{"title": "no"}]}
+    assert tools.annotations(schema) == [
+        '$ description: "d"', '$ format: "' + "x" * 33 + '"', '$.a title: "é"', "$.a default: null", "$.a.items[0] $comment: 1", '$.a.items[1].items examples: [1,{"b":2}]', '$.anyOf[1] description: "last"', '$.not description: {"k":"v"}',
+    ]
+    deep = {"description": "x"}
+    for _ in range(30):
+        deep = {"not": deep}
+    assert tools.annotations(deep) == [] and tools.annotations("text") == []
+    import json
+
+    rows = spark.createDataFrame([(1, json.dumps(schema), None), (2, "oops", "told"), (3, None, None)], "id long, s string, d string")
+    got = {r["id"]: r["doc"] for r in rows.select("id", tools.annotated_doc(F.lit("t"), F.col("d"), F.col("s")).alias("doc")).collect()}
+    assert got[1].split("\n")[:2] == ["## Tool: t", '$ description: "d"'] and got[2] == "## Tool: t\ntold" and got[3] is None
+
+
 def test_system(spark):
     text = "<env>\nWorking directory: /a b\nIs directory a git repo: No\nToday's date: 2025-01-01\n</env>x<custom>y</custom><skill>z</skill>"
     env = value(spark, text, system.env_fields(S))
