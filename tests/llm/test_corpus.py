@@ -89,7 +89,7 @@ def test_near_duplicates_equal_brute_force(spark, k, percent, monkeypatch):
 
 def test_near_duplicates_edge_cases(spark):
     docs = odd_docs(spark)
-    got = [tuple(r) for r in neardup.near_duplicates(docs).collect()]
+    got = [tuple(r)[:4] for r in neardup.near_duplicates(docs).collect()]
     assert len(got) == docs.count()
     by = {r[0]: r for r in got}
     assert by[1] == (1, 0, 1, True) and by[2] == (2, 0, 2, True) and by[3] == (3, 0, 3, True)
