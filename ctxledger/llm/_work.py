@@ -41,6 +41,12 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a shared table that no later step reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_columns(path: str, columns: list[str], **equal):
     """Columns of a shared Parquet table as numpy arrays, of the rows where ``equal`` holds; for models of a bounded size, inside a task.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxledger.llm import decontaminate, langid, lm, neardup, packing, quality, toxicity, urlfilter, warc
+from ctxledger.llm import clustering, decontaminate, langid, lm, middle, neardup, packing, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_loser_tree_warc": warc.op1_loser_tree_warc,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_ngram_toxicity": toxicity.op8_ngram_toxicity,
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_minhash_containment": decontaminate.op10_minhash_containment,
+    "op11_shallot_clusters": clustering.op11_shallot_clusters,
+    "op13_block_rotation": middle.op13_block_rotation,
 }
 
 ORACLES: dict[str, str] = {
     "op1_loser_tree_warc": warc.OP1_SQL,
     "op2_fast_similarity": neardup.OP2_SQL,
     "op10_minhash_containment": decontaminate.OP10_SQL,
+    "op11_shallot_clusters": clustering.OP11_SQL,
+    "op13_block_rotation": middle.OP13_SQL,
 }
