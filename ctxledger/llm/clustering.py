@@ -165,7 +165,7 @@ def first_centroids(vectors: DataFrame, total: int, k: int, seed: int) -> np.nda
         share *= 64
     else:
         few = hashed.orderBy("hash", "vec_id", "vector").limit(k).collect()
-    return np.array([r["vector"] for r in few], np.int64).reshape(len(few), -1)
+    return np.array([r["vector"] for r in few], np.int64)
 
 
 def _moved(state: DataFrame, centroids: np.ndarray) -> np.ndarray:
