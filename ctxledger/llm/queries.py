@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ctxledger.llm import clustering, decontaminate, langid, lm, middle, neardup, packing, quality, toxicity, urlfilter, warc
+from ctxledger.llm import clustering, decontaminate, langid, lm, middle, neardup, packing, quality, repeats, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_loser_tree_warc": warc.op1_loser_tree_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sum_of_squares_packing": packing.op9_sum_of_squares_packing,
     "op10_minhash_containment": decontaminate.op10_minhash_containment,
     "op11_shallot_clusters": clustering.op11_shallot_clusters,
+    "op12_induced_suffix_dedup": repeats.op12_induced_suffix_dedup,
     "op13_block_rotation": middle.op13_block_rotation,
 }
 
