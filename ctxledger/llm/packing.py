@@ -1,14 +1,18 @@
 """Packing of tokenised documents into windows by the sum-of-squares rule.
 
 Each task packs the documents of its input split as they come. A document's full
-windows stand alone; its rest goes to the fill level h for which the sum over
-levels of N(h)**2 (N: windows partially filled to level h) grows least, a new
-window being level 0. At most OPEN windows are open at a time: where none of them
-can take a rest whole and no more may be opened, the rest is cut to fill the level
-whose emptying lowers the sum most, and what is left of it is placed by the rule
-again. At the end of the split only these few windows are consolidated: pieces of the
-emptiest are cut to close the gaps of the fullest, and the last one is cut into
-lengths that are powers of two, which need no padding.
+windows stand alone. Of its rest, as much as is a multiple of GRAIN ids is one item; what is
+left, under GRAIN ids, follows the tails of earlier documents, and every GRAIN ids of
+them are an item too. So an item fills whole units, and a window has few levels. An item goes
+to the fill level h for which the sum over levels of N(h)**2 (N: windows partially
+filled to level h) grows least, a new window being level 0. Levels are few and counts
+meet, so placement alone fills the windows and few are ever open.
+
+At most OPEN windows are open, a bound on memory that an item meets only where the
+rule itself leaves thousands partially filled: then it is cut to fill the level
+whose emptying lowers the sum most, and the sequence says so. At the end of the split the
+open windows are consolidated: pieces of the emptiest are cut to close the gaps of the
+fullest, and the last one is cut into lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from ctxledger.llm import _text as T
 from ctxledger.llm._work import table
 
 WINDOW = 1024
-#: Windows that a task holds open; what is left to consolidate at its end.
-OPEN = 64
+#: Ids of a unit: levels are counted in units.
+GRAIN = 32
+#: Windows that a task may hold open: 16 MB of ids.
+OPEN = 4096
 #: Fixed value: how the public byte-level vocabulary splits text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct chunks whose ids a worker remembers.
@@ -158,13 +164,16 @@ class Encoder:
 
 
 class SumOfSquares:
-    """Online placement of rests into windows, with an array of open windows by fill level."""
+    """Online placement of rests into windows, with an array of open windows by fill level (in units of ``grain`` ids)."""
 
-    def __init__(self, window: int, first_id: int, most_open: int = OPEN):
-        self.window, self.next, self.most_open = window, first_id, most_open
-        self.count = np.zeros(window + 1, np.int64)  # the level array; level 0 and the full level cost nothing
-        self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
+    def __init__(self, window: int, first_id: int, most_open: int = OPEN, grain: int = GRAIN):
+        self.window, self.grain, self.full = window, grain, window // grain
+        self.next, self.most_open = first_id, most_open
+        self.count = np.zeros(self.full + 1, np.int64)  # the level array; level 0 and the full level cost nothing
+        self.open: list[list[list[tuple]]] = [[] for _ in range(self.full)]
         self.held = 0
+        self.tail: list[tuple] = []  # pieces of under a unit of ids together
+        self.tail_ids = 0
         self.rows: list[tuple] = []
 
     def emit(self, pieces: list, closed: str) -> None:
@@ -182,11 +191,11 @@ class SumOfSquares:
         return self.open[level].pop()
 
     def _level(self, size: int) -> int | None:
-        """The level that a rest goes to whole; None if there is none."""
-        levels = np.flatnonzero(self.count[: self.window - size + 1])
+        """The level that an item of ``size`` units goes to whole; None if there is none."""
+        levels = np.flatnonzero(self.count[: self.full - size + 1])
         # change of the sum of squares: leaving level h, entering level h + size
         enter = 2 * self.count + 1
-        enter[self.window] = 0
+        enter[self.full] = 0
         new = self.held < self.most_open
         if len(levels):
             change = 1 - 2 * self.count[levels] + enter[levels + size]
@@ -195,35 +204,57 @@ class SumOfSquares:
                 return int(levels[i])
         return 0 if new else None
 
-    def place(self, piece: tuple) -> None:
-        doc_id, start, ids, n = piece
-        while (level := self._level(len(ids))) is None:
-            levels = np.flatnonzero(self.count[: self.window])
+    @staticmethod
+    def cut(pieces: list, ids: int) -> tuple[list, list]:
+        """The first ``ids`` ids of pieces, and the rest."""
+        head, rest = [], list(pieces)
+        while ids:
+            doc_id, start, own, n = rest.pop(0)
+            head.append((doc_id, start, own[:ids], n))
+            if ids < len(own):
+                rest.insert(0, (doc_id, start + ids, own[ids:], n))
+            ids -= min(ids, len(own))
+        return head, rest
+
+    def place(self, pieces: list, size: int) -> None:
+        """An item: pieces of ``size`` units together."""
+        while (level := self._level(size)) is None:
+            levels = np.flatnonzero(self.count[: self.full])
             fill = int(levels[len(levels) - 1 - int(self.count[levels][::-1].argmax())])
-            room = self.window - fill
-            self.emit([*self._take(fill), (doc_id, start, ids[:room], n)], "rule")
-            start, ids = start + room, ids[room:]
-        pieces = self._take(level) if level else []
-        pieces.append((doc_id, start, ids, n))
-        level += len(ids)
-        if level == self.window:
-            self.emit(pieces, "rule")
+            room = self.full - fill
+            head, pieces = self.cut(pieces, room * self.grain)
+            self.emit([*self._take(fill), *head], "cut")
+            size -= room
+        held = self._take(level) if level else []
+        held += pieces
+        level += size
+        if level == self.full:
+            self.emit(held, "placed")
         else:
-            self.open[level].append(pieces)
+            self.open[level].append(held)
             self.count[level] += 1
             self.held += 1
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n = len(ids)
-        for lo in range(0, n - n % self.window, self.window):
-            self.emit([(doc_id, lo, ids[lo : lo + self.window], n)], "document")
-        if n % self.window:
-            lo = n - n % self.window
-            self.place((doc_id, lo, ids[lo:], n))
+        lo = n - n % self.window
+        for x in range(0, lo, self.window):
+            self.emit([(doc_id, x, ids[x : x + self.window], n)], "document")
+        if size := (n - lo) // self.grain:
+            self.place([(doc_id, lo, ids[lo : lo + size * self.grain], n)], size)
+            lo += size * self.grain
+        if lo < n:
+            self.tail.append((doc_id, lo, ids[lo:], n))
+            self.tail_ids += n - lo
+            if self.tail_ids >= self.grain:
+                item, self.tail = self.cut(self.tail, self.grain)
+                self.tail_ids -= self.grain
+                self.place(item, 1)
 
     def close(self) -> None:
-        """Consolidate the open windows, OPEN at most; one may be short, and it is cut at powers of two."""
-        left = [p for level in range(self.window - 1, 0, -1) for p in self.open[level]]
+        """Consolidate the open windows; one may be short, and it is cut at powers of two."""
+        left = [p for level in range(self.full - 1, 0, -1) for p in self.open[level]]
+        left += [self.tail] if self.tail else []
         fills = [sum(len(x[2]) for x in p) for p in left]
         i, j = 0, len(left) - 1
         while i < j:
@@ -242,23 +273,16 @@ class SumOfSquares:
             if not fills[j]:
                 j -= 1
         if i == j and fills[i]:
-            rest, size = left[i], self.window
+            rest, size, have = left[i], self.window, fills[i]
             while rest:
-                have = sum(len(x[2]) for x in rest)
                 while size > have:
                     size //= 2
-                part, need = [], size
-                while need:
-                    doc_id, start, ids, n = rest.pop(0)
-                    take = min(need, len(ids))
-                    part.append((doc_id, start, ids[:take], n))
-                    if take < len(ids):
-                        rest.insert(0, (doc_id, start + take, ids[take:], n))
-                    need -= take
+                part, rest = self.cut(rest, size)
+                have -= size
                 self.emit(part, "end")
-        self.open = [[] for _ in range(self.window)]
+        self.open = [[] for _ in range(self.full)]
         self.count[:] = 0
-        self.held = 0
+        self.held, self.tail, self.tail_ids = 0, [], 0
 
 
 SCHEMA = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long, closed string"
@@ -295,15 +319,18 @@ def _pack(path: str | None, window: int):
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, tokens, doc_tokens, sequence_id, offset, closed.
 
-    closed tells what closed the sequence: a document that fills it alone, the rule, or
-    the end of the split. tokens holds the piece's ids as little-endian unsigned 32-bit numbers. Each
+    closed tells what closed the sequence: ``document``, which fills it alone; ``placed``, an item
+    that the rule put there whole; ``cut``, one cut because OPEN windows were open; ``end``
+    of the split. tokens holds the piece's ids as little-endian unsigned 32-bit numbers. Each
     document ends with id 0, so a null or empty text has one token; each id lies in
     one piece; sequences are full, or have a power of two as length. Repeated rows
     are packed each; a null doc_id stays null; equal lengths are placed as they come. Sequence ids carry the input split's number, so a task that
     runs again after a lost executor gives the same rows. ``tokenizer`` is the path
     of a tokenizer file (default: the public byte-level vocabulary). Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. ``window`` is a multiple of GRAIN and a power of two.
     """
+    if window % GRAIN or window & (window - 1):
+        raise ValueError(f"a window of {window} ids")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack(tokenizer, window), SCHEMA)
 
 
