@@ -118,7 +118,7 @@ class Trie:
         self.whole, self.orders = whole, []
         for order, (keys, counts) in enumerate(grams):
             turn = np.argsort(keys)
-            keys, counts = keys[turn], counts[turn].astype(np.float32)
+            keys, counts = keys[turn], counts[turn].astype(np.int64)
             first = np.flatnonzero(np.append(True, (keys[1:] ^ keys[:-1]) >> np.uint64(8) != 0)) if len(keys) else np.zeros(0, np.int64)
             if not len(keys):
                 t = d = r = np.zeros(0)
@@ -322,8 +322,8 @@ def score_texts(docs: DataFrame, learn: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scored = rows.mapInArrow(_scores(model), "row long, doc_id long, n_tokens long, n_known long, logs double, rare array<long>, score double, left array<long>")
     scored = materialize(scored, "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).join(words.select("key", "n"), "key")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("known"))
+    rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(words.select("key", "n"), "key")
+    rare = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("more"), F.sum("times").alias("known"))
     out = scored.drop("rare", "left").join(rare, "row", "left")
     score = F.col("score")
     if not whole:
