@@ -67,8 +67,54 @@ def geometry(text: str, cols: int, height: int = 728, cell_w: int = 5, cell_h: i
     return len(rows), pages, lines, 2 * pad + cols * cell_w, 2 * pad + lines * cell_h
 
 
+class Pager:
+    """Pages of one growing line: what ``geometry`` gives for the whole line, without laying it out again.
+
+    A row is kept open until the next character no longer fits it.
+    """
+
+    def __init__(self, cols: int, limit: int, max_chars: int, marker: int = 1):
+        self.cols, self.limit, self.max_chars, self.marker = cols, max(1, limit), max_chars, marker
+        self.column = self.used = self.n = self.lines = self.chars = 0
+        self.full = 1  # pages begun, without the open row
+
+    def _close(self) -> None:
+        """The open row goes to its page."""
+        more = self.n + (1 if self.lines else 0)
+        if self.lines and (self.lines >= self.limit or self.chars + more > self.max_chars):
+            self.full, self.lines, self.chars, more = self.full + 1, 0, 0, self.n
+        self.lines += 1
+        self.chars += more
+        self.used = self.n = 0
+
+    def feed(self, text: str) -> None:
+        for c in text:
+            if c == "\t":
+                pad = 4 - self.column % 4
+                expanded = "→" + " " * (pad - 1)
+                self.column += pad
+            else:
+                expanded = c
+                self.column += cell(c)
+            for x in expanded:
+                w = cell(x, self.marker)
+                if self.n and self.used + w > self.cols:
+                    self._close()
+                self.used += w
+                self.n += 1
+
+    def pages(self, more: str = "") -> int:
+        """Pages of the line with ``more`` at its end, which is not kept."""
+        state = dict(self.__dict__)
+        self.feed(more)
+        self._close()
+        found = self.full
+        self.__dict__.update(state)
+        return found
+
+
 #: Characters from which on one may be wide or combining; tabs are expanded.
-_UNSURE = f"[\\x{{300}}-\\x{{10FFFF}}\t\n&&[^{SENTINEL}]]"
+UNSURE = f"[\\x{{300}}-\\x{{10FFFF}}\t\n&&[^{SENTINEL}]]"
 _FIELDS = ("rows", "pages", "last_rows", "width", "height")
 
 
@@ -105,7 +151,7 @@ def with_page_geometry(df: DataFrame, text: str, cols: int, out: str = "geometry
         return pd.DataFrame([none if t is None else geometry(t, cols, marker=marker, **options) for t in texts], columns=list(_FIELDS), dtype="Int64")
 
     body = F.coalesce(F.col(text), F.lit(""))
-    unsure = body.rlike(_UNSURE) if marker == 1 else body.rlike(_UNSURE) | F.contains(body, F.lit(SENTINEL))
+    unsure = body.rlike(UNSURE) if marker == 1 else body.rlike(UNSURE) | F.contains(body, F.lit(SENTINEL))
     df = df.withColumn("_unsure", F.when(unsure, body))
     found = F.when(F.col("_unsure").isNull(), narrow_geometry(F.length(body), cols, **options)).otherwise(run("_unsure"))
     return df.withColumn(out, found).drop("_unsure")

@@ -73,14 +73,20 @@ def split_user_typed(blocks: DataFrame, marker: str = "<end-of-context>") -> Dat
 
 
 def explode_items(requests: DataFrame) -> DataFrame:
-    """Responses ``input`` as items; a bare string is one user message."""
-    kind = "array<struct<type: string, role: string, call_id: string, id: string, name: string, arguments: string, output: string, content: string, item_id: string, ref_id: string>>"
-    parsed = F.from_json("body", f"struct<input: {kind}>")["input"]
+    """Responses ``input`` as items; a bare string is one user message. json is the whole item, its keys in order."""
+    kind = "struct<type: string, role: string, call_id: string, id: string, name: string, arguments: string, output: string, content: string, item_id: string, ref_id: string>"
+    parsed = F.from_json("body", f"struct<input: array<{kind}>>")["input"]
+    raw = F.from_json("body", "struct<input: array<string>>")["input"]
     bare = F.get_json_object("body", "$.input")
     one = F.array(F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), *(F.lit(None).cast("string").alias(n) for n in ("call_id", "id", "name", "arguments", "output")), bare.alias("content"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("string").alias("ref_id")))
-    rows = requests.select("request_id", F.posexplode(F.coalesce(parsed, F.when(bare.isNotNull(), one))).alias("idx", "i"))
+    zipped = F.when(parsed.isNotNull(), F.arrays_zip(parsed.alias("i"), raw.alias("json"))).when(bare.isNotNull(), F.arrays_zip(one.alias("i"), F.array(F.to_json(bare_message(bare))).alias("json")))
+    rows = requests.select("request_id", F.posexplode(zipped).alias("idx", "z")).select("request_id", "idx", "z.i", "z.json")
     text = F.coalesce("i.arguments", "i.output", "i.content")
-    return rows.select("request_id", F.col("idx").cast("long").alias("idx"), F.coalesce("i.type", F.lit("message")).alias("type"), F.col("i.role").alias("role"), F.col("i.call_id").alias("call_id"), F.coalesce("i.id", "i.item_id", "i.ref_id").alias("id"), F.col("i.name").alias("name"), text.alias("text"))
+    return rows.select("request_id", F.col("idx").cast("long").alias("idx"), F.coalesce("i.type", F.lit("message")).alias("type"), F.col("i.role").alias("role"), F.col("i.call_id").alias("call_id"), F.coalesce("i.id", "i.item_id", "i.ref_id").alias("id"), F.col("i.name").alias("name"), text.alias("text"), "json")
+
+
+def bare_message(text: Column) -> Column:
+    return F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), text.alias("content"))
 
 
 def normalize_dialog(messages: DataFrame, items: DataFrame) -> DataFrame:
