@@ -13,8 +13,9 @@
 4. Buckets that still span several components have every pair across components
    considered (once, in the bucket of the first band it shares; dropped only if
    the sketches put it 4.5 standard deviations under the threshold) and confirmed
-   on whole sets; large buckets are worked in blocks that many tasks share and emit
-   links, not pairs. Pairs inside a component cannot change it, so blocks of a bucket's
+   on whole sets; large buckets are worked in blocks that many tasks share. A first pass
+   over the blocks holds sketches only and tells which of a block's nodes have a candidate
+   there; only these come again with their sets, and links go out, not pairs. Pairs inside a component cannot change it, so blocks of a bucket's
    largest component meet those of the others only, never one another.
 
 No bucket is capped and no links, components or sketches reach the driver.
@@ -160,11 +161,15 @@ def _fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _across(percent: int, bands: int, bits: int, direct: bool):
+#: What comes out of two blocks of a bucket: candidate pairs, the nodes that are in one, or links (rows then hold whole sets).
+OUT = {"pairs": "a binary, b binary", "nodes": "key long, i int, j int, node binary", "links": "a binary, b binary"}
+
+
+def _across(percent: int, bands: int, bits: int, out: str):
     """Pairs of two blocks of a bucket that lie in different components and may reach the threshold.
 
-    A pair is looked at only in the bucket of the first band that it shares. With
-    ``direct`` the rows hold their whole sets: pairs are confirmed here and links come out.
+    A pair is looked at only in the bucket of the first band that it shares. With ``links``
+    pairs are confirmed here; one link joins two components.
     """
     p = percent / 100
     least = (p - 4.5 * math.sqrt(p * (1 - p) / bits)) * bits
@@ -175,6 +180,7 @@ def _across(percent: int, bands: int, bits: int, direct: bool):
             return
         band = int(np.flatnonzero(keys[left[0]] == key)[0])
         joined: dict[int, int] = {}
+        near_one = np.zeros(len(block), bool)
 
         def root(x: int) -> int:
             while x in joined:
@@ -190,14 +196,24 @@ def _across(percent: int, bands: int, bits: int, direct: bool):
             alike = (coded[others] == coded[at]).sum(axis=1)
             near = (alike >= least) & ((keys[others] == keys[at]).argmax(axis=1) == band)
             others, alike = others[near], alike[near]
+            if out == "nodes":
+                near_one[others] = True
+                near_one[at] |= len(others) > 0
+                continue
             for x in others[np.argsort(-alike, kind="stable")].tolist():
-                if direct:
+                if out == "links":
                     c, d = root(int(component[at])), root(int(component[x]))
                     if c == d or not _similar(members[at], members[x], percent):
                         continue
                     joined[c] = d
                 found[0].append(min(node[at], node[x]))
                 found[1].append(max(node[at], node[x]))
+        for x in np.flatnonzero(near_one).tolist():
+            for column, v in zip(found, (key, i, j, node[x]), strict=True):
+                column.append(v)
+
+    names = [x.split()[0] for x in OUT[out].split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()] if out == "nodes" else [pa.binary()] * 2
 
     def run(batches):
         held: list[pa.RecordBatch] = []  # rows of the group that the next batch may continue
@@ -210,19 +226,19 @@ def _across(percent: int, bands: int, bits: int, direct: bool):
             new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             edges = [0, *new.tolist(), rows.num_rows]
             done = len(edges) - 1 if final else len(edges) - 2
-            found: list[list[bytes]] = [[], []]
+            found: list[list] = [[] for _ in names]
             if done > 0:
                 end = edges[done]
                 block, n = rows.column("block").to_numpy()[:end], rows.column("n").to_numpy()[:end]
                 component, node = rows.column("component").to_pylist()[:end], rows.column("node").to_pylist()[:end]
                 coded = np.frombuffer(b"".join(rows.column("bits").to_pylist()[:end]), np.uint8).reshape(end, bits)
                 keys = np.array(rows.column("bands").to_pylist()[:end], np.int64).reshape(end, bands)
-                members = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members").slice(0, end)] if direct else None
+                members = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("members").slice(0, end)] if out == "links" else None
                 labels = np.unique(np.array(component, dtype=object), return_inverse=True)[1]
                 for lo, hi in zip(edges[:done], edges[1 : done + 1], strict=True):
                     group(key[lo], i[lo], j[lo], block[lo:hi], n[lo:hi], labels[lo:hi], node[lo:hi], coded[lo:hi], keys[lo:hi], members and members[lo:hi], found)
             held = rows.slice(edges[done]).to_batches()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], names=names)
 
     return run
 
@@ -285,15 +301,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     largest = F.ceil(F.col("most.c") / BLOCK).cast("int")
     dealt_to = F.xxhash64("node", F.lit(1))
     block = F.when(F.col("minor"), F.pmod(dealt_to, others)).otherwise(others + F.pmod(dealt_to, largest)).cast("int")
+    numbered = spread.where(F.col("size") > SMALL).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), others + largest).otherwise(others) - 1)).alias("other")
-    large = spread.where(F.col("size") > SMALL).join(sets, "node").select("*", block.alias("block"), other)
-    large = large.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    large = numbered.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
-    def dealt(df: DataFrame, direct: bool) -> DataFrame:
+    def dealt(df: DataFrame, out: str) -> DataFrame:
         df = df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return df.mapInArrow(_across(percent, bands, bands * rows, direct), "a binary, b binary")
+        return df.mapInArrow(_across(percent, bands, bands * rows, out), OUT[out])
 
-    more = materialize(_verify(dealt(small, False), sets, percent).unionByName(dealt(large, True)), "links")
+    named = materialize(dealt(large, "nodes"), "candidates")
+    whole = named.join(numbered, ["key", "node"]).join(sets, "node")
+    more = materialize(_verify(dealt(small, "pairs"), sets, percent).unionByName(dealt(whole, "links")), "links")
     members = connected_components(links.unionByName(more))
 
     named = nodes.select("node", "doc_id").join(members, "node", "left").withColumn("component", label)
