@@ -40,3 +40,10 @@ def write_plans(df: DataFrame, path: str, fmt: str = "parquet", by: str = "proto
 def stream_events(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files: int = 100) -> DataFrame:
     """New files of ``path`` as a stream; ``files`` bounds a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
+
+
+def stream_outcomes(spark: SparkSession, requests: str, responses: str, fmt: str = "parquet", files: int = 100, **bounds) -> DataFrame:
+    """Logged requests and responses under two paths as one stream of outcomes (streaming.streams.outcome_stream)."""
+    from ctxledger.streaming.streams import outcome_stream
+
+    return outcome_stream(stream_events(spark, requests, REQUESTS, fmt, files), stream_events(spark, responses, RESPONSES, fmt, files), **bounds)

@@ -1,23 +1,57 @@
-"""Streaming forms: usage, session state, duplicates, tag churn, ledger windows, idle sessions."""
+"""Streaming forms: outcomes, usage, session state, duplicates, tag churn, ledger windows and totals, idle sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ctxledger.operators import usage
 from ctxledger.operators.sessions import IDLE
 
 
-def usage_stream(responses: DataFrame) -> DataFrame:
-    """Usage events of each response; stateless. merge_usage joins a response's events, in foreachBatch or over a table."""
+def outcome_stream(requests: DataFrame, responses: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Requests (request_id, ts, ...) with their responses (request_id, ts, ...; their ts comes as response_ts), one to one; append mode.
+
+    Both sides carry a watermark, so state is dropped: a request waits for a response that
+    begins ``within`` its own time and comes ``late`` at most, and then goes out alone.
+    """
+    left = requests.withWatermark("ts", late).alias("q")
+    right = responses.withColumnsRenamed({"ts": "response_ts", "request_id": "_request"}).withWatermark("response_ts", late).alias("a")
+    on = F.expr(f"q.request_id = a._request AND a.response_ts >= q.ts AND a.response_ts <= q.ts + INTERVAL {within}")
+    return left.join(right, on, "left_outer").drop("_request")
+
+
+def write_batches(stream: DataFrame, path: str, checkpoint: str, on_result: Callable[[DataFrame, int], DataFrame | None] | None = None, fmt: str = "parquet", mode: str = "append", **trigger) -> StreamingQuery:
+    """Start writing ``stream`` under ``path``, each micro-batch into a folder of its own number.
+
+    A batch that runs again after a failure replaces its folder, so each row stays once.
+    ``on_result`` (rows, batch number) may hand back other rows to write, or none for the same.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        changed = on_result(rows, number) if on_result else None
+        (rows if changed is None else changed).write.mode("overwrite").format(fmt).save(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+
+
+def usage_events(responses: DataFrame) -> DataFrame:
+    """Usage fields event by event of whole responses; stateless."""
     return usage.usage_events(responses)
 
 
+def summary_stream(outcomes: DataFrame) -> DataFrame:
+    """Running totals of as_text and sent and their change in percent; complete mode."""
+    return usage.run_summary(usage.ledger(outcomes))
+
+
 def ledger_stream(outcomes: DataFrame, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Ledger sums by window and model, with a watermark."""
     rows = usage.ledger(outcomes).withWatermark("ts", late)
@@ -76,31 +110,109 @@ def _timed(events: DataFrame, keep: int) -> DataFrame:
     return events.withWatermark("ts", LATE) if keep else events
 
 
+class _Usage(_Kept):
+    """Usage of a response from fragments of its body; goes out at a clean end, and not without one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("usage", "rest string, sse boolean, ended boolean, " + ", ".join(f"{u} long" for u in usage.USAGE))
+
+    @staticmethod
+    def read(event: str, found: list) -> None:
+        """Fields of one event: of its message, then its own; what is no whole number hides nothing."""
+        try:
+            body = json.loads(event)
+        except ValueError:
+            return
+        if not isinstance(body, dict):
+            return
+        message = body.get("message")
+        for holder in (message.get("usage") if isinstance(message, dict) else None, body.get("usage")):
+            if isinstance(holder, dict):
+                for i, name in enumerate(usage.USAGE):
+                    value = holder.get(name)
+                    if isinstance(value, int) and not isinstance(value, bool):
+                        found[i] = value
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rest, sse, ended, *found = self.state.get() if self.state.exists() else ("", False, False, *[None] * len(usage.USAGE))
+        pdf, out = pd.concat(rows).sort_values("seq"), []
+        for r in pdf.itertuples():
+            if ended:
+                break
+            rest += r.chunk if isinstance(r.chunk, str) else ""
+            last = pd.notna(r.ended) and bool(r.ended)
+            whole = rest.split("\n")
+            events = [m[1] for m in map(_DATA.match, whole if last else whole[:-1]) if m and m[1]]
+            for event in events:
+                self.read(event, found)
+            sse = sse or bool(events)
+            if sse:
+                rest = whole[-1]
+            if last:
+                if not sse:
+                    self.read(rest, found)
+                ended, rest = True, ""
+                out.append((key[0], *found))
+        self.state.update((rest, sse, ended, *found))
+        self.stays(pdf.us)
+        yield pd.DataFrame(out, columns=["response_id", *usage.USAGE]).astype({u: "Int64" for u in usage.USAGE})
+
+
+_DATA = re.compile(r"data:\s*(.*?)\r?$")
+
+
+def usage_stream(fragments: DataFrame, keep: int = KEEP) -> DataFrame:
+    """(response_id, usage fields) of each response that ends; needs the RocksDB state store.
+
+    fragments: response_id, ts, seq, chunk (a piece of the body, cut anywhere), ended (true
+    with the last piece of a response that ended well). The last known value of each field
+    counts, a field never seen is null. Within a micro-batch pieces go by seq; a piece that comes after
+    the end changes nothing. A response without an end is forgotten ``keep`` seconds
+    after its last piece and gives no row. Until its first event line a body is held whole, since it may be JSON.
+    """
+    rows = _timed(fragments, keep).select("response_id", F.col("seq").cast("long"), "ts", "chunk", "ended")
+    return _keyed(rows, ["response_id"], _Usage, f"response_id {dict(fragments.dtypes)['response_id']}, " + ", ".join(f"{u} long" for u in usage.USAGE), keep)
+
+
 class _Lease(_Kept):
-    """Exact lease: a request is a duplicate while the accepted one is younger than the hold."""
+    """Exact lease: a request is a duplicate while the accepted one is younger than the hold and its response has not ended."""
 
     hold_us = 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.state = handle.getValueState("start", "us long")
+        self.state = handle.getValueState("lease", "holder long, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows).sort_values(["us", "seq"])
-        start, out = (self.state.get()[0] if self.state.exists() else None), []
-        for t in pdf.us:
-            fresh = start is None or t - start >= self.hold_us
-            start = t if fresh else start
-            out.append(fresh)
-        self.state.update((int(start),))
+        holder, until = self.state.get() if self.state.exists() else (None, None)
+        out = []
+        for us, now in pdf.groupby("us", sort=True):
+            ends = set(now.seq[now.ends].tolist())
+            if holder in ends and until is not None:
+                until = min(until, us)
+            for seq in now.seq[~now.ends].tolist():
+                fresh = until is None or us >= until
+                if fresh:
+                    holder, until = seq, us if seq in ends else us + self.hold_us
+                out.append((key[0], seq, fresh))
+        if until is not None:
+            self.state.update((int(holder), int(until)))
         self.stays(pdf.us)
-        yield pd.DataFrame({"digest": key[0], "seq": pdf.seq.to_numpy(), "accepted": out})
+        yield pd.DataFrame(out, columns=["digest", "seq", "accepted"])
+
 
+def exact_duplicate_guard(requests: DataFrame, hold_seconds: int = 60, keep: int = KEEP, ends: DataFrame | None = None) -> DataFrame:
+    """(digest, seq, accepted) by the lease rule; needs the RocksDB state store. A digest is forgotten ``keep`` seconds after its last event.
 
-def exact_duplicate_guard(requests: DataFrame, hold_seconds: int = 60, keep: int = KEEP) -> DataFrame:
-    """(digest, seq, accepted) by the lease rule; needs the RocksDB state store. A digest is forgotten ``keep`` seconds after its last lease."""
-    rows = _timed(requests, keep).select("digest", F.col("seq").cast("long"), "ts")
-    return _keyed(rows, ["digest"], _Lease, "digest string, seq long, accepted boolean", max(keep, hold_seconds) if keep else 0, hold_us=hold_seconds * 1_000_000)
+    ``ends`` (digest, seq, ts: when the response of the request of that seq ended) frees a digest
+    before its hold is over. Events go by their time within a micro-batch.
+    """
+    rows = requests.select("digest", F.col("seq").cast("long"), "ts", F.lit(False).alias("ends"))
+    if ends is not None:
+        rows = rows.unionByName(ends.select("digest", F.col("seq").cast("long"), "ts", F.lit(True).alias("ends")))
+    return _keyed(_timed(rows, keep), ["digest"], _Lease, "digest string, seq long, accepted boolean", max(keep, hold_seconds) if keep else 0, hold_us=hold_seconds * 1_000_000)
 
 
 class SessionState(_Kept):
