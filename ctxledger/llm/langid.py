@@ -24,7 +24,8 @@ from ctxledger.llm._work import materialize, table
 
 ORDERS = (2, 3, 4)
 LOG2 = 14
-#: Bounds of what is gathered: landmarks, labelled rows that the model is fitted on, and languages that it learns.
+#: Bounds of what is gathered: landmarks (one a language at least), labelled rows that the model is fitted on, and
+#: languages that it learns (the folded matrix takes 64 KB of a worker for each).
 LANDMARKS = 256
 TRAIN_ROWS = 3000
 LANGUAGES = 500
@@ -48,9 +49,10 @@ def fit(packed: np.ndarray, lang: np.ndarray) -> tuple[list[str], np.ndarray, np
     unit /= np.sqrt(np.maximum(1, unit.sum(axis=1, keepdims=True)))
     marks = []  # landmarks: the languages take turns
     queues = {c: np.flatnonzero(lang == c).tolist() for c in names}
-    while len(marks) < LANDMARKS and any(queues.values()):
+    most = max(LANDMARKS, len(names))
+    while len(marks) < most and any(queues.values()):
         marks += [q.pop(0) for q in queues.values() if q]
-    marks = marks[:LANDMARKS]
+    marks = marks[:most]
     land = unit[marks]
     inner = (land @ land.T).astype(np.float64)
     value, vector = np.linalg.eigh(inner)
@@ -88,7 +90,8 @@ def sample(docs: DataFrame):
 
     Each of the LANGUAGES most frequent languages (ties in order of name) gives the same
     number of rows, one at least, or all it has: those of least hash of the doc_id. Rows
-    without lang or doc_id are left out; of a repeated doc_id one counts.
+    without lang or doc_id are left out; of a repeated doc_id one counts, the text whose
+    features come first in byte order, with the language first in order.
     """
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).dropna(subset=["doc_id", "lang"])
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
@@ -104,7 +107,7 @@ def sample(docs: DataFrame):
     place = F.row_number().over(Window.partitionBy("lang").orderBy("hashed", "doc_id"))
     chosen = materialize(near.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang"), "chosen")
     texts = known.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(_packed, "doc_id long, bits binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = texts.mapInArrow(_packed, "doc_id long, bits binary").toPandas().sort_values(["doc_id", "bits"]).drop_duplicates("doc_id")
     lang = {r["doc_id"]: r["lang"] for r in chosen.collect()}
     if not len(rows):
         return None

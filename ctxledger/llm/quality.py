@@ -96,7 +96,7 @@ def _scores(model, log2: int, orders):
                 x = bits.astype(np.float32)
                 z = x @ w / np.sqrt(np.maximum(1, x.sum(axis=1))) + bias
                 out[first : first + len(x)] = P.sigmoid(z.astype(float))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(out)], names=["doc_id", "text", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
     return run
 
@@ -121,7 +121,7 @@ def quality_model(docs: DataFrame):
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = texts.mapInArrow(_features(LOG2, ORDERS), "doc_id long, bits binary").toPandas()
     labels = {r["doc_id"]: r["posterior"] for r in chosen.collect()}
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.sort_values(["doc_id", "bits"]).drop_duplicates("doc_id")  # of texts under one id the features first in byte order
     if not len(rows):
         return np.zeros(1 << LOG2, np.float32), 1.0
     packed = np.frombuffer(b"".join(rows.bits), np.uint8).reshape(len(rows), -1)
@@ -131,10 +131,10 @@ def quality_model(docs: DataFrame):
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
-    """The documents' doc_id, text and score, P(good), by the learnt scorer."""
+    """The documents' doc_id and score, P(good), by the learnt scorer."""
     model = docs.sparkSession.sparkContext.broadcast(quality_model(docs))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_scores(model, LOG2, ORDERS), "doc_id long, text string, score double")
+    return texts.mapInArrow(_scores(model, LOG2, ORDERS), "doc_id long, score double")
 
 
 def classify_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

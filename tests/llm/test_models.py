@@ -172,3 +172,15 @@ def test_labels_are_drawn_exactly(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, label int")
     first = {r["doc_id"] for r in toxicity.labelled_texts(docs, labels, 100).collect()}
     assert len(first) == 100 and first == {r["doc_id"] for r in toxicity.labelled_texts(docs.repartition(3), labels.repartition(7), 100).collect()}
+
+
+def test_every_language_has_a_landmark(monkeypatch):
+    """More languages than landmarks asked for: each is still told."""
+    monkeypatch.setattr(langid, "LANDMARKS", 4)
+    rng = np.random.default_rng(2)
+    base = rng.random((30, 512)) < 0.05
+    rows = np.concatenate([base | (rng.random((30, 512)) < 0.002) for _ in range(6)]).astype(np.uint8)
+    lang = np.array([f"l{i:02}" for i in range(30)] * 6)
+    names, folded, bias = langid.fit(np.packbits(rows, axis=1), lang)
+    unit = rows / np.sqrt(rows.sum(axis=1, keepdims=True))
+    assert len(names) == 30 and (np.array(names)[(unit @ folded + bias).argmax(axis=1)] == lang).all()
