@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,41 +98,29 @@ def preview(s: Column, most: int = 300) -> Column:
     return F.when(u16len(one) > most, F.concat(u16slice(one, 0, most), F.lit("…"))).otherwise(one)
 
 
-#: Words that open a log line.
-LEVELS = ("DEBUG", "INFO", "WARN", "WARNING", "ERROR", "TRACE", "FATAL")
+#: How structured text and a log line open; the share of log lines and how many lines are looked at.
+STRUCTURED = r'^(?:\{[\t\n\f\r ]*["}]|\[[\t\n\f\r ]*(?:["{\[\]]|-?[0-9]|(?:true|false|null)(?![A-Za-z0-9_]))|---\r?\n|diff --git |---[\t\n\f\r ]+[^\t\n\f\r ])'
+LOG_LINE = r"^(?:\[?(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)(?![A-Za-z0-9_])|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2}(?![A-Za-z0-9_]))"
+LOG_SHARE, LOOKED_AT = 0.3, 40
 
 
-def _is_structured(left: Column) -> Column:
-    """Whether a text without leading space opens as an object, an array, front matter or a diff.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    A bracket opens data only if what follows it can: a name or the end of an object,
-    a value or the end of an array.
-    """
-    first, rest = F.substring(left, 1, 1), F.regexp_replace(F.substring(left, F.lit(2), F.length(left)), r"^\s+", "")
-    then = F.substring(rest, 1, 1)
-    literal = F.lit(False)
-    for word in ("true", "false", "null"):
-        literal = literal | (rest.startswith(word) & ~F.substring(rest, len(word) + 1, 1).rlike(r"\w"))
-    digit = F.when(then == "-", F.substring(rest, 2, 1)).otherwise(then).between("0", "9")
-    after = F.substring(left, F.lit(4), F.length(left))
-    ruled = left.startswith("---") & (after.startswith("\n") | after.startswith("\r\n") | (F.substring(after, 1, 1).rlike(r"\s") & after.rlike(r"\S")))
-    return (first == "{") & then.isin('"', "}") | (first == "[") & (then.isin('"', "{", "[", "]") | digit | literal) | ruled | left.startswith("diff --git ")
 
+def classify_content(s: Column) -> Column:
+    """structured, log or other, by the first 4096 units; the head and its lines are worked out once."""
 
-def _is_log_line(line: Column) -> Column:
-    """Whether a line opens with a level word, in brackets or not, a date or a time of day."""
-    word = F.regexp_extract(line, r"^\[?(\w+)", 1)
-    shape = F.translate(F.substring(line, 1, 10), "012345678", "9" * 9)
-    clock = shape.startswith("99:99:99") & ~F.substring(line, 9, 1).rlike(r"\w")
-    return word.isin(*LEVELS) | (shape == "9999-99-99") | clock
+    def by_lines(some: Column) -> Column:
+        log = (F.size(some) >= 4) & (F.size(F.filter(some, lambda x: x.rlike(LOG_LINE))) >= F.size(some) * LOG_SHARE)
+        return F.when(log, "log").otherwise("other")
 
+    def by_head(head: Column) -> Column:
+        lines_of = F.filter(F.slice(lines(head), 1, LOOKED_AT), lambda x: x != "")
+        return F.when(F.regexp_replace(head, f"^{SPACES}+", "").rlike(STRUCTURED), "structured").otherwise(bound(lines_of, by_lines))
 
-def classify_content(s: Column) -> Column:
-    """structured, log or other, by the first 4096 units."""
-    head = u16slice(s, 0, 4096)
-    some = F.filter(F.slice(lines(head), 1, 40), lambda x: x != "")
-    is_log = (F.size(some) >= 4) & (F.size(F.filter(some, _is_log_line)) >= F.size(some) * 0.3)
-    return F.when(_is_structured(F.regexp_replace(head, f"^{SPACES}+", "")), "structured").when(is_log, "log").otherwise("other")
+    return bound(u16slice(s, 0, 4096), by_head)
 
 
 def sha8(s: Column) -> Column:
@@ -175,12 +165,42 @@ def source_path(s: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: How a billing line and an environment section begin.
+BILLING, ENVIRONMENT = "x-anthropic-billing-header:", "# Environment"
+
+
+def billing_line(s: Column) -> Column:
+    """The first line that is a billing header, or ''."""
+    at = F.instr(F.concat(F.lit("\n"), s), "\n" + BILLING)
+    return F.when(at > 0, F.substring_index(F.substring(s, at, F.length(s)), "\n", 1)).otherwise("")
+
+
 def strip_billing_line(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?m)^x-anthropic-billing-header:[^\n]*\n?", "")
+    """Without its first billing line and the line feed after it; of a last line the one before goes."""
+    at, n = F.instr(F.concat(F.lit("\n"), s), "\n" + BILLING), F.length(billing_line(s))
+    more = at + n <= F.length(s)
+    left = F.substring(s, F.lit(1), F.when(more, at - 1).otherwise(F.greatest(at - 2, F.lit(0))))
+    return F.when(at > 0, F.concat(left, F.substring(s, at + n + 1, F.length(s)))).otherwise(s)
+
+
+def _env_section(s: Column) -> tuple[Column, Column]:
+    """Where the environment section begins (1-based, 0: nowhere) and how long it is, up to the next heading."""
+    found = F.regexp_instr(s, F.lit(r"(?:\A|\n)" + ENVIRONMENT + r"(?![A-Za-z0-9_])"))
+    at = F.when((found > 0) & (F.substring(s, found, F.lit(1)) == "\n"), found + 1).otherwise(found)
+    end = F.regexp_instr(F.substring(s, at + len(ENVIRONMENT), F.length(s)), F.lit(r"\n#{1,6}" + SPACES))
+    return at, F.when(end > 0, end - 1 + len(ENVIRONMENT)).otherwise(F.length(s))
+
+
+def env_section(s: Column) -> Column:
+    """The environment section, without the space at its end, or ''."""
+    at, size = _env_section(s)
+    return F.when(at > 0, F.regexp_replace(F.substring(s, at, size), SPACES + r"+\z", "")).otherwise("")
 
 
 def strip_env_section(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?s)(?:^|(?<=\n))#{1,6} Environment\n.*?(?=\n#{1,6}\s|\z)", "")
+    """Without the first section headed ``# Environment``."""
+    at, size = _env_section(s)
+    return F.when(at > 0, F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + size, F.length(s)))).otherwise(s)
 
 
 def static_tags(s: Column) -> Column:

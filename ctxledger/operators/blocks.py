@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxledger.functions import text as X
+from ctxledger.functions.layout import with_page_geometry
 
 _BLOCK = "type: string, text: string, thinking: string, id: string, name: string, input: string, tool_use_id: string, is_error: boolean, source: struct<type: string, media_type: string, data: string>"
 BLOCKS = f"array<struct<{_BLOCK}, content: string, cache_control: string>>"
@@ -120,3 +121,20 @@ def recoverable_blocks(blocks: DataFrame) -> DataFrame:
     body = F.coalesce("result_text", "text", F.lit(""))
     ident = F.concat(F.lit("rec_"), X.sha8(F.concat_ws("\x00", "type", F.coalesce("tool_id", F.lit("")), body)))
     return blocks.select("request_id", "msg_idx", "block_idx", ident.alias("id"), F.col("type").alias("kind"), body.alias("text"))
+
+
+def recoverable_pages(blocks: DataFrame, cols: int, **geometry) -> DataFrame:
+    """``recoverable_blocks`` plus pages: how many their text fills as pages of ``cols`` columns."""
+    rows = recoverable_blocks(blocks).withColumn("_line", X.packed(F.col("text")))
+    return with_page_geometry(rows, "_line", cols, **geometry).withColumn("pages", F.col("geometry.pages")).drop("_line", "geometry")
+
+
+def recover(recoverable: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(request_id, id, kind, text, pages, clash) of the ids asked for (request_id, id): null text where a request has no such block.
+
+    Equal blocks of a request share an id and come once; clash tells an id that stands for
+    different texts, of which the first in byte order comes.
+    """
+    rows = recoverable.groupBy("request_id", "id").agg(F.min(F.struct("text", "kind", "pages")).alias("b"), F.max("text").alias("_last"))
+    found = wanted.select("request_id", "id").distinct().join(rows, ["request_id", "id"], "left")
+    return found.select("request_id", "id", F.col("b.kind").alias("kind"), F.col("b.text").alias("text"), F.col("b.pages").alias("pages"), F.coalesce(F.col("b.text") != F.col("_last"), F.lit(False)).alias("clash"))

@@ -73,6 +73,16 @@ def spans(text: str, patterns) -> list[tuple[int, str]]:
     return out
 
 
+def _pages(text: str) -> list[str]:
+    """A text over LONG units in pages of PAGE units; half of a character cut in two counts as unreadable."""
+    if (n := _units(text)) <= LONG:
+        return [text]
+    if n == len(text):
+        return [text[i : i + PAGE] for i in range(0, n, PAGE)]
+    raw = text.encode("utf-16-be", "surrogatepass")
+    return [raw[i : i + 2 * PAGE].decode("utf-16-be", "replace") for i in range(0, 2 * n, 2 * PAGE)]
+
+
 def _scan(which):
     def run(batches):
         patterns = [(i, re.compile(PATTERNS[i], re.ASCII)) for i in which]
@@ -80,21 +90,21 @@ def _scan(which):
             ids, pages, offsets, tokens = [], [], [], []
             for doc, text in zip(b.column("doc_id"), b.column("text"), strict=True):
                 text = text.as_py() or ""
-                cuts = range(0, len(text), PAGE) if _units(text) > LONG else (0,)
-                for page, lo in enumerate(cuts):
-                    part = text if len(cuts) == 1 else text[lo : lo + PAGE]
+                lo = 0
+                for page, part in enumerate(_pages(text)):
                     for offset, token in spans(part, patterns):
                         ids.append(doc.as_py())
                         pages.append(page)
                         offsets.append(lo + offset)
                         tokens.append(token)
+                    lo += len(part)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pages, pa.int32()), pa.array(offsets, pa.int64()), pa.array(tokens, pa.string())], names=["doc_id", "page", "offset", "token"])
 
     return run
 
 
 def fact_spans(docs: DataFrame, which=range(len(PATTERNS))) -> DataFrame:
-    """(doc_id, page, offset, token) spans; texts over LONG units are cut in pages of PAGE characters."""
+    """(doc_id, page, offset, token) spans; texts over LONG units are cut in pages of PAGE units."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(tuple(which)), "doc_id long, page int, offset long, token string")
 
 
@@ -102,14 +112,26 @@ def fact_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "token").agg(F.count("*").alias("count"))
 
 
+#: What a token's signature tells apart: letters of either case, digits, and what else tokens hold.
+_SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789=/@_-.:"
+
+
+def signature(token: Column) -> Column:
+    """Bits of the characters that a token holds: one that holds another has all its bits."""
+    low = F.lower(token)
+    return sum((F.when(F.contains(low, F.lit(c)), 1 << i).otherwise(0).cast("long") for i, c in enumerate(_SIGNS)), F.lit(0).cast("long"))
+
+
 def collapse_substrings(counts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Drops a token that a longer token of its group contains.
 
     A page has SCANNED tokens and the chunk that brings them at most, so with pages among
     the ``keys`` the list is bounded; comparing within it keeps one exchange and makes no pairs.
+    Lengths and signatures are compared first, so that few pairs of tokens are looked into.
     """
-    lists = counts.groupBy(*keys).agg(F.collect_list(F.struct("token", "count")).alias("facts"))
-    kept = F.filter("facts", lambda t: ~F.exists("facts", lambda u: (F.length(u["token"]) > F.length(t["token"])) & F.contains(u["token"], t["token"])))
+    lists = counts.groupBy(*keys).agg(F.collect_list(F.struct("token", "count", F.length("token").alias("n"), signature(F.col("token")).alias("bits"))).alias("facts"))
+    inside = lambda t, u: (u["n"] > t["n"]) & (u["bits"].bitwiseAND(t["bits"]) == t["bits"]) & F.contains(u["token"], t["token"])
+    kept = F.filter("facts", lambda t: ~F.exists("facts", lambda u: inside(t, u)))
     return lists.select(*keys, F.explode(kept).alias("f")).select(*keys, "f.token", "f.count")
 
 

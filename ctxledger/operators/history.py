@@ -45,20 +45,26 @@ def budget_trim(costs: DataFrame, budget: int, page_chars: int, key: str = "conv
 
 
 def freeze_grid(costs: DataFrame, budget: int, page_chars: int, base: int = 10, floor: int = 0, key: str = "conv_id", most: int = 12) -> DataFrame:
-    """Smallest step of base * 2**k, at or over ``floor``, whose pages fit the budget, or that spans all turns.
+    """(key, step, pages, markers, goal): the smallest step of base * 2**k, at or over ``floor``, whose pages and marker splits meet the goal, or that spans all turns.
 
-    Steps come from an array per turn, so cells are counted by one aggregation; k
-    runs up to ``most``, at which a step spans any history of base * 2**most turns.
+    The goal is the budget (0 or less: none); where ``costs`` has a column cold and it is true,
+    one page more than the whole text needs, if that is less. A column marked tells
+    the turns with a cache marker, each of which splits a chunk. Steps come from an array per turn, so cells are counted by
+    one aggregation; k runs up to ``most``, at which a step spans any history of base * 2**most turns. ``base`` of 0 or less: one chunk.
     """
-    steps = F.array(*(F.lit(base * 2**k) for k in range(most + 1)))
     turns = Window.partitionBy(key)
-    rows = costs.withColumn("range", F.max(F.col("idx") + 1).over(turns)).select(key, "idx", "range", "text_cost", "image_cost", F.explode(steps).alias("step"))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in costs.columns else F.lit(False)
+    goal = F.lit(budget if budget > 0 else 2**31 - 1).cast("long")
+    packed = F.greatest(F.lit(1).cast("long"), pages(F.sum("text_cost").over(turns), page_chars)) + 1
+    rows = costs.withColumns({"range": F.max(F.col("idx") + 1).over(turns), "markers": F.count_if(flag("marked")).over(turns), "goal": F.when(F.max(flag("cold")).over(turns), F.least(goal, packed)).otherwise(goal)})
+    steps = F.array(*(F.lit(base * 2**k).cast("long") for k in range(most + 1))) if base > 0 else F.array(F.col("range").cast("long"))
+    rows = rows.select(key, "idx", "range", "markers", "goal", "text_cost", "image_cost", F.explode(steps).alias("step"))
     # a step is a candidate from the floor on; the first that spans the range is the last one needed
     rows = rows.where((F.col("step") >= floor) | (F.col("step") >= F.col("range"))).where(F.col("step") < 2 * F.greatest(F.col("range"), F.lit(floor), F.lit(base)))
-    cells = rows.groupBy(key, "range", "step", F.floor(F.col("idx") / F.col("step")).alias("cell")).agg(F.sum("text_cost").alias("t"), F.sum("image_cost").alias("u"))
-    sums = cells.groupBy(key, "range", "step").agg(F.sum(pages(F.col("t"), page_chars) + pages(F.col("u"), page_chars)).alias("pages"))
-    fits = (F.col("step") >= F.col("range")) | (F.col("pages") <= budget)
-    return sums.where(fits).groupBy(key).agg(F.min("step").cast("long").alias("step"), F.min_by("pages", "step").alias("pages"))
+    cells = rows.groupBy(key, "range", "markers", "goal", "step", F.floor(F.col("idx") / F.col("step")).alias("cell")).agg(F.sum("text_cost").alias("t"), F.sum("image_cost").alias("u"))
+    sums = cells.groupBy(key, "range", "markers", "goal", "step").agg(F.sum(pages(F.col("t"), page_chars) + pages(F.col("u"), page_chars)).alias("pages"))
+    fits = (F.col("step") >= F.col("range")) | (F.col("pages") + F.col("markers") <= F.col("goal"))
+    return sums.where(fits).groupBy(key).agg(F.min("step").cast("long").alias("step"), F.min_by("pages", "step").alias("pages"), F.min("markers").alias("markers"), F.min("goal").alias("goal"))
 
 
 def first_user_key(turns: DataFrame, key: str = "conv_id") -> DataFrame:

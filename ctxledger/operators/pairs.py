@@ -105,20 +105,26 @@ def composition(items: DataFrame) -> DataFrame:
     return items.groupBy("request_id").agg(*sums, F.sum(size).cast("long").alias("total"))
 
 
+#: The types of opaque items.
+OPAQUE = ("compaction", "compaction_trigger", "context_compaction", "item_reference")
+
+
 def token_composition(items: DataFrame, requests: DataFrame | None = None, size=None) -> DataFrame:
     """Sizes per request by what they are spent on, and in total; one exchange by request.
 
-    items: request_id, type, role, text, images (image parts). A role decides first,
-    then the type. requests (request_id, instructions, tools), if given, adds the
+    items: request_id, type, role, text, images (image parts), and json (the whole item) if there:
+    calls, reasoning, compaction and other items are measured by it, messages and outputs by
+    their text. A role decides first, then the type. requests (request_id, instructions, tools), if given, adds the
     size of both. ``size`` measures a text column: UTF-16 units, or a token count.
     """
     size = size or (lambda c: u16len(c))
     role, kind = F.coalesce("role", F.lit("")), F.coalesce("type", F.lit(""))
     spent = (
         F.when(role.isin("system", "developer"), "system_developer").when(role.isin("user", "assistant"), "user_assistant").when(kind == CALL, "function_calls").when(kind == OUTPUT, "function_outputs")
-        .when(kind == "reasoning", "reasoning").when(kind.isin("compaction", "compaction_trigger", "context_compaction", "item_reference"), "compaction").when((role == "") & (kind != ""), "other")
+        .when(kind == "reasoning", "reasoning").when(kind.isin(*OPAQUE), "compaction").when((role == "") & (kind != ""), "other")
     )
-    rows = items.select("request_id", spent.alias("spent"), size(F.coalesce("text", F.lit(""))).alias("size"), F.coalesce(F.col("images"), F.lit(0)).cast("long").alias("images"))
+    measured = F.coalesce(F.when(spent.isin("function_calls", "reasoning", "compaction", "other"), F.col("json")), F.col("text")) if "json" in items.columns else F.col("text")
+    rows = items.select("request_id", spent.alias("spent"), size(F.coalesce(measured, F.lit(""))).alias("size"), F.coalesce(F.col("images"), F.lit(0)).cast("long").alias("images"))
     if requests is not None:
         for c in ("instructions", "tools"):
             rows = rows.unionByName(requests.select("request_id", F.lit(c).alias("spent"), size(F.coalesce(c, F.lit(""))).alias("size"), F.lit(0).cast("long").alias("images")))

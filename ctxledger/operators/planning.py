@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxledger.functions import geometry as G
 from ctxledger.functions import text as X
+from ctxledger.operators import history as H
 from ctxledger.operators import profiles as P
 
 #: Floors of a slab in characters and tokens, head and tail of a verbatim task.
@@ -44,30 +47,91 @@ def leading_reminders(s: Column) -> Column:
     return F.regexp_extract(s, r"(?s)^(?:\s*<system-reminder>.*?</system-reminder>)*", 0)
 
 
-def closed_prefix_messages(messages: DataFrame, cutoff: int) -> DataFrame:
-    """Last message under ``cutoff`` at which history may be cut: no tool call is open and no multi-step tool round is under way.
+def closed_turns(messages: DataFrame) -> DataFrame:
+    """``messages`` plus closed: history may be cut after it, as no tool call is open and no multi-step tool round is under way.
 
     messages: request_id, idx, uses (tool calls in the message), opens and closes (ids of its calls and results, arrays).
     """
     order = Window.partitionBy("request_id").orderBy("idx")
     ids = messages.select("request_id", "idx", F.explode(F.concat(F.transform("opens", lambda x: F.struct(x.alias("id"), F.lit(1).alias("kind"))), F.transform("closes", lambda x: F.struct(x.alias("id"), F.lit(-1).alias("kind"))))).alias("e"))
     by_id = Window.partitionBy("request_id", "e.id").orderBy("idx", F.desc("e.kind"))
-    moves = ids.withColumn("delta", F.when(F.col("e.kind") != F.lag("e.kind", 1, -1).over(by_id), F.col("e.kind")).otherwise(0)).groupBy("request_id", "idx").agg(F.sum("delta").alias("delta"))
-    m = messages.select("request_id", "idx", "uses").join(moves, ["request_id", "idx"], "left").fillna(0, ["delta"])
-    m = m.withColumn("open", F.sum("delta").over(order))
-    m = m.withColumns({"before": F.coalesce(F.lag("open").over(order), F.lit(0)), "next_uses": F.coalesce(F.lead("uses").over(order), F.lit(0))})
-    m = m.withColumns({"k": F.max(F.when((F.col("uses") == 0) & (F.col("before") == 0), F.col("idx"))).over(order), "j": F.max(F.when(F.col("uses") > 0, F.col("idx"))).over(order)})
-    in_round = F.coalesce(F.col("j") > F.coalesce("k", F.lit(-1)), F.lit(False))
-    closed = (F.col("open") == 0) & (~in_round | (F.col("next_uses") == 0)) & (F.col("idx") < cutoff)
-    return m.groupBy("request_id").agg(F.coalesce(F.max(F.when(closed, F.col("idx"))), F.lit(-1)).cast("long").alias("closed_prefix"))
-
-
-def chunk_ends(messages: DataFrame, step: int, key: str = "conv_id") -> DataFrame:
-    """Ends of chunks: at multiples of ``step``, at each cache marker, and at the end. messages: key, idx, marked."""
+    moves = ids.withColumn("delta", F.when(F.col("e.kind") != F.lag("e.kind", 1, -1).over(by_id), F.col("e.kind")).otherwise(0)).groupBy("request_id", "idx").agg(F.sum("delta").alias("_delta"))
+    m = messages.join(moves, ["request_id", "idx"], "left").fillna(0, ["_delta"])
+    m = m.withColumn("_open", F.sum("_delta").over(order))
+    m = m.withColumns({"_before": F.coalesce(F.lag("_open").over(order), F.lit(0)), "_next": F.coalesce(F.lead("uses").over(order), F.lit(0))})
+    m = m.withColumns({"_k": F.max(F.when((F.col("uses") == 0) & (F.col("_before") == 0), F.col("idx"))).over(order), "_j": F.max(F.when(F.col("uses") > 0, F.col("idx"))).over(order)})
+    in_round = F.coalesce(F.col("_j") > F.coalesce("_k", F.lit(-1)), F.lit(False))
+    return m.withColumn("closed", (F.col("_open") == 0) & (~in_round | (F.col("_next") == 0))).drop("_delta", "_open", "_before", "_next", "_k", "_j")
+
+
+def closed_prefix_messages(messages: DataFrame, cutoff: int) -> DataFrame:
+    """Last message under ``cutoff`` at which history may be cut (closed_turns); -1 if there is none."""
+    return closed_turns(messages).groupBy("request_id").agg(F.coalesce(F.max(F.when(F.col("closed") & (F.col("idx") < cutoff), F.col("idx"))), F.lit(-1)).cast("long").alias("closed_prefix"))
+
+
+def history_range(turns: DataFrame, budget: int, page_chars: int, keep_tail: int = 4, min_prefix: int = 10, snap: int = 50) -> DataFrame:
+    """``turns`` plus costs, and per request collapse_len (turns that may be collapsed), trimmed, and reason (null: go on).
+
+    turns: request_id, idx, role, text, uses, opens, closes. The cutoff leaves ``keep_tail``
+    turns and is snapped down to a multiple of ``snap``, not below ``min_prefix``; history ends at the last closed turn
+    before it. Where its pages exceed ``budget`` the longest prefix whose characters fit is taken and ends at
+    its last closed turn again, with over_budget if fewer than ``min_prefix`` turns are left.
+    All windows go by request: one exchange.
+    """
+    by = Window.partitionBy("request_id")
+    rows = H.turn_costs(closed_turns(turns), "request_id")
+    raw = F.max("idx").over(by) + 1 - keep_tail
+    snapped = F.greatest(F.floor(raw / snap) * snap, F.lit(min_prefix)) if snap > 0 else raw
+    rows = rows.withColumn("_cutoff", F.least(raw, snapped))
+    rows = rows.withColumn("_len", F.coalesce(F.max(F.when(F.col("closed") & (F.col("idx") < F.col("_cutoff")), F.col("idx") + 1)).over(by), F.lit(0)))
+    inside = F.col("idx") < F.col("_len")
+    total = lambda c: F.coalesce(F.max(F.when(inside, F.col(c))).over(by), F.lit(0))
+    over = (H.pages(total("text_total"), page_chars) + H.pages(total("image_total"), page_chars) > budget) if budget > 0 else F.lit(False)
+    rows = rows.withColumns({"_over": over, "_fit": F.count_if(inside & (F.col("text_total") + F.col("image_total") <= budget * page_chars)).over(by)})
+    again = F.coalesce(F.max(F.when(F.col("closed") & (F.col("idx") < F.col("_fit")), F.col("idx") + 1)).over(by), F.lit(0))
+    rows = rows.withColumn("_again", again)
+    reason = F.when(F.col("_len") == 0, "no_closed_prefix").when(F.col("_len") < min_prefix, "prefix_too_short").when(F.col("_over") & (F.col("_again") < min_prefix), "over_budget")
+    length = F.when(F.col("_len") < min_prefix, 0).when(F.col("_over"), F.col("_again")).otherwise(F.col("_len"))
+    rows = rows.withColumns({"reason": reason, "collapse_len": F.when(reason.isNull(), length).otherwise(0).cast("long"), "trimmed": reason.isNull() & F.col("_over")})
+    empty = F.col("reason").isNull() & (F.coalesce(F.max(F.when(F.col("idx") < F.col("collapse_len"), F.col("text_total"))).over(by), F.lit(0)) == 0)
+    return rows.withColumn("reason", F.when(empty, "render_empty").otherwise(F.col("reason"))).drop("_cutoff", "_len", "_over", "_fit", "_again")
+
+
+def history_plan(turns: DataFrame, budget: int, page_chars: int, base: int = 10, floor: int = 0, keep_tail: int = 4, min_prefix: int = 10, snap: int = 50, pays: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plans, chunks) of requests: which turns become pages, in which append-only chunks.
+
+    turns: as history_range, and marked (the turn carries a cache marker) and cold (the request's
+    prompt cache is presumed gone) if there. plans: request_id, reason (collapsed if none), turns,
+    collapse_len, trimmed, text_chars, step, pages, markers, goal. ``pays`` (characters of the
+    history) is the strategy of the gate; without one all pays. chunks: request_id, from_idx, to_idx, text_chars.
+    """
+    rows = history_range(turns, budget, page_chars, keep_tail, min_prefix, snap)
+    for c in ("marked", "cold"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(False))
+    head = rows.where(F.col("reason").isNull() & (F.col("idx") < F.col("collapse_len")))
+    grid = H.freeze_grid(head, budget, page_chars, base, floor, "request_id")
+    sums = rows.groupBy("request_id").agg(F.count("*").alias("turns"), F.max("reason").alias("_reason"), F.max("collapse_len").alias("collapse_len"), F.max("trimmed").alias("trimmed"), F.coalesce(F.max(F.when(F.col("idx") < F.col("collapse_len"), F.col("text_total"))), F.lit(0)).alias("text_chars"))
+    plans = sums.join(grid, "request_id", "left")
+    gate = F.lit(True) if pays is None else pays(F.col("text_chars"))
+    reason = F.coalesce("_reason", F.when(~gate, "not_profitable").otherwise("collapsed"))
+    plans = plans.select("request_id", reason.alias("reason"), "turns", "collapse_len", "trimmed", "text_chars", "step", "pages", "markers", "goal")
+    kept = head.join(plans.where("reason = 'collapsed'").select("request_id", "step"), "request_id")
+    ends = chunk_ends(kept, F.col("step"), "request_id", "text_cost")
+    return plans, ends.withColumnRenamed("text_cost", "text_chars")
+
+
+def chunk_ends(messages: DataFrame, step: int | Column, key: str = "conv_id", *sums: str) -> DataFrame:
+    """Chunks that end at multiples of ``step``, at each cache marker, and at the end, with sums of columns. messages: key, idx, marked."""
+    order = Window.partitionBy(key).orderBy("idx")
     last = F.max("idx").over(Window.partitionBy(key))
-    ends = messages.withColumn("last", last).where(((F.col("idx") + 1) % step == 0) | F.col("marked") | (F.col("idx") == F.col("last")))
-    before = F.coalesce(F.lag("idx").over(Window.partitionBy(key).orderBy("idx")) + 1, F.lit(0))
-    return ends.select(key, before.cast("long").alias("from_idx"), F.col("idx").alias("to_idx"))
+    ends = ((F.col("idx") + 1) % step == 0) | F.col("marked") | (F.col("idx") == last)
+    rows = messages.withColumn("_end", ends)
+    if not sums:
+        before = F.coalesce(F.lag("idx").over(order) + 1, F.lit(0))
+        return rows.where("_end").select(key, before.cast("long").alias("from_idx"), F.col("idx").alias("to_idx"))
+    rows = rows.withColumn("_chunk", F.count_if("_end").over(order) - F.col("_end").cast("int"))
+    return rows.groupBy(key, "_chunk").agg(F.min("idx").cast("long").alias("from_idx"), F.max("idx").alias("to_idx"), *(F.sum(c).alias(c) for c in sums)).drop("_chunk")
 
 
 def bucket_chars(parts: DataFrame) -> DataFrame:

@@ -24,19 +24,28 @@ def dynamic_blocks(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(_DYNAMIC), F.lit(0))
 
 
+def dynamic_text(s: Column) -> Column:
+    """All that changes between requests: the dynamic blocks and the environment section, by line feeds."""
+    return F.array_join(F.filter(F.concat(dynamic_blocks(s), F.array(X.env_section(s))), lambda x: x != ""), "\n")
+
+
 def static_text(s: Column) -> Column:
-    """What remains without billing line and dynamic blocks, newlines collapsed."""
-    return F.trim(X.collapse_newlines(F.regexp_replace(X.strip_billing_line(s), _DYNAMIC, "")))
+    """What remains without billing line, environment section and dynamic blocks, newlines collapsed."""
+    return F.trim(X.collapse_newlines(F.regexp_replace(X.strip_env_section(X.strip_billing_line(s)), _DYNAMIC, "")))
+
+
+def env_body(s: Column) -> Column:
+    """What the first environment tag of a dynamic text holds, or ''."""
+    return F.regexp_extract(s, r"(?s)<env(?:\s[^>]*)?>(.*?)</env>", 1)
 
 
 def env_fields(s: Column) -> Column:
     """struct of cwd, git_repo, branch, platform, os_version, today; null where absent.
 
-    The text is read line by line as ``label: value``; of a repeated label the first line
-    with a value counts. A branch may also stand in a line ``On branch name``, and
-    ``Current branch`` serves where neither names one.
+    The body of the environment tag is read line by line as ``label: value``; of a repeated label
+    the first line with a value counts. The branch is looked for in the whole dynamic text: it may
+    also stand in a line ``On branch name``, and ``Current branch`` serves where neither names one.
     """
-    rows = F.transform(X.lines(s), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")))
 
     def pair(row: Column) -> Column:
         on = F.lower(row).startswith(_ON_BRANCH)
@@ -45,20 +54,25 @@ def env_fields(s: Column) -> Column:
         value = F.when(on, F.substring(row, F.lit(len(_ON_BRANCH) + 1), F.length(row))).otherwise(F.substring(row, at + 1, F.length(row)))
         return F.struct(label.alias("label"), F.btrim(value, F.lit(" \t")).alias("value"))
 
-    pairs = F.filter(F.transform(rows, pair), lambda p: p["label"].isin(*LABELS) & (p["value"] != ""))
-
-    def found(field: str, good=lambda v: F.lit(True)) -> Column:
-        mine = F.filter(pairs, lambda p: p["label"].isin(*(x for x, f in LABELS.items() if f == field)) & good(p["value"]))
-        return F.get(mine, 0)["value"]
+    def pairs(text: Column) -> Column:
+        rows = F.transform(X.lines(text), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b")))
+        return F.filter(F.transform(rows, pair), lambda p: p["label"].isin(*LABELS) & (p["value"] != ""))
 
     def word(value: Column) -> Column:
         return F.substring_index(F.translate(value, "\t", " "), " ", 1)
 
-    answer = F.substring(found("git_repo", lambda v: F.lower(F.regexp_extract(v, "^[A-Za-z0-9_]+", 0)).isin("yes", "no")), 1, 3)
-    return F.struct(
-        found("cwd").alias("cwd"), F.btrim(F.translate(answer, ",.;", "   ")).alias("git_repo"), found("platform").alias("platform"), found("os_version").alias("os_version"),
-        found("today").alias("today"), F.coalesce(word(found("branch")), word(found("current_branch"))).alias("branch"),
-    )
+    def fields(env: Column, whole: Column) -> Column:
+        def found(source: Column, field: str, good=lambda v: F.lit(True)) -> Column:
+            mine = F.filter(source, lambda p: p["label"].isin(*(x for x, f in LABELS.items() if f == field)) & good(p["value"]))
+            return F.get(mine, 0)["value"]
+
+        answer = F.substring(found(env, "git_repo", lambda v: F.lower(F.regexp_extract(v, "^[A-Za-z0-9_]+", 0)).isin("yes", "no")), 1, 3)
+        return F.struct(
+            found(env, "cwd").alias("cwd"), F.btrim(F.translate(answer, ",.;", "   ")).alias("git_repo"), found(env, "platform").alias("platform"), found(env, "os_version").alias("os_version"),
+            found(env, "today").alias("today"), F.coalesce(word(found(whole, "branch")), word(found(whole, "current_branch"))).alias("branch"),
+        )
+
+    return X.bound(F.struct(pairs(env_body(s)).alias("env"), pairs(s).alias("whole")), lambda p: fields(p["env"], p["whole"]))
 
 
 def unknown_tags(s: Column) -> Column:

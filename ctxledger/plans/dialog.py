@@ -28,7 +28,7 @@ def budget_trim(spark, sf_dir):
 
 
 def freeze_grid(spark, sf_dir):
-    return H.freeze_grid(H.turn_costs(turns(spark, sf_dir)), BUDGET, PAGE, base=BASE)
+    return H.freeze_grid(H.turn_costs(turns(spark, sf_dir)), BUDGET, PAGE, base=BASE).select("conv_id", "step", "pages")
 
 
 def first_user_key(spark, sf_dir):

@@ -34,6 +34,25 @@ def closed_prefix_messages(spark, sf_dir):
     return L.closed_prefix_messages(_messages(spark, sf_dir), 40)
 
 
+HISTORY = dict(budget=4, page_chars=140, base=4, keep_tail=3, min_prefix=5, snap=6)
+
+
+def history_turns(spark, sf_dir) -> DataFrame:
+    """Events as turns with tool calls, some marked; every fifth session is cold. Calls of reused ids stay open across cuts."""
+    i = F.col("idx")
+    extra = E.items(spark, sf_dir).select("request_id", "idx", F.when(i % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat("text", (i % 9).cast("int")).alias("text"), (i % 11 == 4).alias("marked"), (F.col("request_id") % 5 == 0).alias("cold"))
+    return _messages(spark, sf_dir).join(extra, ["request_id", "idx"])
+
+
+def history_plan(spark, sf_dir):
+    """Which turns of each session become pages, at which step: closed, trimmed to the budget and closed again, a tighter goal where cold."""
+    return L.history_plan(history_turns(spark, sf_dir), **HISTORY)[0]
+
+
+def history_chunks(spark, sf_dir):
+    return L.history_plan(history_turns(spark, sf_dir), **HISTORY)[1]
+
+
 def chunk_ends(spark, sf_dir):
     return L.chunk_ends(turns(spark, sf_dir).withColumn("marked", F.length("text") % 5 == 0), 3)
 
@@ -79,7 +98,8 @@ def token_composition(spark, sf_dir):
     """Items with roles put in by index, and requests with instructions and tools."""
     i = F.col("idx")
     role = F.when(F.col("call_id").isNull(), F.when(i % 5 == 0, "system").when(i % 5 == 1, "user").when(i % 5 == 2, "assistant"))
-    items = E.items(spark, sf_dir).withColumns({"role": role, "images": (i % 11 == 0).cast("int")})
+    whole = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('","text":'), F.to_json(F.array("text")), F.lit("}"))
+    items = E.items(spark, sf_dir).withColumns({"role": role, "images": (i % 11 == 0).cast("int"), "json": whole})
     requests = items.groupBy("request_id").agg(F.max("type").alias("instructions"), F.min("type").alias("tools"))
     return R.token_composition(items, requests)
 
@@ -102,8 +122,34 @@ def command_turns(spark, sf_dir):
     return N.command_turns(t).select("conv_id", "idx", F.col("commands").cast("long").alias("commands"), "only_commands")
 
 
-QUERIES = {f.__name__: f for f in (compaction_plan, plan_reasons, closed_prefix_messages, chunk_ends, bucket_chars, page_totals, baseline_tokens, verbatim_tasks, request_outcomes, unreferenced, token_composition, collapsible_units, normalized_dialog, command_turns)}
+QUERIES = {f.__name__: f for f in (compaction_plan, plan_reasons, closed_prefix_messages, history_plan, history_chunks, chunk_ends, bucket_chars, page_totals, baseline_tokens, verbatim_tasks, request_outcomes, unreferenced, token_composition, collapsible_units, normalized_dialog, command_turns)}
+_HISTORY = f"""WITH {E._ITEMS},
+ k AS (SELECT *, (type = 'function_call')::INT AS uses, CASE WHEN type = 'function_call' THEN 1 WHEN type = 'function_call_output' THEN -1 END AS kind, CASE WHEN idx % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, repeat(text, (idx % 9)::INT) AS body FROM items),
+ b AS (SELECT *, CASE WHEN call_id IS NOT NULL AND kind <> lag(kind, 1, -1) OVER (PARTITION BY request_id, call_id ORDER BY idx) THEN kind ELSE 0 END AS delta FROM k),
+ c AS (SELECT *, sum(delta) OVER w AS open FROM b WINDOW w AS (PARTITION BY request_id ORDER BY idx)),
+ d AS (SELECT *, coalesce(lag(open) OVER w, 0) AS before, coalesce(lead(uses) OVER w, 0) AS nu FROM c WINDOW w AS (PARTITION BY request_id ORDER BY idx)),
+ e AS (SELECT *, max(CASE WHEN uses = 0 AND before = 0 THEN idx END) OVER w AS k1, max(CASE WHEN uses > 0 THEN idx END) OVER w AS j1 FROM d WINDOW w AS (PARTITION BY request_id ORDER BY idx)),
+ f AS (SELECT *, open = 0 AND (NOT coalesce(j1 > coalesce(k1, -1), false) OR nu = 0) AS closed, CASE WHEN body <> '' THEN length(body) + 14 + 2 * length(role) + length(idx::VARCHAR) ELSE 0 END AS tc, CASE WHEN role = 'user' AND length(body) > 2000 THEN length(body) + 20 ELSE 0 END AS ic,
+   max(idx) OVER (PARTITION BY request_id) + 1 - 3 AS raw FROM e),
+ g AS (SELECT *, least(raw, greatest(floor(raw / 6.0)::BIGINT * 6, 5)) AS cutoff, sum(tc) OVER w AS tt, sum(ic) OVER w AS it FROM f WINDOW w AS (PARTITION BY request_id ORDER BY idx)),
+ h AS (SELECT *, coalesce(max(CASE WHEN closed AND idx < cutoff THEN idx + 1 END) OVER (PARTITION BY request_id), 0) AS len FROM g),
+ i AS (SELECT *, ceil(coalesce(max(CASE WHEN idx < len THEN tt END) OVER p, 0) / {HISTORY['page_chars']}.0) + ceil(coalesce(max(CASE WHEN idx < len THEN it END) OVER p, 0) / {HISTORY['page_chars']}.0) > {HISTORY['budget']} AS over, count(*) FILTER (idx < len AND tt + it <= {HISTORY['budget'] * HISTORY['page_chars']}) OVER p AS fit FROM h WINDOW p AS (PARTITION BY request_id)),
+ j AS (SELECT *, coalesce(max(CASE WHEN closed AND idx < fit THEN idx + 1 END) OVER (PARTITION BY request_id), 0) AS again FROM i),
+ r AS (SELECT request_id, count(*) AS turns, CASE WHEN max(len) = 0 THEN 'no_closed_prefix' WHEN max(len) < 5 THEN 'prefix_too_short' WHEN bool_or(over) AND max(again) < 5 THEN 'over_budget' END AS reason, bool_or(over) AS over, CASE WHEN bool_or(over) THEN max(again) ELSE max(len) END AS cl FROM j GROUP BY request_id),
+ s AS (SELECT request_id, turns, reason, CASE WHEN reason IS NULL THEN cl ELSE 0 END AS collapse_len, reason IS NULL AND over AS trimmed FROM r),
+ t AS (SELECT j.*, s.reason, collapse_len, trimmed, turns, idx % 11 = 4 AS marked FROM j JOIN s USING (request_id)),
+ a AS (SELECT request_id, max(turns) AS turns, max(reason) AS r0, max(collapse_len) AS collapse_len, bool_or(trimmed) AS trimmed, coalesce(max(CASE WHEN idx < collapse_len THEN tt END), 0)::BIGINT AS text_chars FROM t GROUP BY request_id),
+ a2 AS (SELECT *, coalesce(r0, CASE WHEN text_chars = 0 THEN 'render_empty' ELSE 'collapsed' END) AS reason FROM a),
+ m AS (SELECT t.request_id, t.idx, t.tc, t.ic, t.marked, a2.collapse_len FROM t JOIN a2 USING (request_id) WHERE a2.reason = 'collapsed' AND idx < a2.collapse_len),
+ n AS (SELECT request_id, max(collapse_len) AS rng, count(*) FILTER (marked) AS markers, CASE WHEN request_id % 5 = 0 THEN least({HISTORY['budget']}, greatest(1, ceil(sum(tc) / {HISTORY['page_chars']}.0)) + 1) ELSE {HISTORY['budget']} END::BIGINT AS goal FROM m GROUP BY request_id),
+ o AS (SELECT m.request_id, rng, markers, goal, st, idx // st AS cell, ceil(sum(tc) / {HISTORY['page_chars']}.0) + ceil(sum(ic) / {HISTORY['page_chars']}.0) AS pg FROM m JOIN n USING (request_id), (SELECT (4 * 2 ** x)::BIGINT AS st FROM (SELECT unnest(range(13))::INT AS x)) GROUP BY ALL),
+ q AS (SELECT request_id, rng, markers, goal, st, sum(pg)::BIGINT AS pages FROM o GROUP BY ALL),
+ u AS (SELECT request_id, min(st)::BIGINT AS step, min_by(pages, st) AS pages, min(markers) AS markers, min(goal) AS goal FROM q WHERE st >= rng OR pages + markers <= goal GROUP BY request_id)"""
 ORACLES = {
+    "history_plan": f"{_HISTORY} SELECT request_id, reason, turns, collapse_len, trimmed, text_chars, step, pages, markers, goal FROM a2 LEFT JOIN u USING (request_id)",
+    "history_chunks": f"""{_HISTORY}, v AS (SELECT m.*, (idx + 1) % step = 0 OR marked OR idx = collapse_len - 1 AS fin FROM m JOIN u USING (request_id)),
+        w AS (SELECT *, sum(fin::INT) OVER (PARTITION BY request_id ORDER BY idx) - fin::INT AS chunk FROM v)
+        SELECT request_id, min(idx) AS from_idx, max(idx) AS to_idx, sum(tc)::BIGINT AS text_chars FROM w GROUP BY request_id, chunk""",
     "closed_prefix_messages": f"""WITH {E._ITEMS},
         k AS (SELECT *, (type = 'function_call')::INT AS uses, CASE WHEN type = 'function_call' THEN 1 WHEN type = 'function_call_output' THEN -1 END AS kind FROM items),
         b AS (SELECT *, CASE WHEN call_id IS NOT NULL AND kind <> lag(kind, 1, -1) OVER (PARTITION BY request_id, call_id ORDER BY idx) THEN kind ELSE 0 END AS delta FROM k),
@@ -124,9 +170,10 @@ ORACLES = {
     "unreferenced": f"""WITH {E._ITEMS}, r AS (SELECT DISTINCT request_id, call_id FROM items WHERE idx % 7 = 0 AND call_id IS NOT NULL)
         SELECT request_id, count(*) AS free FROM items WHERE call_id IS NOT NULL AND (request_id, call_id) NOT IN (SELECT request_id, call_id FROM r) GROUP BY request_id""",
     "token_composition": f"""WITH {E._ITEMS},
-        r AS (SELECT *, CASE WHEN call_id IS NULL THEN CASE idx % 5 WHEN 0 THEN 'system' WHEN 1 THEN 'user' WHEN 2 THEN 'assistant' END END AS role, {u16_sql("coalesce(text, '')")} AS n FROM items),
+        r AS (SELECT *, CASE WHEN call_id IS NULL THEN CASE idx % 5 WHEN 0 THEN 'system' WHEN 1 THEN 'user' WHEN 2 THEN 'assistant' END END AS role, {u16_sql("coalesce(text, '')")} AS n,
+            length('{{"type":"' || type || '","text":["' || replace(text, '"', '\\"') || '"]}}') AS z FROM items),
         s AS (SELECT request_id, CASE WHEN role = 'system' THEN 'system_developer' WHEN role IS NOT NULL THEN 'user_assistant' WHEN type = 'function_call' THEN 'function_calls' WHEN type = 'function_call_output' THEN 'function_outputs'
-            WHEN type = 'reasoning' THEN 'reasoning' WHEN type IN ('compaction', 'compaction_trigger', 'context_compaction', 'item_reference') THEN 'compaction' ELSE 'other' END AS spent, n, (idx % 11 = 0)::INT AS images FROM r
+            WHEN type = 'reasoning' THEN 'reasoning' WHEN type IN ('compaction', 'compaction_trigger', 'context_compaction', 'item_reference') THEN 'compaction' ELSE 'other' END AS spent, CASE WHEN role IS NULL AND type <> 'function_call_output' THEN z ELSE n END AS n, (idx % 11 = 0)::INT AS images FROM r
           UNION ALL SELECT request_id, 'instructions', length(max(type)), 0 FROM items GROUP BY request_id UNION ALL SELECT request_id, 'tools', length(min(type)), 0 FROM items GROUP BY request_id)
         SELECT request_id, {", ".join(f"coalesce(sum(n) FILTER (spent = '{c}'), 0)::BIGINT AS {c}" for c in ("instructions", "system_developer", "user_assistant", "function_calls", "function_outputs", "reasoning", "compaction", "tools", "other"))},
           sum(n)::BIGINT AS total, sum(images)::BIGINT AS image_parts FROM s GROUP BY request_id""",

@@ -69,14 +69,15 @@ def explode_items(spark, sf_dir):
 
 
 def _system(spark, sf_dir) -> DataFrame:
-    head = F.concat(F.lit("x-anthropic-billing-header: v\nBe brief.\n<env>\nWorking directory: /srv/"), F.col("lang"), F.lit("\nIs directory a git repo: Yes\nPlatform: linux\nOn branch b"), F.col("doc_id").cast("string"), F.lit("\n</env>\n\n\n\n<notes>"), F.col("source"), F.lit("</notes>\n<rules>be kind</rules>"))
+    other = F.when(F.col("doc_id") % 3 == 0, F.lit("<context>Platform: elsewhere\nWorking directory: /other</context>\n# Environment\nmoves\n## Rest\n")).otherwise("")
+    head = F.concat(F.lit("x-anthropic-billing-header: v\nBe brief.\n"), other, F.lit("<env>\nWorking directory: /srv/"), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.lit("\nPlatform: linux")).otherwise(""), F.lit("\nIs directory a git repo: Yes\nOn branch b"), F.col("doc_id").cast("string"), F.lit("\n</env>\n\n\n\n<notes>"), F.col("source"), F.lit("</notes>\n<rules>be kind</rules>"))
     return load(spark, sf_dir, "documents").select("doc_id", "lang", "source", head.alias("system"))
 
 
 def split_system(spark, sf_dir):
     s = F.col("system")
-    env = Y.env_fields(F.array_join(Y.dynamic_blocks(s), "\n"))
-    return _system(spark, sf_dir).select("doc_id", F.size(Y.dynamic_blocks(s)).alias("dynamic"), Y.static_text(s).alias("static"), env["cwd"].alias("cwd"), env["branch"].alias("branch"), env["today"].alias("today"), F.array_join(Y.unknown_tags(s), ",").alias("unknown"))
+    env = Y.env_fields(Y.dynamic_text(s))
+    return _system(spark, sf_dir).select("doc_id", F.size(Y.dynamic_blocks(s)).alias("dynamic"), Y.static_text(s).alias("static"), env["cwd"].alias("cwd"), env["branch"].alias("branch"), env["platform"].alias("platform"), env["today"].alias("today"), X.sha8(Y.dynamic_text(s)).alias("dynamic_sha8"), F.array_join(Y.unknown_tags(s), ",").alias("unknown"))
 
 
 def _tools(spark, sf_dir) -> DataFrame:
@@ -159,7 +160,9 @@ ORACLES = {
         UNION ALL SELECT conv_id, turn, 1, 'rec_' || left(sha256('tool_result' || chr(0) || 't' || turn || chr(0) || 'ok'), 8), 'tool_result' FROM conversations WHERE turn % 2 = 1""",
     "explode_items": """SELECT conv_id AS request_id, turn AS idx, 'message' AS type, role, text FROM conversations WHERE conv_id % 2 = 1
         UNION ALL SELECT conv_id, 0, 'message', 'user', arg_min(text, turn) FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id""",
-    "split_system": "SELECT doc_id, 1 AS dynamic, 'Be brief.' || chr(10) || chr(10) || '<notes>' || source || '</notes>' || chr(10) || '<rules>be kind</rules>' AS static, '/srv/' || lang AS cwd, 'b' || doc_id AS branch, NULL AS today, 'notes' AS unknown FROM documents",
+    "split_system": """WITH e AS (SELECT *, '<env>' || chr(10) || 'Working directory: /srv/' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Platform: linux' ELSE '' END || chr(10) || 'Is directory a git repo: Yes' || chr(10) || 'On branch b' || doc_id || chr(10) || '</env>' AS env FROM documents)
+        SELECT doc_id, 1 + (doc_id % 3 = 0)::INT AS dynamic, 'Be brief.' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## Rest' || chr(10) ELSE '' END || chr(10) || '<notes>' || source || '</notes>' || chr(10) || '<rules>be kind</rules>' AS static, '/srv/' || lang AS cwd, 'b' || doc_id AS branch,
+          CASE WHEN doc_id % 2 = 0 THEN 'linux' END AS platform, NULL AS today, left(sha256(CASE WHEN doc_id % 3 = 0 THEN '<context>Platform: elsewhere' || chr(10) || 'Working directory: /other</context>' || chr(10) ELSE '' END || env || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '# Environment' || chr(10) || 'moves' ELSE '' END), 8) AS dynamic_sha8, 'notes' AS unknown FROM e""",
     "tool_docs": f"SELECT p_partkey % 50 AS request_id, string_agg({_DOC}, chr(10) || chr(10) ORDER BY p_partkey) AS docs FROM part WHERE p_partkey % 9 <> 0 GROUP BY 1",
     "tool_rewrite": f"WITH {_T} SELECT request_id, tool_idx, name, z AS stripped, chars_before, chars_after FROM p",
     "tool_catalog": f"WITH {_T} SELECT name, sha256(s) AS schema_sha, count(DISTINCT request_id) AS requests, max(chars_before) AS doc_chars, sum(chars_before - chars_after)::BIGINT AS saved_chars FROM p GROUP BY name, s",

@@ -162,24 +162,148 @@ def test_session_cold_equals_state_machine(spark):
 
 
 def test_freeze_grid_equals_doubling(spark):
+    """With cache markers, which split chunks, and cold histories, whose goal is one page over the whole text's."""
     rng = random.Random(5)
     table, expect = [], {}
-    for c in range(60):
+    for c in range(120):
         n, floor = rng.randint(1, 70), 4
         costs = [(rng.randint(0, 900), rng.choice([0, 0, 0, 2500])) for _ in range(n)]
-        table += [(c, i, t, u) for i, (t, u) in enumerate(costs)]
+        marks, cold = [rng.random() < 0.05 for _ in range(n)], rng.random() < 0.5
+        goal = min(20, max(1, -(-sum(t for t, _ in costs) // 500)) + 1) if cold else 20
+        table += [(c, i, t, u, m, cold) for i, ((t, u), m) in enumerate(zip(costs, marks, strict=True))]
         step = 2
         while step < floor and step < n:
             step *= 2
         while step < n:
             cells = [costs[i : i + step] for i in range(0, n, step)]
-            if sum(-(-sum(t for t, _ in x) // 500) + -(-sum(u for _, u in x) // 500) for x in cells) <= 20:
+            if sum(-(-sum(t for t, _ in x) // 500) + -(-sum(u for _, u in x) // 500) for x in cells) + sum(marks) <= goal:
                 break
             step *= 2
         expect[c] = step
-    df = spark.createDataFrame(table, "conv_id long, idx long, text_cost long, image_cost long")
+    df = spark.createDataFrame(table, "conv_id long, idx long, text_cost long, image_cost long, marked boolean, cold boolean")
     got = {r["conv_id"]: r["step"] for r in history.freeze_grid(df, 20, 500, base=2, floor=4).collect()}
     assert got == expect
+    whole = history.freeze_grid(df, 0, 500, base=0).collect()
+    assert {r["conv_id"]: r["step"] for r in whole} == {c: max(i for k, i, *_ in table if k == c) + 1 for c in expect}
+
+
+def test_history_ends_closed_after_a_trim(spark):
+    """History cut at a closed turn, trimmed to the budget and cut again, against a plain walk over random tool rounds."""
+    from ctxledger.operators import planning
+
+    rng = random.Random(8)
+    rows, expect = [], {}
+    for c in range(150):
+        turns, open_ids = [], []
+        for i in range(rng.randint(1, 24)):
+            uses, closes = [], []
+            if open_ids and rng.random() < 0.7:
+                closes = [open_ids.pop()]
+            elif rng.random() < 0.5:
+                uses = [f"u{i}"]
+                open_ids += uses
+            text = rng.choice(["", "x" * rng.randint(1, 60), "y" * 2100 if rng.random() < 0.1 else "z"])
+            turns.append(("assistant" if uses else "user", text, uses, closes))
+        rows += [(c, i, r, t, len(u), u, k) for i, (r, t, u, k) in enumerate(turns)]
+
+        def closed(i, turns=turns):
+            held, in_round = set(), False
+            for j in range(i + 1):
+                _, _, u, k = turns[j]
+                if not u and not held:
+                    in_round = False
+                held |= set(u)
+                held -= set(k)
+                in_round = in_round or bool(u)
+            follows = i + 1 < len(turns) and turns[i + 1][2]
+            return not held and not (in_round and follows)
+
+        def last(cutoff, turns=turns, closed=closed):
+            return max((i + 1 for i in range(min(cutoff, len(turns))) if closed(i)), default=0)
+
+        def cost(i, turns=turns):
+            r, t, _, _ = turns[i]
+            return (len(t) + 14 + 2 * len(r) + len(str(i)) if t else 0, len(t) + 20 if r == "user" and len(t) > 2000 else 0)
+
+        raw = len(turns) - 2
+        n = last(min(raw, max(raw // 4 * 4, 3)))
+        text, image = (sum(cost(i)[x] for i in range(n)) for x in (0, 1))
+        reason, trimmed = ("no_closed_prefix" if not n else "prefix_too_short" if n < 3 else None), False
+        if reason is None and -(-text // 100) + -(-image // 100) > 5:
+            fit = 0
+            while fit < n and sum(sum(cost(i)) for i in range(fit + 1)) <= 500:
+                fit += 1
+            n, trimmed = last(fit), True
+            if n < 3:
+                reason, trimmed = "over_budget", False
+        n = 0 if reason else n
+        if reason is None and not sum(cost(i)[0] for i in range(n)):
+            reason = "render_empty"
+        expect[c] = (reason, n, trimmed)
+    df = spark.createDataFrame(rows, "request_id long, idx long, role string, text string, uses long, opens array<string>, closes array<string>")
+    out = planning.history_range(df, 5, 100, keep_tail=2, min_prefix=3, snap=4)
+    got = {r["request_id"]: (r["reason"], r["collapse_len"], r["trimmed"]) for r in out.collect()}
+    assert got == expect and {x[0] for x in expect.values()} >= {None, "no_closed_prefix", "prefix_too_short", "over_budget"} and any(x[2] for x in expect.values())
+    plans, chunks = planning.history_plan(df, 5, 100, base=2, keep_tail=2, min_prefix=3, snap=4, pays=lambda chars: chars > 150)
+    by = {r["request_id"]: r for r in plans.collect()}
+    assert {r["reason"] for r in by.values()} >= {"collapsed", "not_profitable"} and all((r["reason"] == "collapsed") == (r["text_chars"] > 150) for r in by.values() if r["collapse_len"])
+    for c, r in by.items():
+        mine = sorted((x["from_idx"], x["to_idx"]) for x in chunks.where(f"request_id = {c}").collect()) if c < 12 and r["reason"] == "collapsed" else None
+        if mine:
+            assert mine[0][0] == 0 and mine[-1][1] == r["collapse_len"] - 1 and all(b[0] == a[1] + 1 and b[0] % r["step"] == 0 for a, b in zip(mine, mine[1:], strict=False))
+
+
+def test_billing_line_and_environment_section(spark):
+    from ctxledger.functions import text as X
+
+    line = X.BILLING + " v"
+    cases = {
+        f"{line}\nrest\n{line}\n": f"rest\n{line}\n", f"a\n{line}": "a", line: "", f"a {line}": f"a {line}", f"a\n{line}\nb": "a\nb", "": "", "none": "none",
+    }
+    for s, expect in cases.items():
+        assert value(spark, s, X.strip_billing_line(S)) == expect, s
+    sections = {
+        "# Environment\nx\n## Next\ny": ("\n## Next\ny", "# Environment\nx"), "a\n# Environment \nx \n\n": ("a\n", "# Environment \nx"), "## Environment\nx": ("## Environment\nx", ""), "# Environments\nx": ("# Environments\nx", ""),
+        "a\n# Environment\n####### seven\n# Environment\nz": ("a\n\n# Environment\nz", "# Environment\n####### seven"), "x # Environment": ("x # Environment", ""), "# Environment": ("", "# Environment"),
+    }
+    for s, (left, section) in sections.items():
+        assert (value(spark, s, X.strip_env_section(S)), value(spark, s, X.env_section(S))) == (left, section), s
+
+
+def test_substrings_as_by_the_plain_rule(spark):
+    from ctxledger.operators import facts
+
+    rng = random.Random(9)
+    rows = [(g, t, 1) for g in range(200) for t in {"".join(rng.choice("abA1=/é") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))}]
+    got = {(r[0], r[1]) for r in facts.collapse_substrings(spark.createDataFrame(rows, "doc_id long, token string, count long")).collect()}
+    mine = {}
+    for g, t, _ in rows:
+        mine.setdefault(g, []).append(t)
+    assert got == {(g, t) for g, t, _ in rows if not any(len(u) > len(t) and t in u for u in mine[g])}
+
+
+def test_pages_are_cut_in_units():
+    from ctxledger.operators import facts
+
+    text = "😀" * 140_000
+    pages = facts._pages(text)
+    assert [len(p) for p in pages[:2]] == [14_040, 14_040] and "".join(pages) == text
+    assert len(facts._pages("a" + text)) == 10 and facts._pages("a" + text)[0].endswith("\ufffd") and facts._pages("x" * 300_000)[0] == "x" * 28_080 and facts._pages(text[:100]) == [text[:100]]
+
+
+def test_recoverable_texts(spark):
+    from ctxledger.operators import blocks
+
+    rows = [(1, 0, 0, "tool_result", "t1", "line\n" * 300), (1, 1, 0, "tool_result", "t1", "line\n" * 300), (1, 2, 0, "text", None, "漢字" * 40), (2, 0, 0, "text", None, None)]
+    df = spark.createDataFrame(rows, "request_id long, msg_idx long, block_idx int, type string, tool_id string, text string").withColumn("result_text", F.lit(None).cast("string"))
+    paged = blocks.recoverable_pages(df, 10, height=8 * 5 + 8)
+    ids = {(r["request_id"], r["msg_idx"]): (r["id"], r["pages"]) for r in paged.collect()}
+    assert ids[1, 0] == ids[1, 1] and ids[1, 0][1] == -(-1500 // 50) and ids[1, 2][1] == 4 and ids[2, 0][1] == 1
+    wanted = spark.createDataFrame([(1, ids[1, 0][0]), (1, "rec_none"), (2, ids[1, 0][0])], "request_id long, id string")
+    got = {(r["request_id"], r["id"]): r for r in blocks.recover(paged, wanted).collect()}
+    assert got[1, ids[1, 0][0]]["text"] == "line\n" * 300 and not got[1, ids[1, 0][0]]["clash"] and got[1, "rec_none"]["text"] is None and got[2, ids[1, 0][0]]["text"] is None
+    twin = paged.withColumn("id", F.lit("rec_same"))
+    assert blocks.recover(twin, spark.createDataFrame([(1, "rec_same")], "request_id long, id string")).first()["clash"]
 
 
 def test_facts(spark):
@@ -251,10 +375,14 @@ def test_system(spark):
     text = "<env>\nWorking directory: /a b\nIs directory a git repo: No\nToday's date: 2025-01-01\n</env>x<custom>y</custom><skill>z</skill>"
     env = value(spark, text, system.env_fields(S))
     assert (env["cwd"], env["git_repo"], env["today"], env["branch"]) == ("/a b", "No", "2025-01-01", None)
-    odd = "Platform:\nplatform : linux x \r\nIs directory a git repo: maybe\nIS DIRECTORY A GIT REPO: yes, really\nCurrent branch: old\n  On branch main extra\nOS Version: 1: 2"
+    odd = "<env a>Platform:\nplatform : linux x \r\nIs directory a git repo: maybe\nIS DIRECTORY A GIT REPO: yes, really\nCurrent branch: old\n  On branch main extra\nOS Version: 1: 2</env>"
     env = value(spark, odd, system.env_fields(S))
     assert (env["platform"], env["git_repo"], env["branch"], env["os_version"], env["cwd"], env["today"]) == ("linux x", "yes", "main", "1: 2", None, None)
     assert value(spark, "Current branch: b2", system.env_fields(S))["branch"] == "b2" and value(spark, "", system.env_fields(S))["cwd"] is None
+    # fields count in the environment's body only, the branch anywhere
+    both = "<context>Platform: from context\nOn branch seen first</context>\n<env>\nOS Version: 9\nBranch: b3\n</env>\n<env>Platform: second</env>"
+    env = value(spark, both, system.env_fields(S))
+    assert (env["platform"], env["os_version"], env["branch"]) == (None, "9", "seen")
     assert value(spark, text, system.unknown_tags(S)) == ["custom"]
     assert value(spark, text, system.static_text(S)) == "x<custom>y</custom><skill>z</skill>"
 
