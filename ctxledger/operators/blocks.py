@@ -45,14 +45,19 @@ def explode_blocks(messages: DataFrame) -> DataFrame:
 _FIELDS = (("thinking", "string"), ("id", "string"), ("name", "string"), ("input", "string"), ("tool_use_id", "string"), ("is_error", "boolean"), ("source", "struct<type: string, media_type: string, data: string>"), ("content", "string"), ("cache_control", "string"))
 
 
+#: What a tool says of a file just written, and what that is worth once the turn is past.
+FRESH = r"\(file state is current in your\s+context — no need to Read it back\)"
+STALE = "(state as of this PRIOR turn — the file may have changed since; Read it again before editing)"
+
+
 def block_text(blocks: DataFrame) -> Column:
-    """Transcript text of a block by its type; null where it has none."""
+    """Transcript text of a block by its type; null where it has none. A result's note that a file is current is taken back."""
     kind = F.col("type")
     head = F.when(F.col("is_error"), "[tool_result (error)]").otherwise("[tool_result]")
     return (
         F.when(kind == "text", F.col("text"))
         .when(kind == "tool_use", F.concat(F.lit("[tool_use "), F.coalesce("tool_name", F.lit("tool")), F.lit("]\n"), F.coalesce("tool_input", F.lit("{}"))))
-        .when(kind == "tool_result", F.concat(head, F.lit("\n"), F.coalesce("result_text", F.lit(""))))
+        .when(kind == "tool_result", F.concat(head, F.lit("\n"), F.regexp_replace(F.coalesce("result_text", F.lit("")), FRESH, STALE)))
         .when(kind == "image", F.lit("[image]"))
     )
 
@@ -110,10 +115,17 @@ def native_images(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("request_id").agg(F.sum(F.size("images")).alias("images"), F.sum(F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes"))
 
 
-def outgoing_chars(blocks: DataFrame) -> DataFrame:
-    """UTF-16 units that a request sends as text."""
-    size = sum((F.coalesce(X.u16len(F.col(c)), F.lit(0)) for c in ("text", "tool_input", "result_text")), F.lit(0))
-    return blocks.groupBy("request_id").agg(F.sum(size).alias("chars"))
+def outgoing_chars(blocks: DataFrame, systems: DataFrame | None = None, tools: DataFrame | None = None) -> DataFrame:
+    """UTF-16 units that a request sends as text: its blocks, system texts (request_id, text) and tools (request_id, name, description, schema_json)."""
+    parts = [(blocks, ("text", "tool_input", "result_text"))]
+    parts += [(systems, ("text",))] if systems is not None else []
+    parts += [(tools, ("name", "description", "schema_json"))] if tools is not None else []
+    sizes = None
+    for rows, columns in parts:
+        size = sum((F.coalesce(X.u16len(F.col(c)), F.lit(0)) for c in columns), F.lit(0)).cast("long")
+        own = rows.select("request_id", size.alias("chars"))
+        sizes = own if sizes is None else sizes.unionByName(own)
+    return sizes.groupBy("request_id").agg(F.sum("chars").alias("chars"))
 
 
 def recoverable_blocks(blocks: DataFrame) -> DataFrame:

@@ -73,14 +73,14 @@ def spans(text: str, patterns) -> list[tuple[int, str]]:
     return out
 
 
-def _pages(text: str) -> list[str]:
-    """A text over LONG units in pages of PAGE units; half of a character cut in two counts as unreadable."""
-    if (n := _units(text)) <= LONG:
+def _pages(text: str, long: int = LONG, page: int = PAGE) -> list[str]:
+    """A text over ``long`` units in pages of ``page`` units; half of a character cut in two counts as unreadable."""
+    if (n := _units(text)) <= long:
         return [text]
     if n == len(text):
-        return [text[i : i + PAGE] for i in range(0, n, PAGE)]
+        return [text[i : i + page] for i in range(0, n, page)]
     raw = text.encode("utf-16-be", "surrogatepass")
-    return [raw[i : i + 2 * PAGE].decode("utf-16-be", "replace") for i in range(0, 2 * n, 2 * PAGE)]
+    return [raw[i : i + 2 * page].decode("utf-16-be", "replace") for i in range(0, 2 * n, 2 * page)]
 
 
 def _scan(which):
@@ -91,7 +91,7 @@ def _scan(which):
             for doc, text in zip(b.column("doc_id"), b.column("text"), strict=True):
                 text = text.as_py() or ""
                 lo = 0
-                for page, part in enumerate(_pages(text)):
+                for page, part in enumerate(_pages(text, LONG, PAGE)):
                     for offset, token in spans(part, patterns):
                         ids.append(doc.as_py())
                         pages.append(page)

@@ -82,6 +82,23 @@ def latest_user(turns: DataFrame, key: str = "conv_id", most: int = 300) -> Data
     return found.select(key, F.col("u.idx").alias("idx"), F.when(X.u16len(one) > most, cut).otherwise(one).alias("preview"))
 
 
+def latest_user_pointer(turns: DataFrame, end: Column | int, protected: Column | int = 0, key: str = "conv_id") -> DataFrame:
+    """(key, idx, verbatim, told) of the newest user turn with text before ``end``.
+
+    From ``protected`` on a turn is told by its preview; an earlier one is part of
+    nothing that stays, so it is carried: whole, or its head and tail if it is long.
+    """
+    from ctxledger.operators.planning import verbatim_task
+
+    users = turns.where((F.col("role") == "user") & (F.col("idx") < end) & F.coalesce("text", F.lit("")).rlike(r"\S"))
+    bound = protected if isinstance(protected, Column) else F.lit(protected)
+    found = users.groupBy(key).agg(F.max(F.struct("idx", "text", bound.alias("p"))).alias("u"))
+    carried = F.col("u.idx") < F.col("u.p")
+    one = F.btrim(F.regexp_replace(F.col("u.text"), X.SPACES + "+", " "))
+    short = F.when(X.u16len(one) > 300, F.concat(F.rtrim(X.u16slice(one, 0, 300)), F.lit("..."))).otherwise(one)
+    return found.select(key, F.col("u.idx").alias("idx"), carried.alias("verbatim"), F.when(carried, verbatim_task(F.col("u.text"))).otherwise(short).alias("told"))
+
+
 def protected_turns(turns: DataFrame, keep_tail: int, key: str = "conv_id") -> DataFrame:
     """``turns`` plus kept: the last ``keep_tail`` and the newest user turn stay as they are."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("idx")))

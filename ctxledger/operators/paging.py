@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField
 
+from ctxledger.functions import geometry as G
 from ctxledger.functions import text as X
 from ctxledger.functions.folds import fold
 
@@ -41,24 +44,34 @@ def head_tail_paging(texts: DataFrame, max_pages: int, cols: int, page_chars: in
     split = (F.col("tail") > 0) & (F.col("head_lines") + F.col("tail") < F.col("lines"))
     tail = F.when(split, F.col("tail")).otherwise(0)
     kept = F.col("head_units") + F.when(split, F.col("tail_units")).otherwise(0)
-    return out.select(key, "pages", "lines", "head_lines", tail.alias("tail_lines"), (F.col("lines") - F.col("head_lines") - tail).alias("omitted_lines"), (F.col("units") - kept).alias("omitted_units"))
+    return out.select(key, "pages", "lines", "head_lines", tail.alias("tail_lines"), (F.col("lines") - F.col("head_lines") - tail).alias("omitted_lines"), (F.col("units") - kept).alias("omitted_units"), "units")
 
 
 def paging_marker(name: str = "paging"):
-    """The marker line of a paged text, from the columns of head_tail_paging."""
-    tail = F.when(F.col("tail_lines") > 0, F.format_string(" Showing first %d lines and last %d lines.", "head_lines", "tail_lines")).otherwise(F.format_string(" Showing first %d lines (tail elided).", "head_lines"))
-    return F.concat(F.lit(f"[ {name}: omitted "), X.thousands(F.col("omitted_lines")), F.lit(" lines ("), X.thousands(F.col("omitted_units")), F.lit(" chars) of "), X.thousands(F.col("lines")), F.lit(" lines."), tail, F.lit(" ]"))
+    """The marker between head and tail of a paged text, a blank line on either side, from the columns of head_tail_paging."""
+    n = X.thousands
+    shown = F.when(F.col("tail_lines") > 0, F.format_string(" Showing first %d lines and last %d lines.", "head_lines", "tail_lines")).otherwise(F.format_string(" Showing first %d lines (tail elided).", "head_lines"))
+    cut = F.concat(F.lit(f"\n\n[ {name}: omitted "), n(F.col("omitted_lines")), F.lit(" lines ("), n(F.col("omitted_units")), F.lit(" chars) of content here. Original length: "))
+    return F.concat(cut, n(F.col("units")), F.lit(" chars ("), n(F.col("lines")), F.lit(" lines, ~"), F.col("pages").cast("string"), F.lit(" images)."), shown, F.lit(" ]\n\n"))
 
 
-def paging_candidates(results: DataFrame, least: int = 6000, keep_sharp=None) -> DataFrame:
-    """``results`` (text, is_error) plus reason: why a tool result stays text, or ``candidate``.
+def paging_candidates(results: DataFrame, least: int = 6000, keep_sharp=None, cap: int = 10, per_token: float = 4.0, pays: Callable[[Column, Column], Column] = G.profitable) -> DataFrame:
+    """``results`` (text, is_error, and profile, if pages are to be priced) plus reason: why a tool result stays text, or ``candidate``.
 
-    ``keep_sharp`` is a caller's Column predicate; null counts as not kept.
+    ``keep_sharp`` is a caller's Column predicate; null counts as not kept. With a profile
+    column, a result whose pages (``cap`` at most) do not pay is not_profitable: ``pays`` (image tokens, text tokens)
+    is the strategy of the gate.
     """
     text = X.packed(F.col("text"))
+    rows = results.withColumn("_units", X.u16len(text))
     sharp = F.lit(False) if keep_sharp is None else F.coalesce(keep_sharp, F.lit(False))
-    reason = F.when(F.coalesce("is_error", F.lit(False)), "is_error").when(X.u16len(text) < least, "below_threshold").when(sharp, "keep_sharp").otherwise("candidate")
-    return results.withColumn("reason", reason)
+    reason = F.when(F.coalesce("is_error", F.lit(False)), "is_error").when(sharp, "keep_sharp").when(F.col("_units") < least, "below_threshold")
+    if "profile" in results.columns:
+        rows = rows.withColumn("_rows", X.packed_rows(F.col("_units"), F.col("profile.strip_cols")))
+        most = F.lit(cap) * G.lines_per_page(F.col("profile.max_height"), F.col("profile.cell_h"), F.col("profile.strip_cols"))
+        rows = G.with_image_tokens(rows.withColumn("_rows", F.least(F.col("_rows"), most)), "_rows", out="_image")
+        reason = reason.when(~pays(F.col("_image"), X.text_tokens(F.col("_units"), per_token)), "not_profitable")
+    return rows.withColumn("reason", reason.otherwise("candidate")).drop("_units", "_rows", "_image")
 
 
 def admit_by_budget(candidates: DataFrame, images: int, size: int, key: str = "request_id") -> DataFrame:

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, StructField
 
-#: The most units of a session pin, and of all pins shown.
+from ctxledger.functions import text as X
+from ctxledger.functions.folds import fold as fold_rows
+
+#: The most units of a pin, and of all pins shown.
 PIN_MOST, BLOCK_MOST = 300, 2000
+#: What a pin that was cut ends with.
+CUT_NOTE = "… [pin truncated]"
 MARKER = "@ctx"
 
 
@@ -32,55 +39,110 @@ def command_turns(turns: DataFrame, marker: str = MARKER) -> DataFrame:
     return out.where("commands > 0")
 
 
-def fold(lines: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
-    """(text, source) of the pins left after (source, verb, rest) commands in order."""
-    pins: list[tuple[str, str]] = []
-    for source, verb, rest in lines:
-        if verb == "pin":
-            if source == "file":
-                if rest or pins and pins[-1][0]:
-                    pins.append((rest, source))
-            elif rest and all(t != rest[:PIN_MOST] for t, _ in pins):
-                pins.append((rest[:PIN_MOST], source))
-            continue
-        mine = [i for i, (_, s) in enumerate(pins) if s == "session"]
+def _cut(text: str) -> str:
+    """A pin's text, PIN_MOST units of it and a note if it is longer."""
+    units = text.encode("utf-16-be", "surrogatepass")
+    return text if len(units) <= 2 * PIN_MOST else units[: 2 * PIN_MOST].decode("utf-16-be", "replace") + CUT_NOTE
+
+
+class Pins:
+    """The pins in force while commands come one after the other: (text, source, path), oldest first."""
+
+    def __init__(self):
+        self.now: list[tuple[str, str, str | None]] = []
+
+    def apply(self, source: str, verb: str, rest: str, path: str | None = None) -> None:
+        """File pins repeat, and an empty one stands for a blank line after one that is not; session pins are unique by text."""
+        if verb == "unpin":
+            self._unpin(rest)
+            return
+        text = _cut(rest)
+        if source == "file":
+            if text or self.now and self.now[-1][0]:
+                self.now.append((text, source, path))
+        elif text and all(t != text for t, _, _ in self.now):
+            self.now.append((text, source, None))
+
+    def _unpin(self, rest: str) -> None:
+        """All session pins, the one of a number among them, or the first of that text, or else of that beginning in any case."""
+        mine = [i for i, p in enumerate(self.now) if p[1] == "session"]
         if rest == "all":
-            pins = [p for p in pins if p[1] != "session"]
+            self.now = [p for p in self.now if p[1] != "session"]
         elif rest.isdigit() and rest.isascii():
             if 1 <= int(rest) <= len(mine):
-                pins.pop(mine[int(rest) - 1])
+                self.now.pop(mine[int(rest) - 1])
         elif rest:
-            hit = next((i for i in mine if pins[i][0] == rest), None)
-            if hit is None:
-                hit = next((i for i in mine if pins[i][0].lower().startswith(rest.lower())), None)
-            if hit is not None:
-                pins.pop(hit)
-    return pins
+            same = [i for i in mine if self.now[i][0] == rest] or [i for i in mine if self.now[i][0].lower().startswith(rest.lower())]
+            if same:
+                self.now.pop(same[0])
+
+
+def fold(lines: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
+    """(text, source) of the pins left after (source, verb, rest) commands in order."""
+    pins = Pins()
+    for source, verb, rest in lines:
+        pins.apply(source, verb, rest)
+    return [(t, s) for t, s, _ in pins.now]
 
 
 def standing_instructions(turns: DataFrame, key: str = "conv_id", marker: str = MARKER) -> DataFrame:
-    """Pins in force after each conversation's last turn: key, pin_no, text, source.
+    """Pins in force after each conversation's last turn: key, pin_no, text, source, path (of the file that a system text quotes).
 
     System lines come first as file pins, then user lines in order. Only command
-    lines are shuffled; each conversation's few are folded in order.
+    lines are shuffled; Spark sorts them, and a task streams them with the pins of one
+    conversation at a time, however many commands it holds.
     """
     lines = turns.where(F.contains("text", F.lit(marker)) & F.col("role").isin("system", "user"))
-    lines = lines.select(key, "idx", "role", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("c", pin_command(F.col("line"), marker)).where("c is not null")
-    rows = lines.select(key, (F.col("role") == "user").cast("int").alias("late"), "idx", "n", F.col("c.verb").alias("verb"), F.col("c.rest").alias("rest"))
+    path = F.when(F.col("role") == "system", X.source_path(F.col("text")))
+    lines = lines.select(key, "idx", "role", path.alias("path"), F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("c", pin_command(F.col("line"), marker)).where("c is not null")
+    rows = lines.select(key, (F.col("role") == "user").cast("int").alias("late"), F.col("idx").cast("long").alias("idx"), "n", F.col("c.verb").alias("verb"), F.col("c.rest").alias("rest"), "path")
+    kind = to_arrow_type(rows.schema[key].dataType)
+
+    def run(batches):
+        now, pins, any_yet = None, Pins(), False
+
+        def done():
+            n = len(pins.now)
+            columns = list(zip(*pins.now, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array([now] * n, kind), pa.array(range(n), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=[key, "pin_no", "text", "source", "path"])
+
+        for b in batches:
+            for k, late, verb, rest, where in zip(*(b.column(c).to_pylist() for c in (key, "late", "verb", "rest", "path")), strict=True):
+                if any_yet and k != now:
+                    yield done()
+                    pins = Pins()
+                now, any_yet = k, True
+                pins.apply("session" if late else "file", verb, rest, where)
+        if any_yet:
+            yield done()
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, "late", "idx", "n")
+    return dealt.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, pin_no long, text string, source string, path string")
+
+
+def shown_pins(pins: DataFrame, key: str = "conv_id", most: int = BLOCK_MOST) -> DataFrame:
+    """``pins`` (key, pin_no, units) plus shown: in order, one that no longer fits ``most`` units is skipped, later ones may fit."""
+
+    def rule():
+        left = most
+
+        def step(units):
+            nonlocal left
+            fits = units <= left
+            left -= units if fits else 0
+            return fits
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["late", "idx", "n"])
-        pins = fold([("session" if late else "file", v, r) for late, v, r in zip(pdf.late, pdf.verb, pdf.rest, strict=True)])
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(pins), "pin_no": range(len(pins)), "text": [t for t, _ in pins], "source": [s for _, s in pins]})
+        return step
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, pin_no long, text string, source string")
+    return fold_rows(pins.select(key, "pin_no", F.col("units").cast("long")), key, ["pin_no"], rule, ["units"], StructField("shown", BooleanType()))
 
 
 def pin_block(pins: list[str], most: int = BLOCK_MOST) -> list[str]:
-    """Pins that fit the block in order; one that does not is skipped, later ones may."""
+    """Pins that fit the block in order, in UTF-16 units; one that does not is skipped, later ones may."""
     out, used = [], 0
     for p in pins:
-        if used + len(p) <= most:
+        n = len(p.encode("utf-16-be", "surrogatepass")) // 2
+        if used + n <= most:
             out.append(p)
-            used += len(p)
+            used += n
     return out

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ctxledger.functions import text as X
 from ctxledger.operators import facts as A
 from ctxledger.operators import paging as G
-from ctxledger.plans.cost import load, u16_sql
+from ctxledger.operators import profiles as P
+from ctxledger.plans.cost import DOC_COST_SQL, _with_model, load, u16_sql
 
 COLS, CHARS, LINES = 80, 28080, 90
 #: Indices of the patterns that SQL can find without offsets: e-mails and decimals never overlap.
@@ -27,7 +28,8 @@ def fact_sheet(spark, sf_dir):
 
 
 def head_tail_paging(spark, sf_dir):
-    return G.head_tail_paging(load(spark, sf_dir, "documents"), 1, COLS, CHARS, LINES)
+    out = G.head_tail_paging(load(spark, sf_dir, "documents"), 1, COLS, CHARS, LINES)
+    return out.withColumn("marker_sha8", X.sha8(G.paging_marker())).drop("units")
 
 
 def paging_candidates(spark, sf_dir):
@@ -35,6 +37,12 @@ def paging_candidates(spark, sf_dir):
     return G.paging_candidates(rows, 3000, F.contains("text", F.lit("Apache"))).select("doc_id", "reason")
 
 
+def paging_gate(spark, sf_dir):
+    """Tool results that are long enough, by whether their pages pay under the request's model."""
+    rows = _with_model(load(spark, sf_dir, "documents")).withColumn("is_error", F.col("doc_id") % 7 == 0)
+    return G.paging_candidates(P.resolve_profile(rows), 1500).select("doc_id", "model", "reason")
+
+
 def admit_by_budget(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("idx"), F.ceil(F.col("value") / 10).alias("pages"), F.floor(F.col("value") * 1000).alias("bytes"))
     return G.admit_by_budget(rows, 30, 120_000)
@@ -59,7 +67,7 @@ tok AS (
     FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+')) AS c FROM documents)
     WHERE length(c) BETWEEN 3 AND 512) WHERE length(rtrim(t, '.,;:!?')) BETWEEN 3 AND 120),
 cnt AS (SELECT doc_id, token, count(*) AS count FROM tok GROUP BY ALL)"""
-QUERIES = {f.__name__: f for f in (fact_counts_plain, fact_ranks_plain, fact_sheet, head_tail_paging, paging_candidates, admit_by_budget, static_tags_of_pages, codepoint_top)}
+QUERIES = {f.__name__: f for f in (fact_counts_plain, fact_ranks_plain, fact_sheet, head_tail_paging, paging_candidates, paging_gate, admit_by_budget, static_tags_of_pages, codepoint_top)}
 ORACLES = {
     "fact_counts_plain": f"WITH {_TOKENS} SELECT * FROM cnt",
     "fact_ranks_plain": f"""WITH {_TOKENS},
@@ -80,10 +88,13 @@ ORACLES = {
               coalesce(sum(hsz) FILTER (i < head), 0) AS hu, coalesce(sum(tsz) FILTER (in_tail), 0) AS tu FROM f GROUP BY doc_id),
         z AS (SELECT *, tail > 0 AND head_lines + tail < lines AS both_ends FROM g)
         SELECT doc_id, pages, lines, head_lines, CASE WHEN both_ends THEN tail ELSE 0 END AS tail_lines, lines - head_lines - CASE WHEN both_ends THEN tail ELSE 0 END AS omitted_lines,
-          (units - hu - CASE WHEN both_ends THEN tu ELSE 0 END)::BIGINT AS omitted_units FROM z""",
-    "paging_candidates": rf"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'is_error'
+          (units - hu - CASE WHEN both_ends THEN tu ELSE 0 END)::BIGINT AS omitted_units,
+          left(sha256(format('{{}}{{}}[ paging: omitted {{:,}} lines ({{:,}} chars) of content here. Original length: {{:,}} chars ({{:,}} lines, ~{{}} images). Showing first {{}} lines{{}} ]{{}}{{}}', chr(10), chr(10), (lines - head_lines - CASE WHEN both_ends THEN tail ELSE 0 END)::BIGINT,
+            (units - hu - CASE WHEN both_ends THEN tu ELSE 0 END)::BIGINT, units::BIGINT, lines::BIGINT, pages, head_lines, CASE WHEN both_ends THEN ' and last ' || tail || ' lines.' ELSE ' (tail elided).' END, chr(10), chr(10))), 8) AS marker_sha8 FROM z""",
+    "paging_candidates": rf"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'is_error' WHEN contains(text, 'Apache') THEN 'keep_sharp'
           WHEN {u16_sql(r"regexp_replace(regexp_replace(text, '[ \t]+(\n|\z)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} < 3000 THEN 'below_threshold'
-          WHEN contains(text, 'Apache') THEN 'keep_sharp' ELSE 'candidate' END AS reason FROM documents""",
+          ELSE 'candidate' END AS reason FROM documents""",
+    "paging_gate": f"""SELECT doc_id, model, CASE WHEN doc_id % 7 = 0 THEN 'is_error' WHEN chars < 1500 THEN 'below_threshold' WHEN NOT image_tokens < chars / 4.0 THEN 'not_profitable' ELSE 'candidate' END AS reason FROM ({DOC_COST_SQL})""",
     "codepoint_top": r"""
         WITH c AS (SELECT unnest(string_split(regexp_replace(text, '[\x00-\x7F]+', '', 'g'), '')) AS c FROM documents WHERE regexp_matches(text, '[^\x00-\x7F]'))
         SELECT 'U+' || lpad(hex(cp), 4, '0') AS codepoint, n FROM (SELECT unicode(c) AS cp, count(*) AS n FROM c WHERE c <> '' AND NOT unicode(c) BETWEEN 128 AND 232 GROUP BY ALL ORDER BY n DESC, cp LIMIT 20)""",

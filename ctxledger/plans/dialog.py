@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxledger.functions import text as X
 from ctxledger.operators import history as H
 from ctxledger.plans.cost import u16_sql
 
@@ -39,12 +40,20 @@ def latest_user(spark, sf_dir):
     return H.latest_user(turns(spark, sf_dir))
 
 
+def latest_user_pointer(spark, sf_dir):
+    """The newest user turn before the sixth, carried whole where it lies before a protected prefix; turns are made long by index."""
+    t = turns(spark, sf_dir).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), (1 + F.col("idx") * 30).cast("int")))
+    out = H.latest_user_pointer(t, 5, F.when(F.col("conv_id") % 2 == 0, 4).otherwise(0))
+    return out.select("conv_id", "idx", "verbatim", X.sha8(F.col("told")).alias("told_sha8"), X.u16len(F.col("told")).alias("units"))
+
+
 def protected_turns(spark, sf_dir):
     return H.protected_turns(turns(spark, sf_dir), 2).select("conv_id", "idx", "kept")
 
 
 def verbatim_users(spark, sf_dir):
-    return H.verbatim_users(turns(spark, sf_dir)).select("conv_id", "idx", "units", "verbatim")
+    out = H.verbatim_users(turns(spark, sf_dir), most=250, previews=2)
+    return out.select("conv_id", "idx", "units", "verbatim", X.sha8(F.col("shown")).alias("shown_sha8"))
 
 
 def chunk_plan(spark, sf_dir):
@@ -65,7 +74,7 @@ FROM conversations
 _TOTAL = f"SELECT *, sum(text_cost) OVER w AS text_total, sum(image_cost) OVER w AS image_total FROM ({_COST}) WINDOW w AS (PARTITION BY conv_id ORDER BY idx ROWS UNBOUNDED PRECEDING)"
 _SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
-QUERIES = {f.__name__: f for f in (transcript, history_cost, budget_trim, freeze_grid, first_user_key, latest_user, protected_turns, verbatim_users, chunk_plan, rewritten)}
+QUERIES = {f.__name__: f for f in (transcript, history_cost, budget_trim, freeze_grid, first_user_key, latest_user, latest_user_pointer, protected_turns, verbatim_users, chunk_plan, rewritten)}
 ORACLES = {
     "transcript": f"SELECT conv_id, string_agg({_TAGGED}, chr(10) || chr(10) ORDER BY turn) AS transcript FROM conversations WHERE coalesce(text, '') <> '' GROUP BY conv_id",
     "history_cost": f"SELECT conv_id, idx, text_cost::BIGINT AS text_cost, image_cost::BIGINT AS image_cost, text_total::BIGINT AS text_total, image_total::BIGINT AS image_total FROM ({_TOTAL})",
@@ -90,8 +99,15 @@ ORACLES = {
         SELECT conv_id, turn AS idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2
           OR coalesce(turn = max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id), false) AS kept FROM conversations""",
     "verbatim_users": f"""
-        SELECT conv_id, idx, units::BIGINT AS units, units <= 2000 AS verbatim FROM (
-          SELECT *, row_number() OVER (PARTITION BY conv_id, units > 2000 ORDER BY idx DESC) AS rn FROM ({_COST}) WHERE role = 'user') WHERE units <= 2000 OR rn <= 8""",
+        SELECT conv_id, idx, units::BIGINT AS units, units <= 250 AS verbatim, left(sha256(CASE WHEN units <= 250 THEN text WHEN length(one) > 300 THEN left(one, 300) || '…' ELSE one END), 8) AS shown_sha8 FROM (
+          SELECT *, regexp_replace(regexp_replace(text, '{_SPACE}', ' ', 'g'), '^ | $', '', 'g') AS one, row_number() OVER (PARTITION BY conv_id, units > 250 ORDER BY idx DESC) AS rn FROM ({_COST}) WHERE role = 'user') WHERE units <= 250 OR rn <= 2""",
+    "latest_user_pointer": f"""
+        WITH t AS (SELECT conv_id, turn, repeat(text || ' ', 1 + turn * 30) AS text FROM conversations WHERE role = 'user' AND turn < 5 AND regexp_matches(text, '\\S')),
+        u AS (SELECT conv_id, max(turn) AS idx, arg_max(text, turn) AS text FROM t GROUP BY conv_id),
+        v AS (SELECT conv_id, idx, conv_id % 2 = 0 AND idx < 4 AS verbatim, trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) AS one, trim(text, ' ') AS whole FROM u),
+        w AS (SELECT conv_id, idx, verbatim, CASE WHEN verbatim THEN CASE WHEN length(whole) <= 4000 THEN whole ELSE left(whole, 2600) || chr(10) || '[… middle elided (' || (length(whole) - 4000) || ' chars) …]' || chr(10) || right(whole, 1400) END
+          WHEN length(one) > 300 THEN rtrim(left(one, 300)) || '...' ELSE one END AS told FROM v)
+        SELECT conv_id, idx, verbatim, left(sha256(told), 8) AS told_sha8, length(told)::BIGINT AS units FROM w""",
     "chunk_plan": f"SELECT conv_id, idx // 3 AS chunk, min(idx) AS from_idx, max(idx) AS to_idx, sum(text_cost)::BIGINT AS text_chars, count(*) AS turns, count(*) = 3 AS closed FROM ({_COST}) GROUP BY ALL",
     "rewritten": f"""
         WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2

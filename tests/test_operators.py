@@ -340,6 +340,64 @@ def test_duplicates_lease(spark):
     assert [r["accepted"] for r in got] == [True, False, False, True, False, True]
 
 
+def test_pins_equal_plain_lists(spark):
+    """Random commands over several conversations, hot ones too, against lists changed one command at a time."""
+    rng = random.Random(11)
+    words = ["keep", "Keep it", "be kind", "x" * 305, "é" * 200, "😀" * 151, ""]
+    rows = []
+    for c in [1, 2, None, *[7] * 6, 9]:
+        for i in range(rng.randint(1, 12)):
+            lines = [rng.choice(["chat", f"@ctx pin {rng.choice(words)}", f" @ctx\tpin {rng.choice(words)} ", f"@ctx unpin {rng.choice(['all', '1', '2', '9', 'keep', 'KEEP', 'be', '', 'é'])}", "@ctx pinned no"]) for _ in range(rng.randint(1, 5))]
+            rows.append((c, len(rows), rng.choice(["user", "user", "system", "assistant"]), "\n".join(lines)))
+    rows.append((12, 0, "system", "Contents of /a/b.md (notes):\n@ctx pin from a file\n@ctx pin\n@ctx pin"))
+    expect = {}
+    for c in {r[0] for r in rows}:
+        now = []
+        mine = [(role == "user", i, role, t) for k, i, role, t in rows if k == c and role != "assistant"]
+        for _, _, role, t in sorted(mine):
+            for line in t.split("\n"):
+                part = line.strip(" ").split("\t" if "\t" in line else " ", 2) if line.strip(" ").startswith("@ctx") else []
+                if len(part) < 2 or part[1].split(" ")[0] not in ("pin", "unpin"):
+                    continue
+                verb, rest = (line.strip(" ")[5:].strip() + " ").split(" ", 1)
+                rest = rest.strip(" ")
+                if verb == "pin":
+                    cut = rest if len(rest.encode("utf-16-be")) <= 600 else rest.encode("utf-16-be")[:600].decode("utf-16-be") + pins.CUT_NOTE
+                    if role == "system" and (cut or now and now[-1][0]) or role == "user" and cut and cut not in [x for x, _ in now]:
+                        now.append((cut, "file" if role == "system" else "session"))
+                else:
+                    own = [p for p in now if p[1] == "session"]
+                    gone = own if rest == "all" else [own[int(rest) - 1]] if rest.isdigit() and int(rest) <= len(own) else [] if rest.isdigit() or not rest else ([p for p in own if p[0] == rest] or [p for p in own if p[0].lower().startswith(rest.lower())])[:1]
+                    now = [p for p in now if not any(p is g for g in gone)]
+        expect[c] = now
+    df = spark.createDataFrame(rows, "conv_id long, idx long, role string, text string").repartition(3)
+    got = {}
+    found = pins.standing_instructions(df)
+    for r in found.orderBy("conv_id", "pin_no").collect():
+        got.setdefault(r["conv_id"], []).append((r["text"], r["source"]))
+    assert got == {c: x for c, x in expect.items() if x}
+    assert {r["path"] for r in found.where("conv_id = 12").collect()} == {"/a/b.md"} and got[12] == [("from a file", "file"), ("", "file")]
+    units = found.withColumn("units", F.octet_length(F.encode("text", "UTF-16BE")) / 2)
+    for r in pins.shown_pins(units, most=400).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pin_no", "shown"))).alias("s")).collect():
+        texts = [t for t, _ in got[r["conv_id"]]]
+        left, shown = 400, []
+        for t in texts:
+            n = len(t.encode("utf-16-be")) // 2
+            shown.append(n <= left)
+            left -= n if n <= left else 0
+        assert [x["shown"] for x in r["s"]] == shown
+
+
+def test_stale_notes_and_outgoing_units(spark):
+    rows = [(1, 0, 0, "user", "tool_result", None, None, None, "ok (file state is current in your context — no need to Read it back) x", False), (1, 0, 1, "user", "text", "hé😀", None, None, None, False)]
+    df = spark.createDataFrame(rows, "request_id long, msg_idx long, block_idx int, role string, type string, text string, tool_name string, tool_input string, result_text string, is_error boolean")
+    assert blocks.transcript_text(df).first()["text"] == f"[tool_result]\nok {blocks.STALE} x\n\nhé😀"
+    systems = spark.createDataFrame([(1, "four"), (2, None)], "request_id long, text string")
+    tool = spark.createDataFrame([(1, "t", "what it does", '{"type":"object"}'), (3, None, None, None)], "request_id long, name string, description string, schema_json string")
+    got = {r["request_id"]: r["chars"] for r in blocks.outgoing_chars(df, systems, tool).collect()}
+    assert got == {1: 70 + 4 + 4 + 1 + 12 + 17, 2: 0, 3: 0} and blocks.outgoing_chars(df).first()["chars"] == 74
+
+
 def test_pins(spark):
     assert pins.fold([("session", "pin", "a"), ("session", "pin", "a"), ("session", "pin", "Bee"), ("session", "unpin", "be"), ("file", "pin", "f"), ("file", "pin", "f")]) == [("a", "session"), ("f", "file"), ("f", "file")]
     assert pins.fold([("file", "pin", "f"), ("session", "pin", "x"), ("session", "unpin", "1"), ("session", "unpin", "9")]) == [("f", "file")]
