@@ -62,30 +62,40 @@ def paging_candidates(results: DataFrame, least: int = 6000, keep_sharp=None, ca
     column, a result whose pages (``cap`` at most) do not pay is not_profitable: ``pays`` (image tokens, text tokens)
     is the strategy of the gate.
     """
-    text = X.packed(F.col("text"))
-    rows = results.withColumn("_units", X.u16len(text))
+    rows = priced(results, cap)
     sharp = F.lit(False) if keep_sharp is None else F.coalesce(keep_sharp, F.lit(False))
-    reason = F.when(F.coalesce("is_error", F.lit(False)), "is_error").when(sharp, "keep_sharp").when(F.col("_units") < least, "below_threshold")
+    reason = F.when(F.coalesce("is_error", F.lit(False)), "is_error").when(sharp, "keep_sharp").when(F.col("units") < least, "below_threshold")
     if "profile" in results.columns:
-        rows = rows.withColumn("_rows", X.packed_rows(F.col("_units"), F.col("profile.strip_cols")))
-        most = F.lit(cap) * G.lines_per_page(F.col("profile.max_height"), F.col("profile.cell_h"), F.col("profile.strip_cols"))
-        rows = G.with_image_tokens(rows.withColumn("_rows", F.least(F.col("_rows"), most)), "_rows", out="_image")
-        reason = reason.when(~pays(F.col("_image"), X.text_tokens(F.col("_units"), per_token)), "not_profitable")
-    return rows.withColumn("reason", reason.otherwise("candidate")).drop("_units", "_rows", "_image")
+        reason = reason.when(~pays(F.col("image_tokens"), X.text_tokens(F.col("units"), per_token)), "not_profitable")
+    return rows.withColumn("reason", reason.otherwise("candidate"))
 
 
-def admit_by_budget(candidates: DataFrame, images: int, size: int, key: str = "request_id") -> DataFrame:
+def priced(results: DataFrame, cap: int = 10) -> DataFrame:
+    """``results`` (text, and profile if pages are to be priced) plus units of the packed text, and under a profile pages (``cap`` at most) and their image_tokens."""
+    rows = results.withColumn("units", X.u16len(X.packed(F.col("text"))))
+    if "profile" not in results.columns:
+        return rows
+    p = F.col("profile")
+    rows = rows.withColumns({"_per": G.lines_per_page(p["max_height"], p["cell_h"], p["strip_cols"]), "_rows": X.packed_rows(F.col("units"), p["strip_cols"])})
+    rows = rows.withColumns({"_rows": F.least(F.col("_rows"), cap * F.col("_per")), "pages": F.least(F.lit(cap), G.ceil_div(F.col("_rows"), F.col("_per")))})
+    return G.with_image_tokens(rows.drop("_per"), "_rows").drop("_rows")
+
+
+def admit_by_budget(candidates: DataFrame, images: int | str, size: int, key: str = "request_id") -> DataFrame:
     """``candidates`` (key, idx, pages, bytes) plus admitted: in order, one that would exceed a budget is skipped and later, smaller ones may pass.
 
+    ``images`` is a number or the column that holds a request's own.
+
     The rule depends on what was admitted before, so it is a fold over each
     request's candidates, not a running sum.
     """
 
     def rule():
-        left, room = images, size
+        left, room = None, size
 
-        def step(pages, size_):
+        def step(pages, size_, images_):
             nonlocal left, room
+            left = images_ if left is None else left
             if pages > left or size_ > room:
                 return False
             left, room = left - pages, room - size_
@@ -93,8 +103,9 @@ def admit_by_budget(candidates: DataFrame, images: int, size: int, key: str = "r
 
         return step
 
-    rows = candidates.select(key, F.col("idx").cast("long"), F.col("pages").cast("long"), F.col("bytes").cast("long"))
-    return fold(rows, key, ["idx"], rule, ["pages", "bytes"], StructField("admitted", BooleanType()))
+    own = F.col(images) if isinstance(images, str) else F.lit(images)
+    rows = candidates.select(key, F.col("idx").cast("long"), F.col("pages").cast("long"), F.col("bytes").cast("long"), own.cast("long").alias("_images"))
+    return fold(rows, key, ["idx"], rule, ["pages", "bytes", "_images"], StructField("admitted", BooleanType())).drop("_images")
 
 
 def codepoints(texts: DataFrame, key: str = "doc_id") -> DataFrame:

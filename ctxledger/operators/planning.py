@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ctxledger.functions import geometry as G
 from ctxledger.functions import text as X
 from ctxledger.operators import history as H
+from ctxledger.operators import paging as K
 from ctxledger.operators import profiles as P
 
 #: Floors of a slab in characters and tokens, head and tail of a verbatim task.
@@ -165,9 +166,47 @@ def compaction_plan(requests: DataFrame, bases: tuple[str, ...] = ("*",), per_to
     rows = P.resolve_profile(rows)
     rows = rows.withColumns({"rows": X.packed_rows(F.col("chars"), F.col("profile.strip_cols")), "_floor": below_min(F.col("_text"), F.col("profile"))})
     rows = G.with_image_tokens(rows).withColumn("text_tokens", X.text_tokens(F.col("chars"), per_token))
+    per = G.lines_per_page(F.col("profile.max_height"), F.col("profile.cell_h"), F.col("profile.strip_cols"))
     reason = (
         F.when(~P.model_allowed(F.col("model"), bases), "unsupported_model").when(F.col("chars") == 0, "no_static_context").when(F.col("_floor"), F.when(F.col("profile.min_tokens").isNotNull(), "below_min_tokens").otherwise("below_min_chars"))
         .when(~G.profitable(F.col("image_tokens"), F.col("text_tokens")), "not_profitable").otherwise("applied")
     )
-    saved = F.when(reason == "applied", F.col("text_tokens") - F.col("image_tokens")).otherwise(0.0)
-    return rows.select("request_id", "model", reason.alias("reason"), "chars", "image_tokens", "text_tokens", saved.alias("saved_tokens"))
+    rows = rows.withColumn("reason", reason)
+    applied = F.col("reason") == "applied"
+    saved = F.when(applied, F.col("text_tokens") - F.col("image_tokens")).otherwise(0.0)
+    return rows.select("request_id", "model", "reason", "chars", "image_tokens", "text_tokens", saved.alias("saved_tokens"), F.when(applied, G.ceil_div(F.col("rows"), per)).otherwise(0).alias("pages"))
+
+
+def compaction_plans(requests: DataFrame, turns: DataFrame, results: DataFrame, history: dict, wire_images: int = 95, wire_bytes: int = 2**62, least: int = 6000, cap: int = 10, bases: tuple[str, ...] = ("*",), per_token: float = 2.0, result_per_token: float = 4.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plans, chunks, results) of whole requests: static text first, then history, then tool results in what is left of the images.
+
+    requests: request_id, model, text (the static text); turns: as history_plan, which takes
+    ``history``; results: request_id, idx, text, is_error. plans, a row per request: request_id, model, reason (of
+    the static text), history_reason, pages and characters of static text, history and results, results_paged, pages (all), saved_tokens
+    (of static text and results) and passthrough (reason to number of results that stay text). A candidate that the
+    images left can't hold is image_budget; later, smaller ones may pass. Where the model is not
+    supported nothing becomes pages. results: request_id, idx, pages, reason.
+    """
+    slab = compaction_plan(requests, bases, per_token)
+    plans, chunks = history_plan(turns, **history)
+    plans = plans.select("request_id", F.col("reason").alias("history_reason"), F.when(F.col("reason") == "collapsed", F.col("pages")).otherwise(0).alias("history_pages"), F.when(F.col("reason") == "collapsed", F.col("text_chars")).otherwise(0).alias("history_chars"))
+    allowed = F.col("reason") != "unsupported_model"
+    base = slab.join(plans, "request_id", "left")
+    base = base.withColumns({"history_reason": F.when(allowed, F.coalesce("history_reason", F.lit("no_history"))).otherwise("unsupported_model"), **{c: F.when(allowed, F.coalesce(c, F.lit(0))).otherwise(0).cast("long") for c in ("history_pages", "history_chars")}})
+    base = base.withColumn("left", F.greatest(F.lit(0), F.lit(wire_images) - F.col("pages") - F.col("history_pages")))
+    own = P.resolve_profile(results.join(base.select("request_id", "model", "left", allowed.alias("_allowed")), "request_id"))
+    own = K.paging_candidates(own, least, cap=cap, per_token=result_per_token)
+    own = own.withColumn("_saved", X.text_tokens(F.col("units"), result_per_token) - F.col("image_tokens"))
+    own = own.withColumn("reason", F.when(F.col("_allowed"), F.col("reason")).otherwise("unsupported_model")).select("request_id", F.col("idx").cast("long").alias("idx"), "reason", "pages", "left", "units", "_saved")
+    tried = K.admit_by_budget(own.where("reason = 'candidate'").withColumn("bytes", F.col("units")), "left", wire_bytes).select("request_id", "idx", "admitted")
+    own = own.join(tried, ["request_id", "idx"], "left").withColumn("reason", F.when(F.col("admitted"), "paged").when(F.col("reason") == "candidate", "image_budget").otherwise(F.col("reason")))
+    paged = lambda c: F.sum(F.when(F.col("reason") == "paged", F.col(c)).otherwise(0))
+    sums = own.groupBy("request_id").agg(F.count_if(F.col("reason") == "paged").alias("results_paged"), paged("pages").cast("long").alias("result_pages"), paged("units").cast("long").alias("result_chars"), paged("_saved").cast("double").alias("_saved"))
+    stays = own.where("reason <> 'paged'").groupBy("request_id", "reason").agg(F.count("*").alias("n")).groupBy("request_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("passthrough"))
+    out = base.join(sums, "request_id", "left").join(stays, "request_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = out.select(
+        "request_id", "model", "reason", "history_reason", F.col("pages").cast("long").alias("static_pages"), F.when(F.col("reason") == "applied", F.col("chars")).otherwise(0).alias("static_chars"), "history_pages", "history_chars", zero("results_paged"), zero("result_pages"), zero("result_chars"),
+        (F.col("pages") + F.col("history_pages") + F.coalesce("result_pages", F.lit(0))).cast("long").alias("pages"), (F.col("saved_tokens") + F.coalesce("_saved", F.lit(0.0))).alias("saved_tokens"), "passthrough",
+    )
+    return out, chunks, own.select("request_id", "idx", "pages", "reason")

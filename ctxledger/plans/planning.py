@@ -12,7 +12,7 @@ from ctxledger.operators import pins as N
 from ctxledger.operators import planning as L
 from ctxledger.operators import usage as U
 from ctxledger.plans import activity as E
-from ctxledger.plans.cost import _with_model, load, u16_sql
+from ctxledger.plans.cost import _COMPACT, _with_model, load, u16_sql
 from ctxledger.plans.dialog import turns
 
 
@@ -30,6 +30,28 @@ def _messages(spark, sf_dir) -> DataFrame:
     return E.items(spark, sf_dir).select("request_id", "idx", (F.col("type") == R.CALL).cast("long").alias("uses"), one(R.CALL).alias("opens"), one(R.OUTPUT).alias("closes"))
 
 
+WIRE, RESULT_LEAST = 9, 1500
+
+
+def _whole_plans(spark, sf_dir):
+    """Sessions as requests: the document of the same number is the static text, those that leave it modulo 150 the tool results."""
+    turns_ = history_turns(spark, sf_dir)
+    docs = load(spark, sf_dir, "documents")
+    model = F.when(F.col("request_id") % 9 == 8, "mistral").when(F.col("request_id") % 2 == 0, "claude-opus-5").otherwise("claude-sonnet-4-5")
+    requests = turns_.select("request_id").distinct().join(docs.select(F.col("doc_id").alias("request_id"), "text"), "request_id", "left").withColumn("model", model)
+    results = docs.select(F.pmod("doc_id", F.lit(150)).alias("request_id"), F.col("doc_id").alias("idx"), "text", (F.col("doc_id") % 7 == 0).alias("is_error"))
+    return L.compaction_plans(requests, turns_, results.where("idx >= 150"), HISTORY, WIRE, least=RESULT_LEAST, bases=("claude",))
+
+
+def compaction_plans(spark, sf_dir):
+    """Whole plans: static text, history and tool results of each request under one count of images."""
+    return _whole_plans(spark, sf_dir)[0].drop("passthrough")
+
+
+def compaction_results(spark, sf_dir):
+    return _whole_plans(spark, sf_dir)[2]
+
+
 def closed_prefix_messages(spark, sf_dir):
     return L.closed_prefix_messages(_messages(spark, sf_dir), 40)
 
@@ -122,7 +144,7 @@ def command_turns(spark, sf_dir):
     return N.command_turns(t).select("conv_id", "idx", F.col("commands").cast("long").alias("commands"), "only_commands")
 
 
-QUERIES = {f.__name__: f for f in (compaction_plan, plan_reasons, closed_prefix_messages, history_plan, history_chunks, chunk_ends, bucket_chars, page_totals, baseline_tokens, verbatim_tasks, request_outcomes, unreferenced, token_composition, collapsible_units, normalized_dialog, command_turns)}
+QUERIES = {f.__name__: f for f in (compaction_plan, plan_reasons, compaction_plans, compaction_results, closed_prefix_messages, history_plan, history_chunks, chunk_ends, bucket_chars, page_totals, baseline_tokens, verbatim_tasks, request_outcomes, unreferenced, token_composition, collapsible_units, normalized_dialog, command_turns)}
 _HISTORY = f"""WITH {E._ITEMS},
  k AS (SELECT *, (type = 'function_call')::INT AS uses, CASE WHEN type = 'function_call' THEN 1 WHEN type = 'function_call_output' THEN -1 END AS kind, CASE WHEN idx % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, repeat(text, (idx % 9)::INT) AS body FROM items),
  b AS (SELECT *, CASE WHEN call_id IS NOT NULL AND kind <> lag(kind, 1, -1) OVER (PARTITION BY request_id, call_id ORDER BY idx) THEN kind ELSE 0 END AS delta FROM k),
@@ -145,7 +167,27 @@ _HISTORY = f"""WITH {E._ITEMS},
  o AS (SELECT m.request_id, rng, markers, goal, st, idx // st AS cell, ceil(sum(tc) / {HISTORY['page_chars']}.0) + ceil(sum(ic) / {HISTORY['page_chars']}.0) AS pg FROM m JOIN n USING (request_id), (SELECT (4 * 2 ** x)::BIGINT AS st FROM (SELECT unnest(range(13))::INT AS x)) GROUP BY ALL),
  q AS (SELECT request_id, rng, markers, goal, st, sum(pg)::BIGINT AS pages FROM o GROUP BY ALL),
  u AS (SELECT request_id, min(st)::BIGINT AS step, min_by(pages, st) AS pages, min(markers) AS markers, min(goal) AS goal FROM q WHERE st >= rng OR pages + markers <= goal GROUP BY request_id)"""
+_WHOLE = f"""
+h AS ({_HISTORY} SELECT request_id, reason AS history_reason, CASE WHEN reason = 'collapsed' THEN pages ELSE 0 END AS hp, CASE WHEN reason = 'collapsed' THEN text_chars ELSE 0 END AS hc FROM a2 LEFT JOIN u USING (request_id)),
+doc AS (SELECT doc_id, {u16_sql(_COMPACT.format("coalesce(text, '')"))}::BIGINT AS chars FROM documents),
+dr AS (SELECT *, greatest(1, ceil(chars / 312.0))::BIGINT AS nrows FROM doc),
+dp AS (SELECT *, ceil(nrows / 90.0)::BIGINT AS np, ceil((((nrows - 1) // 90) * ceil(1568 / 28.0) * ceil(728 / 28.0) + ceil(1568 / 28.0) * ceil((8 + ((nrows - 1) % 90 + 1) * 8) / 28.0))::DOUBLE * 1.10::DOUBLE) AS image FROM dr),
+rq AS (SELECT DISTINCT user_id AS request_id, CASE WHEN user_id % 9 = 8 THEN 'mistral' WHEN user_id % 2 = 0 THEN 'claude-opus-5' ELSE 'claude-sonnet-4-5' END AS model FROM events),
+sl AS (SELECT request_id, model, coalesce(chars, 0) AS chars, coalesce(np, 0) AS np, coalesce(image, 0) AS image, CASE WHEN model = 'mistral' THEN 'unsupported_model' WHEN coalesce(chars, 0) = 0 THEN 'no_static_context' WHEN chars < 2000 THEN 'below_min_chars' WHEN NOT image < chars / 2.0 THEN 'not_profitable' ELSE 'applied' END AS reason FROM rq LEFT JOIN dp ON doc_id = request_id),
+bs AS (SELECT sl.*, CASE WHEN model = 'mistral' THEN 'unsupported_model' ELSE coalesce(history_reason, 'no_history') END AS history_reason, CASE WHEN model = 'mistral' THEN 0 ELSE coalesce(hp, 0) END AS hp, CASE WHEN model = 'mistral' THEN 0 ELSE coalesce(hc, 0) END AS hc, CASE WHEN reason = 'applied' THEN np ELSE 0 END AS sp FROM sl LEFT JOIN h USING (request_id)),
+rs AS (SELECT bs.request_id, doc_id AS idx, dp.np AS pages, dp.chars, chars / 4.0 - dp.image AS saved, greatest(0, {WIRE} - sp - hp) AS room, CASE WHEN model = 'mistral' THEN 'unsupported_model' WHEN doc_id % 7 = 0 THEN 'is_error' WHEN dp.chars < {RESULT_LEAST} THEN 'below_threshold' WHEN NOT dp.image < dp.chars / 4.0 THEN 'not_profitable' ELSE 'candidate' END AS reason
+  FROM (SELECT request_id, model, sp, hp FROM bs) bs JOIN dp ON doc_id % 150 = request_id AND doc_id >= 150),
+cd AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY idx) AS o FROM rs WHERE reason = 'candidate'),
+ad(request_id, o, idx, room, took) AS (
+  SELECT request_id, o, idx, room - CASE WHEN pages <= room THEN pages ELSE 0 END, pages <= room FROM cd WHERE o = 1
+  UNION ALL SELECT cd.request_id, cd.o, cd.idx, ad.room - CASE WHEN cd.pages <= ad.room THEN cd.pages ELSE 0 END, cd.pages <= ad.room FROM ad JOIN cd ON cd.request_id = ad.request_id AND cd.o = ad.o + 1),
+fin AS (SELECT rs.*, CASE WHEN took THEN 'paged' WHEN reason = 'candidate' THEN 'image_budget' ELSE reason END AS why FROM rs LEFT JOIN ad USING (request_id, idx))"""
 ORACLES = {
+    "compaction_results": f"WITH RECURSIVE {_WHOLE} SELECT request_id, idx, pages, why AS reason FROM fin",
+    "compaction_plans": f"""WITH RECURSIVE {_WHOLE},
+        su AS (SELECT request_id, count(*) AS n, sum(pages)::BIGINT AS pages, sum(chars)::BIGINT AS chars, sum(saved) AS saved FROM fin WHERE why = 'paged' GROUP BY request_id)
+        SELECT request_id, model, reason, history_reason, sp AS static_pages, CASE WHEN reason = 'applied' THEN bs.chars ELSE 0 END AS static_chars, hp AS history_pages, hc AS history_chars, coalesce(n, 0) AS results_paged, coalesce(su.pages, 0) AS result_pages, coalesce(su.chars, 0) AS result_chars,
+          sp + hp + coalesce(su.pages, 0) AS pages, (CASE WHEN reason = 'applied' THEN bs.chars / 2.0 - bs.image ELSE 0 END + coalesce(saved, 0))::DOUBLE AS saved_tokens FROM bs LEFT JOIN su USING (request_id)""",
     "history_plan": f"{_HISTORY} SELECT request_id, reason, turns, collapse_len, trimmed, text_chars, step, pages, markers, goal FROM a2 LEFT JOIN u USING (request_id)",
     "history_chunks": f"""{_HISTORY}, v AS (SELECT m.*, (idx + 1) % step = 0 OR marked OR idx = collapse_len - 1 AS fin FROM m JOIN u USING (request_id)),
         w AS (SELECT *, sum(fin::INT) OVER (PARTITION BY request_id ORDER BY idx) - fin::INT AS chunk FROM v)
