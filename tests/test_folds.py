@@ -124,3 +124,34 @@ def test_state_expires(spark, tmp_path):
             query.processAllAvailable()
         query.stop()
         assert {r["seq"]: r["accepted"] for r in spark.table(f"keep{keep}").collect()} == {1: True, 2: True, 3: expect, 4: False}
+
+
+def test_whole_plans_share_the_images(spark, tmp_path):
+    """Static text first, then history, then results in order while images are left; written and read again as they are."""
+    from ctxledger.sources import io
+
+    big = "word " * 30_000
+    requests = spark.createDataFrame([(1, "claude-opus-5", big), (2, "mistral", big), (3, "claude-opus-5", None)], "request_id long, model string, text string")
+    turns = spark.createDataFrame([(r, i, "user", "say " * 40, 0, [], []) for r in (1, 2, 3) for i in range(12)], "request_id long, idx long, role string, text string, uses long, opens array<string>, closes array<string>")
+    results = spark.createDataFrame([(r, i, t, e) for r in (1, 2, 3) for i, (t, e) in enumerate([(big, False), (big, True), (big[:9000], False), ("short", False), (big[:70_000], False)])], "request_id long, idx long, text string, is_error boolean")
+    history = dict(budget=80, page_chars=400, base=4, keep_tail=2, min_prefix=4, snap=0)
+    plans, chunks, told = planning.compaction_plans(requests, turns, results, history, wire_images=17, least=6000, bases=("claude",), result_per_token=3.0)
+    got = {r["request_id"]: r for r in plans.collect()}
+    own = {(r["request_id"], r["idx"]): (r["reason"], r["pages"]) for r in told.collect()}
+    one = got[1]
+    assert one["reason"] == "applied" and one["static_pages"] == -(-(-(-len(big.rstrip()) // 312)) // 90) and one["history_reason"] == "collapsed" and one["history_pages"] > 0
+    left = 17 - one["static_pages"] - one["history_pages"]
+    expect = {}
+    for i in (0, 2, 4):
+        pages = own[1, i][1]
+        expect[i] = "paged" if pages <= left else "image_budget"
+        left -= pages if pages <= left else 0
+    assert {i: own[1, i][0] for i in expect} == expect and set(expect.values()) == {"paged", "image_budget"}
+    assert own[1, 1][0] == "is_error" and own[1, 3][0] == "below_threshold"
+    assert one["pages"] == one["static_pages"] + one["history_pages"] + one["result_pages"] and one["passthrough"]["is_error"] == 1
+    assert got[2]["pages"] == 0 and got[2]["passthrough"] == {"unsupported_model": 5} and got[3]["reason"] == "no_static_context" and got[3]["static_pages"] == 0
+    io.write_plans(plans.withColumn("protocol", F.lit("messages")), str(tmp_path / "plans"))
+    io.write_plans(chunks, str(tmp_path / "chunks"), "json")
+    again = spark.read.parquet(str(tmp_path / "plans"))
+    assert sorted(map(str, again.select(*plans.columns).collect())) == sorted(map(str, got.values())) and (tmp_path / "plans" / "protocol=messages").is_dir()
+    assert spark.read.json(str(tmp_path / "chunks")).count() == chunks.count() > 0
