@@ -30,6 +30,8 @@ LANDMARKS = 256
 TRAIN_ROWS = 3000
 LANGUAGES = 500
 RIDGE = 1e-3
+#: Rows that are unpacked at once.
+BLOCK = 64
 #: Share of the labelled rows that fitted the model whose ridge score lies under the floor of keep_known.
 UNLIKE = 0.001
 _LETTER = re.compile(r"[^\W\d_]")  # letters, and a few numerals that isalpha() tells apart
@@ -42,39 +44,50 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "bits"])
 
 
+def _unit(packed: np.ndarray) -> np.ndarray:
+    """Packed presence rows as vectors of length one."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+    return x
+
+
 def fit(packed: np.ndarray, lang: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, folded matrix, bias) from packed presence rows and their languages."""
+    """(languages, folded matrix, bias) from packed presence rows and their languages.
+
+    Rows are unpacked BLOCK at a time: all of them would take 200 MB of the driver.
+    """
     names = sorted(set(lang.tolist()))
-    unit = np.unpackbits(packed, axis=1).astype(np.float32)
-    unit /= np.sqrt(np.maximum(1, unit.sum(axis=1, keepdims=True)))
     marks = []  # landmarks: the languages take turns
     queues = {c: np.flatnonzero(lang == c).tolist() for c in names}
     most = max(LANDMARKS, len(names))
     while len(marks) < most and any(queues.values()):
         marks += [q.pop(0) for q in queues.values() if q]
     marks = marks[:most]
-    land = unit[marks]
+    land = np.concatenate([_unit(packed[marks[lo : lo + BLOCK]]) for lo in range(0, len(marks), BLOCK)])
     inner = (land @ land.T).astype(np.float64)
     value, vector = np.linalg.eigh(inner)
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])  # K_mm ** -1/2 on its range
-    z = (unit @ land.T).astype(np.float64) @ whiten
+    z = np.concatenate([(_unit(packed[lo : lo + BLOCK]) @ land.T).astype(np.float64) @ whiten for lo in range(0, len(packed), BLOCK)])
     y = np.where(lang[:, None] == np.array(names)[None], 1.0, -1.0)
     share = np.array([np.mean(lang == c) for c in lang])
     row = (1 / share / len(names))[:, None]  # every language weighs the same
     mean_z, mean_y = (row * z).sum(0) / row.sum(), (row * y).sum(0) / row.sum()
     zc, yc = z - mean_z, y - mean_y
     alpha = np.linalg.solve(zc.T @ (row * zc) + RIDGE * len(z) * np.eye(z.shape[1]), zc.T @ (row * yc))
-    folded = land.T.astype(np.float64) @ (whiten @ alpha)
-    return names, folded.astype(np.float32), (mean_y - mean_z @ alpha)
+    dual = whiten @ alpha
+    folded = np.empty((land.shape[1], len(names)), np.float32)
+    for lo in range(0, len(folded), 1024):
+        folded[lo : lo + 1024] = land[:, lo : lo + 1024].T.astype(np.float64) @ dual
+    return names, folded, (mean_y - mean_z @ alpha)
 
 
 def floor(fitted, packed: np.ndarray, unlike: float) -> float:
     """The ridge score of the best language that all but the share ``unlike`` of the packed rows reach."""
     _, folded, bias = fitted
     best = []
-    for lo in range(0, len(packed), 64):
-        x = np.unpackbits(packed[lo : lo + 64], axis=1).astype(np.float32)
+    for lo in range(0, len(packed), BLOCK):
+        x = np.unpackbits(packed[lo : lo + BLOCK], axis=1).astype(np.float32)
         best.append(((x @ folded) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True))) + bias).max(axis=1))
     return float(np.quantile(np.concatenate(best), unlike))
 

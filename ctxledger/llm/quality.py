@@ -126,6 +126,7 @@ def quality_model(docs: DataFrame):
         return np.zeros(1 << LOG2, np.float32), 1.0
     packed = np.frombuffer(b"".join(rows.bits), np.uint8).reshape(len(rows), -1)
     y = np.array([labels[d] for d in rows.doc_id])
+    del rows  # the driver fits on one copy
     weight = np.where(y < 0.5, 1.0, 3.0)  # losing a good document costs more
     return P.fit_logistic(packed, y, weight)
 

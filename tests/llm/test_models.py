@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -184,3 +185,27 @@ def test_every_language_has_a_landmark(monkeypatch):
     names, folded, bias = langid.fit(np.packbits(rows, axis=1), lang)
     unit = rows / np.sqrt(rows.sum(axis=1, keepdims=True))
     assert len(names) == 30 and (np.array(names)[(unit @ folded + bias).argmax(axis=1)] == lang).all()
+
+
+def test_language_fit_unpacks_rows_in_blocks():
+    """A fit on as many rows as sample() gives holds a few blocks of them unpacked, and its weights are those of the whole matrix."""
+    rng = np.random.default_rng(4)
+    packed = np.packbits(rng.random((langid.TRAIN_ROWS, 1 << langid.LOG2), np.float32) < 0.02, axis=1)
+    lang = np.array([f"l{i % 7}" for i in range(len(packed))])
+    tracemalloc.start()
+    names, folded, bias = langid.fit(packed, lang)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    unit = np.unpackbits(packed, axis=1).astype(np.float32)
+    unit /= np.sqrt(unit.sum(axis=1, keepdims=True))
+    land = unit[: langid.LANDMARKS]  # the languages take turns
+    value, vector = np.linalg.eigh((land @ land.T).astype(np.float64))
+    whiten = vector / np.sqrt(value)
+    z = (unit @ land.T) @ whiten
+    y = np.where(lang[:, None] == np.array(names), 1.0, -1.0)
+    row = np.array([len(lang) / np.sum(lang == x) / len(names) for x in lang])[:, None]
+    mean_z, mean_y = (row * z).sum(0) / row.sum(), (row * y).sum(0) / row.sum()
+    alpha = np.linalg.solve((z - mean_z).T @ (row * (z - mean_z)) + langid.RIDGE * len(z) * np.eye(len(land)), (z - mean_z).T @ (row * (y - mean_y)))
+    np.testing.assert_allclose(folded, land.T @ (whiten @ alpha), atol=1e-5)
+    np.testing.assert_allclose(bias, mean_y - mean_z @ alpha, atol=1e-5)
