@@ -56,6 +56,8 @@ RULES = (
     ("grok", r"^grok-"),
 )
 GEMINI = ("gemini-3.6-flash", "google/gemini-3.6-flash")
+#: Fixed value: the id whose profile holds where no model's does, that of the slab.
+NO_MODEL = "claude"
 
 
 def _row(name: str, given: dict) -> tuple:
